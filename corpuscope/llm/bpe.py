@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import data_path, in_slices, utf8_column
+from corpuscope.llm.common import data_path, in_slices, modest_batches, utf8_column
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -322,4 +322,4 @@ def encode(docs: DataFrame, ranks: str | None = None, text: str = "text", keep:
                 columns |= {"token_ids": pa.array([x[0] for x in more], pa.list_(pa.int32())), "token_offsets": pa.array([x[1] for x in more], pa.list_(pa.int64())), "decoded": pa.array([x[2] for x in more], pa.binary())}
             yield pa.RecordBatch.from_pydict(columns)
 
-    return src.mapInArrow(run, schema)
+    return modest_batches(src).mapInArrow(run, schema)

@@ -39,6 +39,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of text that a Python worker holds at once; Spark's own defaults suit narrow rows.
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
+def modest_batches(df: DataFrame) -> DataFrame:
+    """Makes Arrow batches small enough for whole texts, unless the session has set its own sizes."""
+    conf = df.sparkSession.conf
+    for key, (default, own) in ARROW_LIMITS.items():
+        if conf.get(key, default) == default:
+            conf.set(key, own)
+    return df
+
+
 def deal(df: DataFrame) -> int:
     """Partitions that a shuffle of this session has."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))

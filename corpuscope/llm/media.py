@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import utf8_column
+from corpuscope.llm.common import modest_batches, utf8_column
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"  # fixed value of the format
 NONE, SUB, UP, AVERAGE, PAETH = range(5)  # fixed values of the format
@@ -180,4 +180,4 @@ def media_columns(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
             columns = {f.name: batch.column(f.name) for f in fields}
             yield pa.RecordBatch.from_pydict(columns | {x.split()[0]: pa.array(list(out[x.split()[0]]), kinds[x.split()[1]]) for x in own})
 
-    return src.mapInArrow(run, schema)
+    return modest_batches(src).mapInArrow(run, schema)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscope.llm.common import deal, in_slices, saved, utf8_column
+from corpuscope.llm.common import deal, in_slices, modest_batches, saved, utf8_column
 from corpuscope.llm.components import components
 
 RADIUS = 3
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
             found = [fingerprints_of(texts[a:b]) for a, b in in_slices(texts, SLICE_BYTES)]
             yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in names} | {"fp": pa.array(np.concatenate(found) if found else [], pa.int64())})
 
-    return src.mapInArrow(run, schema)
+    return modest_batches(src).mapInArrow(run, schema)
 
 
 def as_hex(fp: Column) -> Column:
