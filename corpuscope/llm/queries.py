@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import bpe, media, mixing, quality, sharding, simhash
+from corpuscope.llm import bpe, media, mixing, pii, quality, secrets, sharding, simhash
 from corpuscope.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op2_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "linked")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op5_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
 
@@ -36,13 +40,21 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return secrets.scan(docs, secrets.train(secrets.labelled_samples(docs, labels)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_label_propagation": op2_label_propagation,
+    "op4_pii": op4_pii,
     "op5_quality_outliers": op5_quality_outliers,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
     "op9_media_columns": op9_media_columns,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {}
