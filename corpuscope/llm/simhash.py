@@ -175,7 +175,8 @@ def links(fps: DataFrame, groups: int = 6, by: str = "v", small: int = SMALL, la
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), small: int = SMALL, large: int = LARGE) -> DataFrame:
-    """Class of each document: rows of (id, kept columns, fp, component_id), the least id that links reach.
+    """Class of each document: rows of (id, kept columns, fp, component_id, root): the least id and the least fingerprint
+    that links reach.
 
     Words are lower-cased in A-Z; a fingerprint bit is set if over half of the 3-word shingles' XXH64 have it; texts
     of one or two words are one shingle; null, empty and wordless texts have fingerprint zero and link like any other.
@@ -188,5 +189,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     joint = components(links(distinct.select("fp"), small=small, large=large))
     rooted = distinct.join(joint, distinct["fp"] == joint["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").select(F.col("fp").alias("__fp"), "component_id")
+    classes = rooted.join(least, "root").select(F.col("fp").alias("__fp"), "component_id", "root")
     return marked.join(classes, marked["fp"] == classes["__fp"]).drop("__fp")
+
+
+def deduplicate(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """docs with one row of each class: that of the least id, and of rows with the same id that of the least digest of
+    its text; of equal rows one stays. Null ids come last. All columns stay."""
+    digest = F.md5(F.col(text).cast("string"))
+    keyed = docs.withColumn("__key", F.to_json(F.struct(F.col(id_col).alias("i"), digest.alias("h"))))
+    classes = near_duplicates(keyed, text, id_col, ("__key",))
+    first = F.min_by("__key", F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__key")))
+    chosen = classes.groupBy("root").agg(first.alias("__key")).select("__key")
+    return keyed.join(chosen, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
