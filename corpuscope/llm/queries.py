@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import bpe, media, mixing, pii, quality, secrets, sharding, simhash
+from corpuscope.llm import bpe, lattice, media, mixing, pii, quality, secrets, sharding, simhash
 from corpuscope.llm.common import documents
 
 
@@ -28,6 +28,10 @@ def op5_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
 
 
+def op6_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(documents(spark, sf_dir))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_label_propagation": op2_label_propagation,
     "op4_pii": op4_pii,
     "op5_quality_outliers": op5_quality_outliers,
+    "op6_lattice_likelihood": op6_lattice_likelihood,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
     "op9_media_columns": op9_media_columns,
