@@ -73,6 +73,18 @@ def in_slices(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least `rows` (but for the last), for narrow columns that work better together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def utf8_column(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow string column as bytes; null becomes empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscope.llm.common import data_path, modest_batches, saved, utf8_column
+from corpuscope.llm.common import data_path, gathered, modest_batches, saved, utf8_column
 
 PIECES = "piece_bpe_32k.model"
 MARK = "▁"  # a word's start in the vocabulary
@@ -33,6 +33,8 @@ ROUNDS = 2
 #: Count added to each piece.
 ADDED = 0.1
 WORDS_AT_ONCE = 8192
+#: Words gathered before those of one length are taken together.
+WORDS_TOGETHER = 1 << 16
 LOG10 = np.log(10)
 
 
@@ -208,7 +210,7 @@ def train_pieces(words: DataFrame, end_count: int, path: str, rounds: int = ROUN
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model, sums = lattice(path), None
-            for batch in batches:
+            for batch in gathered(batches, WORDS_TOGETHER):
                 sums = np.zeros(model.n + 1) if sums is None else sums
                 counts = batch.column("c").to_numpy().astype(np.float64)
                 for at, symbols in model.by_length(utf8_column(batch.column("word"))):
@@ -247,7 +249,7 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", model: st
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(path)
-        for batch in batches:
+        for batch in gathered(batches, WORDS_TOGETHER):
             yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "c": batch.column("c"), "lp": pa.array(own.log10(utf8_column(batch.column("word")), logp), pa.float64())})
 
     rated = words.mapInArrow(scored, "word string, c bigint, lp double")
