@@ -171,3 +171,33 @@ def rank_shift(values: DataFrame) -> DataFrame:
     """values: corpus, d_small, d_large. Rank of each corpus by either, and the difference."""
     at = lambda c: F.row_number().over(W.partitionBy(F.lit(0)).orderBy(c, "corpus")) - 1
     return values.withColumn("rank_small", at("d_small")).withColumn("rank_large", at("d_large")).withColumn("shift", F.col("rank_large") - F.col("rank_small"))
+
+
+def principal_variance(z: DataFrame) -> DataFrame:
+    """component, share, cumulative: variance along the principal axes of the z-scores. The products of the features, their
+    square in number, are summed in Spark; only these reach the driver."""
+    import numpy as np
+
+    a = z.select("corpus", F.col("feature").alias("f"), F.col("z").alias("x"))
+    b = z.select("corpus", F.col("feature").alias("g"), F.col("z").alias("y"))
+    rows = a.join(b, "corpus").groupBy("f", "g").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect()
+    names = sorted({r["f"] for r in rows})
+    at = {n: i for i, n in enumerate(names)}
+    m = np.zeros((len(names), len(names)))
+    for r in rows:
+        m[at[r["f"]], at[r["g"]]] = r["s"]
+    values = np.maximum(np.linalg.eigvalsh(m)[::-1], 0)
+    share = values / values.sum() if values.sum() else values
+    data = [(i + 1, float(x), float(y)) for i, (x, y) in enumerate(zip(share, np.cumsum(share)))]
+    return z.sparkSession.createDataFrame(data, "component int, share double, cumulative double")
+
+
+def missing_ids(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Ids that are asked for but don't exist; a run with any is an error."""
+    return wanted.select(key).distinct().join(known.select(key), key, "left_anti")
+
+
+def run_deltas(left: DataFrame, right: DataFrame, keys: tuple[str, ...], metrics: tuple[str, ...]) -> DataFrame:
+    """Metrics of one run table less those of another, for the runs in both."""
+    other = right.select(*keys, *(F.col(m).alias(f"__{m}") for m in metrics))
+    return left.join(other, list(keys)).select(*keys, *((F.col(m) - F.col(f"__{m}")).alias(f"delta_{m}") for m in metrics))

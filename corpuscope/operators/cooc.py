@@ -96,3 +96,33 @@ def hotspots(adjustments: DataFrame, top: int = 48) -> DataFrame:
     """Tokens by the adjustments they take part in: rows in full, columns by half."""
     parts = adjustments.select(F.col("row_tok").alias("token"), F.col("distance").alias("weight")).union(adjustments.filter("component = 'cooccurrence'").select("col_tok", F.col("distance") * 0.5))
     return parts.groupBy("token").agg(F.sum("weight").alias("weight")).orderBy(F.col("weight").desc(), "token").limit(top)
+
+
+def guided(hot: DataFrame, counts: DataFrame, shortest: int = 2, longest: int = 12) -> DataFrame:
+    """Hotspots that a rewrite may take up: tokens of the corpus, within length bounds, with their counts."""
+    return hot.join(counts.filter("cnt > 0").select("token", "cnt"), "token").filter(F.length("token").between(shortest, longest))
+
+
+def frontier(adjustments: DataFrame, most: int = 24) -> DataFrame:
+    """A set of adjustments of greatest total distance in which no row and no column occurs twice; at most `most`. The input is a
+    top-k list, so one task takes it."""
+    import numpy as np
+    import pyarrow as pa
+
+    from corpuscope.operators.families import assignment
+
+    best = adjustments.groupBy("row_tok", "component", "col_tok").agg(F.max("distance").alias("distance"))
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, cols, d = table.column("row_tok").to_pylist(), [*zip(table.column("component").to_pylist(), table.column("col_tok").to_pylist())], table.column("distance").to_pylist()
+        r, c = sorted(set(rows)), sorted(set(cols))
+        at, bt = {x: i for i, x in enumerate(r)}, {x: i for i, x in enumerate(c)}
+        score = np.zeros((len(r), len(c)))
+        for x, y, v in zip(rows, cols, d):
+            score[at[x], bt[y]] = v
+        match = [(float(score[i, j]), r[i], *c[j]) for i, j in enumerate(assignment(score.max() - score)) if j >= 0 and score[i, j] > 0]
+        match.sort(key=lambda x: (-x[0], *x[1:]))
+        match = match[:most]
+        return pa.table({"row_tok": pa.array([x[1] for x in match], pa.string()), "component": pa.array([x[2] for x in match], pa.string()), "col_tok": pa.array([x[3] for x in match], pa.string()), "distance": pa.array([x[0] for x in match], pa.float64())})
+
+    return best.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(run, "row_tok string, component string, col_tok string, distance double")

@@ -109,3 +109,32 @@ def sampled(model: DataFrame, lengths: DataFrame, n: int, seed: int, shards: int
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("id"), "tokens": pa.array(out, pa.list_(pa.string()))})
 
     return model.sparkSession.range(n, numPartitions=shards).mapInArrow(run, "doc_id bigint, tokens array<string>")
+
+
+def trained_markov(table: DataFrame, n: int, length: int, seed: int, shards: int = 8) -> DataFrame:
+    """doc_id, tokens: n sequences of a fixed length that follow a context table (context, next, cnt); a context that wasn't
+    seen goes on with any token. The table must fit a task: cap the vocabulary before."""
+    rows = table.select("context", "next", "cnt").toArrow().to_pylist()
+    follow: dict[str, tuple[list[str], list[int]]] = {}
+    for r in sorted(rows, key=lambda r: (r["context"], r["next"])):
+        cell = follow.setdefault(r["context"], ([], []))
+        cell[0].append(r["next"])
+        cell[1].append(r["cnt"])
+    order = len(next(iter(follow), "").split(" "))
+    words = sorted({r["next"] for r in rows} | {w for c in follow for w in c.split(" ")})
+    shared = table.sparkSession.sparkContext.broadcast((sorted(follow), {c: (v, np.cumsum(w)) for c, (v, w) in follow.items()}, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, steps, vocabulary = shared.value
+        for batch in batches:
+            out = []
+            for i in batch.column("id").to_pylist():
+                rng = np.random.default_rng([seed, i])
+                seq = starts[int(rng.integers(len(starts)))].split(" ") if starts else []
+                while starts and len(seq) < length:
+                    cell = steps.get(" ".join(seq[-order:]))
+                    seq.append(vocabulary[int(rng.integers(len(vocabulary)))] if cell is None else cell[0][int(np.searchsorted(cell[1], rng.integers(cell[1][-1]), side="right"))])
+                out.append(seq[:length])
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("id"), "tokens": pa.array(out, pa.list_(pa.string()))})
+
+    return table.sparkSession.range(n, numPartitions=shards).mapInArrow(run, "doc_id bigint, tokens array<string>")

@@ -272,3 +272,7 @@ put("next_job", [], "SELECT o_custkey AS job, count(*) AS done, count(*) FILTER
 put("operator_schedule", [f"op AS (SELECT * FROM (VALUES {', '.join(f'({k!r}, {w!r}, {str(o).lower()})' for k, (w, o) in OPERATORS.items())}) v(operator, base, odd))", "al AS (SELECT user_id % 10 AS run, avg(value) / 100 AS x FROM events GROUP BY ALL)", "wd AS (SELECT run, least(greatest(0.15 + 0.85 * (1 - ln(1 + 8 * least(greatest(x, 0.0), 1.0)) / ln(9)), 0.15), 1.0) AS w FROM al)", "ra AS (SELECT run, operator, w, base * CASE WHEN odd THEN 0.5 + 1.8 * w ELSE 0.5 + 1.4 * (1 - w) END AS r FROM wd, op)"], "SELECT run, operator, round(w, 6) AS weirdness, round(r / sum(r) OVER (PARTITION BY run), 6) AS weight FROM ra")
 put("reward_amplification", ["st AS (SELECT event_id, (value - 20) / 100 AS struct_gain, (value - 30) / 200 AS form_gain, user_id % 7 / 100 - 0.03 AS suffix_gain, user_id % 5 / 100 - 0.02 AS trigram_gain, user_id % 11 / 100 - 0.06 AS coherence_gain, event_id % 9 / 10 AS cost FROM events)", f"bo AS (SELECT *, struct_gain > 0 AND form_gain > 0 AND coherence_gain >= -0.05 AS j, {' + '.join(f'{w} * greatest(0.0, {g})' for g, w in GAINS.items())} AS g FROM st)"], "SELECT event_id, round(g + CASE WHEN j THEN 0.01 ELSE 0.0 END, 6) AS bonus, round(CASE WHEN j THEN 0.005 * cost ELSE 0.0 END, 6) AS relief, round(-1.0 + g + CASE WHEN j THEN 0.01 ELSE 0.0 END + CASE WHEN j THEN 0.005 * cost ELSE 0.0 END, 6) AS adjusted FROM bo")
 put("hash_chain", ["hc AS (SELECT user_id, event_id, sha256(concat_ws('|', CAST(user_id AS VARCHAR), CAST(event_id AS VARCHAR), event_type, CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR))) AS sha256 FROM events)"], "SELECT user_id, event_id, sha256, coalesce(lag(sha256) OVER (PARTITION BY user_id ORDER BY event_id), '') AS previous_sha256 FROM hc")
+put("feature_vector15", [BASE, *features_sql(BASE)[0][1:], f"fe AS ({features_sql(BASE)[1]})"], f"SELECT corpus, {', '.join(FEATURES[:15])} FROM fe")
+put("self_similarity", [BASE, PROFILES], "SELECT corpus AS corpus_a, corpus AS corpus_b, round(sum(CASE kind WHEN 'c2' THEN c END), 6) AS c2, round(sum(CASE kind WHEN 'c3' THEN c END), 6) AS c3, round(sum(CASE kind WHEN 's3' THEN c END), 6) AS s3, round(sum(CASE kind WHEN 's3' THEN 0.2 ELSE 0.4 END * c), 6) AS form FROM (SELECT corpus, kind, sum(p * p) / power(sqrt(sum(p * p)), 2) AS c FROM prof GROUP BY ALL) GROUP BY corpus")
+put("run_deltas", ["ev AS (SELECT user_id % 10 AS run, event_id % 2 AS side, avg(value) AS a, max(value) AS b FROM events GROUP BY ALL)"], "SELECT x.run, round(x.a - y.a, 6) AS delta_a, round(x.b - y.b, 6) AS delta_b FROM ev x JOIN ev y ON x.run = y.run AND x.side = 0 AND y.side = 1")
+put("missing_ids", [], "SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")

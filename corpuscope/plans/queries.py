@@ -681,3 +681,61 @@ def html_text(spark, d):
     from corpuscope.sources.html import page_text
 
     return page_text(table(spark, d, "pages"), "html", ("page_id",))
+
+
+@query
+def feature_vector15(spark, d):
+    return r6(FE.feature_vector(corpora(spark, d)).select("corpus", *FE.FEATURES[:15]))
+
+
+@query
+def pca_variance(spark, d):
+    z = C.z_scores(C.long_form(_source_features(spark, d), tuple(FE.FEATURES)))
+    return _r4(C.principal_variance(z))
+
+
+@query
+def self_similarity(spark, d):
+    p = P.language_profiles(corpora(spark, d)).select("corpus", "kind", "gram", "p")
+    return r6(C.form_scores(C.profile_cosines(p, p)).filter("corpus_a = corpus_b"))
+
+
+@query
+def adjustment_frontier(spark, d):
+    rounded = _aligned(spark, d).withColumns({c: F.round(c, 6) for c in ("cur", "ref")}).withColumn("distance", F.round(F.abs(F.col("ref") - F.col("cur")), 6))
+    return r6(O.frontier(O.top_adjustments(rounded, "cooccurrence")).agg(F.sum("distance").alias("total"), F.count(F.lit(1)).alias("chosen")))
+
+
+@query
+def family_alignment(spark, d):
+    t = types(corpora(spark, d))
+    matched = FA.assign(FA.pair_costs(t, "fr", "en"))
+    return r6(FA.alignment_score(matched, 36, 36))
+
+
+@query
+def markov_trained(spark, d):
+    c = corpora(spark, d).filter("corpus = 'es'")
+    return L.trained_markov(L.contexts(c, 3), 200, 12, 5).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query
+def run_deltas(spark, d):
+    e = table(spark, d, "events").groupBy((F.col("user_id") % 10).alias("run"), (F.col("event_id") % 2).alias("side")).agg(F.avg("value").alias("a"), F.max("value").alias("b"))
+    return r6(C.run_deltas(e.filter("side = 0"), e.filter("side = 1"), ("run",), ("a", "b")))
+
+
+@query
+def missing_ids(spark, d):
+    return C.missing_ids(table(spark, d, "labels"), table(spark, d, "documents").filter("lang = 'en'"), "doc_id")
+
+
+@query
+def candidate_pool(spark, d):
+    """A fixed pool of rewrites of French text, scored against English in one job."""
+    from corpuscope.operators.search import Candidate, Reference, Step, score_pool
+
+    every = corpora(spark, d)
+    base = sequences(every.filter("corpus = 'fr'"))
+    pool = {0: Candidate("token_char_edit", "", 0.25, (Step("map", (("de", "the"),)),)), 1: Candidate("split_token", "", 0.4, (Step("split", tokens=("les", "le", "es")),)), 2: Candidate("swap_bigram_order", "", 0.2, (Step("swap", tokens=("de", "la")),))}
+    return _r4(score_pool(base, pool, Reference(every.filter("corpus = 'en'"))))
