@@ -35,10 +35,10 @@ GRAM = 256
 #: Different contexts of an anchor that one shard takes; more are dealt anew.
 MOST = 2000
 #: Symbols of a shard, about.
-SHARD_SYMBOLS = 1_000_000
+SHARD_SYMBOLS = 500_000
 #: Widths of the ranges of places, level by level.
 WIDTHS = (29, 5, 1)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _PLACES = np.uint64(0xFFFFFF)
 
@@ -50,7 +50,7 @@ def anchors(buffer: bytes, ends: np.ndarray, limit: int = LIMIT, gram: int = GRA
     none = np.empty(0, np.int64), np.empty(0, np.uint64)
     if n < limit or (ends - starts).max() < limit:
         return none
-    if n > int(_PLACES):
+    if n > 2 * SLICE_BYTES and len(ends) == 1:
         return _long_anchors(buffer, limit, gram)
     power = np.cumprod(np.full(n, _BASE, np.uint64))
     inverse = np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), np.uint64))
@@ -75,8 +75,8 @@ def anchors(buffer: bytes, ends: np.ndarray, limit: int = LIMIT, gram: int = GRA
 
 
 def _long_anchors(buffer: bytes, limit: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors of one text that is too long for the place bits: parts that overlap by what a string reaches."""
-    part, found = (1 << 23), {}
+    """Anchors of one long text: parts that overlap by what a string reaches."""
+    part, found = SLICE_BYTES, {}
     for a in range(0, len(buffer), part):
         piece = buffer[a : a + part + limit]
         at, h = anchors(piece, np.array([len(piece)]), limit, gram)
@@ -220,25 +220,25 @@ def _hot(members: DataFrame, level: int, limit: int, gram: int, most: int) -> Da
     parts = parts.withColumn("sub", _bytes(F.col("ctx"), begin, end - begin)).withColumn("sub_left", (F.col("left") - begin).cast("int"))
     parts = parts.withColumn("d", F.unhex(F.md5(F.concat("g", F.encode(F.col("sub_left").cast("string"), "utf-8"), F.lit(b":"), "sub"))))
     parts = saved(parts.drop("ctx", "left"), "repeat-parts")
-    members_of = parts.groupBy("g", "d").agg(F.sum("n").alias("times"))
-    sizes = members_of.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"))
-    named = saved(members_of.join(sizes, "g").filter("kinds > 1 or times > 1"), "repeat-kinds")
+    # Of members with equal bytes one, the least, stands for all.
+    kinds_of = parts.groupBy("g", "d").agg(F.sum("n").alias("times"), F.min("m").alias("m"))
+    sizes = kinds_of.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.count(F.when(F.col("times") == 1, 1)).alias("singles"))
+    named = saved(kinds_of.join(sizes, "g"), "repeat-kinds")
     # Near a text's ends a context holds fewer places than the range.
     room = F.octet_length("sub") - F.col("sub_left") - gram
     whole = F.array(F.struct(F.greatest(F.col("low"), side - room).cast("int").alias("low"), F.least("high", "sub_left").cast("int").alias("high")))
-    sure = parts.join(named.filter("times > 1").select("d"), "d", "left_semi").select("m", whole.alias("ranges")).filter("ranges[0].low <= ranges[0].high")
+    out = parts.join(named.filter("times > 1").select("d"), "d", "left_semi").select("m", whole.alias("ranges")).filter("ranges[0].low <= ranges[0].high")
     if width == 1:  # single strings: equal or not
-        return sure
-    open_kinds = named.filter("kinds > 1").select("d", F.col("kinds"), F.col("times"))
-    rest = parts.join(open_kinds, "d")
-    fit = rest.filter(f"kinds <= {most}")
-    units = fit.select("g", "d", F.col("sub").alias("ctx"), F.col("sub_left").alias("left"), "low", "high", (F.octet_length("sub") - gram + 2).alias("symbols")).dropDuplicates(["d"])
-    found = _by_suffix_array(saved(units, "repeat-units"), limit, gram)
-    mapped = fit.select("m", "d").join(found, "d").select("m", "ranges")
-    out = sure.union(mapped)
+        return out
+    # Whether a kind that occurs once repeats in part is open where its group has other kinds.
+    rest = parts.join(named.filter("kinds > 1 and singles > 0").select("d", "m", "kinds", "times"), ["d", "m"])
+    units = rest.filter(f"kinds <= {most}").select("g", "d", "m", "times", F.col("sub").alias("ctx"), F.col("sub_left").alias("left"), "low", "high", (F.octet_length("sub") - gram + 2).alias("symbols"))
+    units = saved(units.dropDuplicates(["d", "m"]), "repeat-units")
+    found = _by_suffix_array(units, limit, gram)
+    out = out.union(found.join(units.filter("times = 1").select("d", "m"), "d").select("m", "ranges"))
     over = rest.filter(f"kinds > {most}")
     if over.limit(1).count():
-        deeper = over.select("m", "n", "a", F.col("sub").alias("ctx"), F.col("sub_left").alias("left"), "low", "high")
+        deeper = over.select("m", F.col("times").alias("n"), "a", F.col("sub").alias("ctx"), F.col("sub_left").alias("left"), "low", "high")
         out = out.union(_hot(saved(deeper, "repeat-members"), level + 1, limit, gram, most))
     return out
 
@@ -259,8 +259,9 @@ def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", limit:
     twice = cells.filter("n > 1").select("a", "c")
     whole = again.join(twice, ["a", "c"], "left_semi").filter(F.col("size") >= limit)
     spans = whole.select("k", (F.col("pos") - F.col("left")).cast("int").alias("low"), (F.col("pos") - F.col("left") + F.col("size")).cast("int").alias("high"))
-    # Contexts of the mixed anchors, one for each cell.
-    mixed = cells.filter("mixed").select(F.col("one.k").alias("k"), F.struct("a", "c", "n", "one.pos", "one.left", "one.size").alias("x"))
+    # Contexts of the mixed anchors, one for each cell. A group all of whose contexts occur twice has nothing left to decide.
+    sizes = cells.filter("mixed").groupBy("a").agg(F.count(F.lit(1)).alias("kinds"), F.count(F.when(F.col("n") == 1, 1)).alias("singles")).filter("singles > 0").drop("singles")
+    mixed = saved(cells.filter("mixed").join(sizes, "a").select(F.col("one.k").alias("k"), F.struct("a", "c", "n", "kinds", "one.pos", "one.left", "one.size").alias("x")), "repeat-mixed")
     once = first.filter("copies = 1")
     needed = mixed.select("k").union(again.select("k").join(once.select("k"), "k", "left_semi")).distinct()
     chosen = needed.join(first, "k").select("k", "row")
@@ -268,15 +269,14 @@ def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", limit:
     # Copies of a text have different ids, so the pair spreads them; rows that share both are one.
     texts = saved(bodies.join(chosen, ["k", "row"], "left_semi").drop("row"), "repeat-bodies")
     lists = mixed.groupBy("k").agg(F.collect_list("x").alias("xs"))
-    cut = lambda x: F.struct(x["a"].alias("a"), x["c"].alias("c"), x["n"].alias("n"), x["pos"].alias("pos"), x["left"].cast("int").alias("left"), F.substring(F.col("body"), x["pos"] - x["left"] + 1, x["size"].cast("int")).alias("ctx"))
+    cut = lambda x: F.struct(x["a"].alias("a"), x["c"].alias("c"), x["n"].alias("n"), x["kinds"].alias("kinds"), x["pos"].alias("pos"), x["left"].cast("int").alias("left"), F.substring(F.col("body"), x["pos"] - x["left"] + 1, x["size"].cast("int")).alias("ctx"))
     contexts = texts.join(lists, "k").select("k", F.explode(F.transform("xs", cut)).alias("x")).select("k", "x.*")
-    sizes = cells.filter("mixed").groupBy("a").agg(F.count(F.lit(1)).alias("kinds"))
     name = F.unhex(F.md5(F.concat_ws(":", F.col("a").cast("string"), F.col("c").cast("string"))))
-    contexts = saved(contexts.withColumn("d", name).join(sizes, "a"), "repeat-contexts")
+    contexts = saved(contexts.withColumn("d", name), "repeat-contexts")
     cold = contexts.filter(f"kinds <= {most}").dropDuplicates(["d"])
     units = cold.select(F.col("a").alias("g"), "d", "ctx", "left", F.lit(0).alias("low"), F.lit(side).alias("high"), (F.octet_length("ctx") - gram + 2).alias("symbols"))
     found = _by_suffix_array(units, limit, gram)
-    if sizes.filter(f"kinds > {most}").limit(1).count():
+    if mixed.filter(f"x.kinds > {most}").limit(1).count():
         hot = contexts.filter(f"kinds > {most}").dropDuplicates(["d"])
         members = hot.select(F.col("d").alias("m"), "n", "a", "ctx", "left", F.lit(0).alias("low"), F.lit(side).alias("high"))
         found = found.union(_hot(saved(members, "repeat-members"), 0, limit, gram, most).select(F.col("m").alias("d"), "ranges"))

@@ -53,6 +53,8 @@ def _induce_by_bucket(s: np.ndarray, smaller: np.ndarray, first: np.ndarray, sa:
     head, tail = first[:-1].copy(), first[1:].copy()
 
     def deal(j: np.ndarray, up: bool) -> None:
+        if not len(j):
+            return
         c = s[j]
         order = np.argsort(c, kind="stable")
         n = np.bincount(c, minlength=size)
