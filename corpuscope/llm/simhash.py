@@ -167,7 +167,8 @@ def links(fps: DataFrame, groups: int = 6, by: str = "v", small: int = SMALL, la
     rows = cells(fps.select("fp", embedding(F.col("fp")).alias("v")), groups, by).repartition(deal(fps), "grid", "cell")
     sizes = rows.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     full = saved(rows.join(sizes, ["grid", "cell"]), "cells")
-    found = _joined(full.filter(f"n <= {small}")).union(_local(full.filter(f"n > {small} and n <= {large}")))
+    bounded = f" and n <= {large}" if by == "v" else ""  # exact bits bound a cell by themselves
+    found = _joined(full.filter(f"n <= {small}")).union(_local(full.filter(f"n > {small}{bounded}")))
     if by == "v" and full.filter(f"n > {large}").limit(1).count():
         hot = saved(full.filter(f"n > {large}").select("fp").distinct(), "hot-fingerprints")
         found = found.union(links(hot, 16, "fp", small, large))
