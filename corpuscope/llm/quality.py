@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscope.llm.common import modest_batches, saved, utf8_column
+from corpuscope.llm.common import modest_batches, salt_of, saved, utf8_column
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 10
@@ -41,6 +41,8 @@ CUT = 38.2
 #: Groups with fewer texts are taken together within their language, then altogether; a smaller rest is not judged.
 LEAST = 60
 BIN = 1 / 32
+#: Parts into which a group's rows are dealt for joins with what is known of the group.
+SALTS = 32
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -107,6 +109,11 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
+def _dealt(groups: DataFrame) -> DataFrame:
+    """A table with a row for each group, once for each part of the group's rows."""
+    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _grouped(stats: DataFrame, language: str, source: str) -> DataFrame:
     """Adds g: language and source, or the pool of its language's small groups, or the pool of what is left."""
     fit = stats.filter(~F.col("base_failed"))
@@ -119,7 +126,9 @@ def _grouped(stats: DataFrame, language: str, source: str) -> DataFrame:
         F.col(source).alias("__source"),
         F.when(F.col("n") >= LEAST, named).when(F.col("pool") >= LEAST, F.to_json(F.struct(F.col(language).alias("l"), F.lit(True).alias("pool")))).otherwise(F.lit("pool")).alias("g"),
     )
-    return stats.join(keys, stats[language].eqNullSafe(keys["__lang"]) & stats[source].eqNullSafe(keys["__source"]), "left").drop("__lang", "__source")
+    keys = _dealt(keys).withColumnRenamed("salt", "__salt")
+    same = stats[language].eqNullSafe(keys["__lang"]) & stats[source].eqNullSafe(keys["__source"]) & (stats["salt"] == keys["__salt"])
+    return stats.join(keys, same, "left").drop("__lang", "__source", "__salt")
 
 
 def _raw_vector() -> list[Column]:
@@ -176,7 +185,7 @@ ESTIMATE = "g string, mu array<double>, inv array<double>"
 def _concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """One concentration step: the estimate from the texts that lie innermost by the one before."""
     pairs = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
-    binned = rows.join(estimate, "g").withColumn("bin", F.floor(F.log1p(F.greatest(_distance(), F.lit(0.0))) / BIN))
+    binned = rows.join(_dealt(estimate), ["g", "salt"]).withColumn("bin", F.floor(F.log1p(F.greatest(_distance(), F.lit(0.0))) / BIN))
     moments = binned.groupBy("g", "bin").agg(
         F.count(F.lit(1)).alias("n"),
         *(F.sum(F.col("y")[i]).alias(f"s{i}") for i in range(DIMS)),
@@ -203,20 +212,20 @@ def judge(docs: DataFrame, text: str = "text", language: str = "lang", source: s
     Columns besides the kept ones are dropped. An empty table gives an empty result.
     """
     columns = list(dict.fromkeys([*keep, language, source]))
-    stats = saved(statistics(docs, text, tuple(columns)).withColumn("base_failed", base_failed()), "quality-counts")
+    stats = saved(statistics(docs, text, tuple(columns)).withColumn("base_failed", base_failed()).withColumn("salt", salt_of("text_hash", *columns, n=SALTS)), "quality-counts")
     grouped = _grouped(stats, language, source)
     raw = grouped.withColumn("x", F.array(*_raw_vector())).withColumn("root", F.sqrt(F.least(F.col("n_words"), F.lit(WORDS_FULL)).cast("double")))
-    fit = raw.filter(~F.col("base_failed")).select("g", "x", "root")
+    fit = raw.filter(~F.col("base_failed")).select("g", "salt", "x", "root")
     middle = fit.groupBy("g").agg(F.array(*(F.percentile(F.col("x")[i], 0.5) for i in range(DIMS))).alias("middle"), F.count(F.lit(1)).alias("size")).filter(F.col("size") >= LEAST)
     scaled = F.array(*(F.floor((F.col("x")[i] - F.col("middle")[i]) * F.col("root") * 256) / 256 for i in range(DIMS)))
-    rows = saved(fit.join(middle, "g").select("g", scaled.alias("y")), "quality-vectors")
+    rows = saved(fit.join(_dealt(middle), ["g", "salt"]).select("g", "salt", scaled.alias("y")), "quality-vectors")
     spread = rows.groupBy("g").agg(*(F.percentile(F.round(F.abs(F.col("y")[i]), 2), 0.5).alias(f"m{i}") for i in range(DIMS)))
     flat = [1 / F.pow(F.greatest(1.4826 * F.col(f"m{i}"), F.lit(float(FLOOR[i]))), F.lit(2)) if i == j else F.lit(0.0) for i in range(DIMS) for j in range(i, DIMS)]
     estimate = spread.select("g", F.array(*[F.lit(0.0)] * DIMS).alias("mu"), F.array(*flat).alias("inv"))
     for _ in range(STEPS):
         estimate = saved(_concentrate(rows, estimate), "quality-estimate")
     final = estimate.join(middle.select("g", "middle"), "g")
-    judged = raw.join(final, "g", "left").withColumn("y", scaled).withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    judged = raw.join(_dealt(final), ["g", "salt"], "left").withColumn("y", scaled).withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return judged.select(*keep, *COUNTS, "text_hash", "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))).alias("kept"))
 
 
