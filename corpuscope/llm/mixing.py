@@ -122,17 +122,18 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
     to = F.size(F.filter("ends", lambda x: x <= F.col("place")))
     dealt = listed.groupBy("__key", "__block").agg(F.transform(F.array_sort(F.collect_list(F.struct("e", to.alias("shard")))), lambda x: x["shard"]).alias("__to"))
     table = saved(planned.join(dealt, ["__key", "__block"], "left"), "mix-dealt")
-    joined = base.join(table, ["__key", "__block"])
-    copies = (F.col("epochs") + F.when(F.col("whole"), 1).otherwise(0)).cast("int")
-    plain = joined.filter(F.col("gap").isNull()).withColumn("copies", copies)
-    cut = joined.filter(F.col("gap").isNotNull()).withColumn("__in", F.lit(False))
+    named = table.drop("draws").withColumnsRenamed({c: f"__{c}" for c in ("epochs", "whole", "gap")})
+    joined = base.join(named, ["__key", "__block"])
+    copies = (F.col("__epochs") + F.when(F.col("__whole"), 1).otherwise(0)).cast("int")
+    plain = joined.filter(F.col("__gap").isNull()).withColumn("copies", copies)
+    cut = joined.filter(F.col("__gap").isNotNull()).withColumn("__in", F.lit(False))
     by_order = W.partitionBy("__key").orderBy("__order", id_col, "size")
     for _ in range(FILL_ROUNDS):  # fills the gap with documents that still fit
-        cut = cut.withColumn("__room", F.col("gap") - F.sum(F.when(F.col("__in"), F.col("size")).otherwise(0)).over(W.partitionBy("__key")))
+        cut = cut.withColumn("__room", F.col("__gap") - F.sum(F.when(F.col("__in"), F.col("size")).otherwise(0)).over(W.partitionBy("__key")))
         fits = ~F.col("__in") & (F.col("size") <= F.col("__room"))
         cut = cut.withColumn("__fits", fits).withColumn("__run", F.sum(F.when(F.col("__fits"), F.col("size")).otherwise(0)).over(by_order.rowsBetween(W.unboundedPreceding, 0)))
         cut = cut.withColumn("__in", F.col("__in") | (F.col("__fits") & (F.col("__run") <= F.col("__room"))))
-    cut = cut.withColumn("copies", (F.col("epochs") + F.when(F.col("__in"), 1).otherwise(0)).cast("int"))
+    cut = cut.withColumn("copies", (F.col("__epochs") + F.when(F.col("__in"), 1).otherwise(0)).cast("int"))
     both = plain.unionByName(cut.drop("__in", "__room", "__fits", "__run"))
     own = [c for c in docs.columns]
     shard_list = F.coalesce(F.slice("__to", F.lit(1), F.col("copies")), F.array().cast("array<int>"))
@@ -140,7 +141,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """The mix itself: a row for each copy taken, with docs' columns, shard and place, a key that orders the shard."""
-    columns = docs.columns
-    each = mix(docs, text, source, id_col, shards, seed).select(*columns, F.posexplode("shards").alias("__copy", "shard"))
-    return each.withColumn("place", F.xxhash64(F.lit(seed), "shard", F.col(id_col), "__copy")).drop("__copy")
+    """The mix itself: a row for each copy taken, with docs' columns, shard and place, a key that orders the shard. All
+    columns of docs keep their names and values but for shard and place."""
+    used = {text, source, id_col}
+    columns = [c for c in docs.columns if c not in ("shard", "place")]
+    others = [c for c in columns if c not in used]
+    packed = docs.select(*used, F.struct(F.lit(0).alias("__none"), *others).alias("__others"))
+    each = mix(packed, text, source, id_col, shards, seed).select(*used, "__others", F.posexplode("shards").alias("__copy", "shard"))
+    place = F.xxhash64(F.lit(seed), "shard", F.col(id_col), "__copy")
+    return each.select(*(F.col(c) if c in used else F.col("__others").getField(c).alias(c) for c in columns), "shard", place.alias("place"))

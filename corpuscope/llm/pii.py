@@ -1,7 +1,7 @@
 """Personal data (operator 4): format-preserving Feistel pseudonyms, DataFrame functions only.
 
 One regular expression finds all kinds in one scan. What it finds is validated - Luhn for card numbers, mod 97 for
-IBANs, number ranges for national numbers and addresses, the calendar for dates - and only a valid value is replaced, by
+IBANs, number ranges for national numbers and for addresses (each part keeping its length), the calendar for dates - and only a valid value is replaced, by
 its image under a keyed Feistel permutation of the valid values of its format: equal values get equal pseudonyms in all
 documents, different values different ones, and length and layout stay. Check digits are computed anew, so a pseudonym is as
 valid as its original.
@@ -49,15 +49,16 @@ def _number(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 14), 16, 10).cast("long")
 
 
-def permuted_number(x: Column, left: int, right: int, key: str, kind: str) -> Column:
+def permuted_number(x: Column, left: int | Column, right: int | Column, key: str, kind: str) -> Column:
     """Permutes the numbers 0 .. left * right - 1: by turns each half is shifted by a keyed function of the other."""
-    start = F.struct(F.floor(x / right).cast("long").alias("l"), F.pmod(x, F.lit(right)).cast("long").alias("r"))
+    left, right = (F.lit(n) if isinstance(n, int) else n for n in (left, right))
+    start = F.struct(F.floor(x / right).cast("long").alias("l"), F.pmod(x, right).cast("long").alias("r"))
 
     def turn(s: Column, i: Column) -> Column:
         odd = i % 2 == 1
         return F.struct(
-            F.when(odd, F.pmod(s["l"] + _number(key, kind, i, s["r"]), F.lit(left))).otherwise(s["l"]).alias("l"),
-            F.when(odd, s["r"]).otherwise(F.pmod(s["r"] + _number(key, kind, i, s["l"]), F.lit(right))).alias("r"),
+            F.when(odd, F.pmod(s["l"] + _number(key, kind, i, s["r"]), left)).otherwise(s["l"]).alias("l"),
+            F.when(odd, s["r"]).otherwise(F.pmod(s["r"] + _number(key, kind, i, s["l"]), right)).alias("r"),
         )
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: s["l"] * right + s["r"])
@@ -142,10 +143,18 @@ def _iban(m: Column, key: str) -> Column:
 
 
 def _ip(m: Column, key: str) -> Column:
-    part = lambda i: F.element_at(F.split(m, r"\."), i).cast("long")
-    image = permuted_number(((part(1) * 256 + part(2)) * 256 + part(3)) * 256 + part(4), 1 << 16, 1 << 16, key, "ip")
-    bytes_of = [F.shiftright(image, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)]
-    return F.when(F.greatest(*[part(i) for i in range(1, 5)]) <= 255, F.concat_ws(".", *bytes_of))
+    """Each part keeps its number of digits: 0 to 9, 10 to 99 or 100 to 255."""
+    text = [F.element_at(F.split(m, r"\."), i) for i in range(1, 5)]
+    part = [t.cast("long") for t in text]
+    by_length = lambda t, one, two, three: F.when(F.length(t) == 1, one).when(F.length(t) == 2, two).otherwise(three).cast("long")
+    least, kinds = [by_length(t, 0, 10, 100) for t in text], [by_length(t, 10, 90, 156) for t in text]
+    index = [p - low for p, low in zip(part, least)]
+    left, right = kinds[0] * kinds[1], kinds[2] * kinds[3]
+    image = permuted_number((index[0] * kinds[1] + index[1]) * right + index[2] * kinds[3] + index[3], left, right, key, "ip")
+    high, low = F.floor(image / right).cast("long"), F.pmod(image, right)
+    out = (F.floor(high / kinds[1]).cast("long"), F.pmod(high, kinds[1]), F.floor(low / kinds[3]).cast("long"), F.pmod(low, kinds[3]))
+    valid = (F.greatest(*part) <= 255) & (F.least(*index) >= 0)
+    return F.when(valid, F.concat_ws(".", *[(x + n).cast("string") for x, n in zip(out, least)]))
 
 
 def _date(m: Column, key: str) -> Column:
