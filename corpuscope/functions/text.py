@@ -23,7 +23,8 @@ MAYBE_NOT_NFC = r"[\p{M}\u0340-\u0387\u1100-\u11FF\u1F00-\u1FFF\u2000\u2001\u212
 
 def nfc(df: DataFrame, column: str) -> DataFrame:
     """Normal form C. Only rows with a character that may change leave the JVM."""
-    maybe = F.coalesce(F.col(column).rlike(MAYBE_NOT_NFC), F.lit(False))
+    # Latin letters up to here compose with nothing, which most texts show at a glance.
+    maybe = F.coalesce(F.col(column).rlike(r"[^\u0000-\u02FF]") & F.col(column).rlike(MAYBE_NOT_NFC), F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,9 +13,19 @@ from corpuscope.functions import text as X
 BUCKET = 4096
 
 
+#: Inputs up to this many bytes are dealt to all cores before they are tokenized: one small file is often one row group, which one
+#: task would read and tokenize alone. Larger inputs come in many row groups and aren't shuffled.
+SMALL_INPUT = 1 << 30
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT else df
+
+
 def corpus_documents(docs: DataFrame, corpus: str = "lang", doc_id: str = "doc_id", text: str = "text", normalise: bool = True) -> DataFrame:
     """Tokenizes whole texts. Null texts have no sequences."""
-    src = docs.select(F.col(corpus).alias("corpus"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    src = dealt(docs.select(F.col(corpus).alias("corpus"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     src = X.nfc(src, "text") if normalise else src
     return src.select("corpus", "doc_id", X.sequences(F.col("text")).alias("seqs"))
 

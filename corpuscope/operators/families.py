@@ -46,8 +46,9 @@ def inventory(token_counts: DataFrame, top: int = TOP) -> DataFrame:
 
 def pair_costs(token_counts: DataFrame, left: str, right: str, top: int = TOP) -> DataFrame:
     """Cost of matching each family of one corpus with each of the other: 36 by 36 at most."""
-    inv = inventory(token_counts.filter(F.col("corpus").isin(left, right)), top)
-    each = members(token_counts.filter(F.col("corpus").isin(left, right)), top).select(F.concat_ws("\t", "corpus", "family").alias("fam"), "token", "cnt")
+    two = token_counts.filter(F.col("corpus").isin(left, right)).persist()  # read once for each kind and profile
+    inv = inventory(two, top)
+    each = members(two, top).select(F.concat_ws("\t", "corpus", "family").alias("fam"), "token", "cnt")
     profs = {k: profile(char_counts(each, k, "fam"), CHAR_TOP[k], "gram", "fam").select("fam", "gram", "p") for k in ("c3", "s3")}
     side = lambda name, p: inv.filter(F.col("corpus") == name).select(*(F.col(c).alias(p + c) for c in ("family", "kind", "mass", "mean_token_length")), F.concat_ws("\t", "corpus", "family").alias(p + "fam"))
     pairs = side(left, "a_").crossJoin(side(right, "b_"))

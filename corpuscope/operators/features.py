@@ -115,7 +115,7 @@ def structural_vector(corpora: DataFrame) -> DataFrame:
 def feature_vector(corpora: DataFrame) -> DataFrame:
     """All features of every corpus: one scan for the sequences, types and each n-gram size, then joins of one row a
     corpus."""
-    placed = types(corpora, positions=True)
+    placed = types(corpora, positions=True).persist()  # six readers; one row a type
     moments = sequence_moments(corpora)
     stats = type_stats(placed)
     word = []
