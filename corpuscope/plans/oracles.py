@@ -129,7 +129,7 @@ put("cooccurrence_l2", [BASE, *cooc(5000)], "SELECT corpus, row_tok, col_tok, ro
 put("cooccurrence_asymmetry", [BASE, *cooc(5000)[:2]], "SELECT count(*) AS asymmetric FROM co a FULL JOIN co b ON a.corpus = b.corpus AND a.row_tok = b.col_tok AND a.col_tok = b.row_tok WHERE a.cnt IS DISTINCT FROM b.cnt")
 put("positional_features", [BASE, VOCAB.format(top=5000), """
 ps AS (SELECT corpus, token, count(*) AS cnt, avg(CASE WHEN pos = 0 THEN 1.0 ELSE 0.0 END) AS i, avg(CASE WHEN pos = n - 1 AND n > 1 THEN 1.0 ELSE 0.0 END) AS f, avg(CASE WHEN pos > 0 AND pos < n - 1 THEN 1.0 ELSE 0.0 END) AS m, avg(CASE WHEN n > 1 THEN pos / (n - 1) ELSE 0.0 END) AS x, stddev_pop(CASE WHEN n > 1 THEN pos / (n - 1) ELSE 0.0 END) AS s FROM tk GROUP BY ALL)"""],
-    "SELECT corpus, token, cnt, round(i, 6) AS initial_rate, round(f, 6) AS final_rate, round(m, 6) AS medial_rate, round(x, 6) AS mean_norm_pos, round(s, 6) AS std_norm_pos, round(ln(1 + cnt) / ln(1 + max(cnt) OVER (PARTITION BY corpus)), 6) AS freq_norm, cnt < 5 AS low_frequency FROM ps WHERE (corpus, token) IN (SELECT (corpus, token) FROM vo)")
+    "SELECT corpus, token, cnt, round(i + 1e-10, 6) AS initial_rate, round(f + 1e-10, 6) AS final_rate, round(m + 1e-10, 6) AS medial_rate, round(x + 1e-10, 6) AS mean_norm_pos, round(s + 1e-10, 6) AS std_norm_pos, round(ln(1 + cnt) / ln(1 + max(cnt) OVER (PARTITION BY corpus)) + 1e-10, 6) AS freq_norm, cnt < 5 AS low_frequency FROM ps WHERE (corpus, token) IN (SELECT (corpus, token) FROM vo)")
 
 COS = """
 nr AS (SELECT corpus, kind, sqrt(sum(p * p)) AS norm FROM prof GROUP BY ALL),
