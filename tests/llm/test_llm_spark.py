@@ -314,6 +314,16 @@ def test_secret_models(spark, sf_dir):
     assert row["n_random"] >= 1 and "random:6:" in row["spans"]
 
 
+def test_tables_can_be_cleared(spark):
+    from corpuscope.llm.common import clear_tables, saved
+
+    held = saved(spark.range(5), "held")
+    assert held.count() == 5
+    clear_tables(spark)
+    with pytest.raises(Exception):
+        saved(spark.range(5), "other").union(held).count()
+
+
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_queries_cover_every_document(spark, sf_dir, name):
     ids = sorted(r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect())
