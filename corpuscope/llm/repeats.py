@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,10 +104,12 @@ def anchor_table(docs: DataFrame, text: str, limit: int = LIMIT, gram: int = GRA
                 first = np.concatenate([[0], ends[:-1]])[doc]
                 low, high = np.maximum(first, at - side), np.minimum(ends[doc], at + limit)
                 left = at - low
-                digests = b"".join([hashlib.blake2b(buffer[a:b], digest_size=8, key=bytes([n & 255, n >> 8])).digest() for a, b, n in zip(low.tolist(), high.tolist(), left.tolist())])
-                names = [hashlib.md5(t).digest() for t in part]
+                digest = xxhash.xxh3_64_intdigest
+                digests = np.array([digest(buffer[a:b], n) for a, b, n in zip(low.tolist(), high.tolist(), left.tolist())], np.uint64)
+                names = np.frombuffer(b"".join([hashlib.md5(t).digest() for t in part]), np.uint8).reshape(-1, 16)[doc]
+                ends16 = np.arange(0, 16 * len(doc) + 1, 16, dtype=np.int32)
                 yield pa.RecordBatch.from_pydict({
-                    "k": pa.array([names[d] for d in doc.tolist()], pa.binary()), "a": pa.array(h.view(np.int64), pa.int64()), "c": pa.array(np.frombuffer(digests, np.int64), pa.int64()),
+                    "k": pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends16), pa.py_buffer(names.tobytes())]), "a": pa.array(h.view(np.int64), pa.int64()), "c": pa.array(digests.view(np.int64), pa.int64()),
                     "pos": pa.array((at - first).astype(np.int32), pa.int32()), "left": pa.array(left.astype(np.int16), pa.int16()), "size": pa.array((high - low).astype(np.int16), pa.int16()),
                 })
 
