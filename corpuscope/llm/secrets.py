@@ -21,7 +21,9 @@ KINDS = ("assign", "access", "hex", "random")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=."
 STATES = len(ALPHABET) + 1  # 0: any other character, and the start
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
+#: A candidate may follow an equals sign (NAME=secret); within it the sign is padding at the end only.
+#: From 16 characters on; under 20 with a letter, as 16 digits are card numbers rather than keys.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{20,}|(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,19})={0,2}(?![A-Za-z0-9+/_=-])"
 #: A candidate's log-likelihood ratio must exceed this much for each character.
 MARGIN = 0.75
 FIT_DOCS = 2000
