@@ -17,10 +17,30 @@ DEFAULT_KEY = "corpuscope"
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _B, _E = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+#: Length of an IBAN by country (registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """The country's own length first, so that a word behind a spaced number isn't taken with it; then any length."""
+
+    def spaced(n: int) -> str:
+        return rf"(?: [A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" [A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+
+    own = [f"(?:{'|'.join(names.split())})[0-9]{{2}}(?:[A-Z0-9]{{{n - 4}}}|{spaced(n)}){_E}" for n, names in IBAN_LENGTHS.items()]
+    anything = r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)" + _E
+    return _B + f"(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(own)}|{anything})"
+
+
 #: Kind -> pattern, in order of precedence at one place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "iban": _B + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)" + _E,
+    "iban": _iban_pattern(),
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "date": _B + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})" + _E,
     "ssn": _B + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _E,
