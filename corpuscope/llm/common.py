@@ -68,6 +68,24 @@ def deal(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: A key is common if it has more than its share of this many shares a partition, and at least COMMON_ROWS rows.
+COMMON_SHARES, COMMON_ROWS = 4, 1000
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str, how: str = "inner") -> DataFrame:
+    """rows joined to groups, which holds each key once with the number of rows (or more) that have it in `size`.
+
+    Rows of common keys stay where they are and their groups are broadcast: since the sizes add up to the number of rows,
+    there are at most COMMON_SHARES such keys a partition. The others meet by a shuffle, none of them with many rows.
+    Both should be tables, as they are read twice.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    most = max(COMMON_ROWS, total // (COMMON_SHARES * deal(rows)))
+    common = groups.filter(F.col(size) > most)
+    light = rows.join(F.broadcast(common.select(*on)), on, "left_anti").join(groups.filter(F.col(size) <= most), on, how)
+    return light.unionByName(rows.join(F.broadcast(common), on, how))
+
+
 def salt_of(*cols: str | Column, n: int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 

@@ -21,7 +21,7 @@ def op2_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(documents(spark, sf_dir))
+    return repeats.remove_repeats(documents(spark, sf_dir), passages=True)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import deal, in_slices, modest_batches, saved, utf8_column
+from corpuscope.llm.common import deal, in_slices, modest_batches, saved, spread_join, utf8_column
+from corpuscope.llm.passages import SharedPassages
 from corpuscope.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LIMIT = 400
@@ -224,13 +225,13 @@ def _hot(members: DataFrame, level: int, limit: int, gram: int, most: int) -> Da
     parts = parts.withColumn("d", F.unhex(F.md5(F.concat("g", F.encode(F.col("sub_left").cast("string"), "utf-8"), F.lit(b":"), "sub"))))
     parts = saved(parts.drop("ctx", "left"), "repeat-parts")
     # Of members with equal bytes one, the least, stands for all.
-    kinds_of = parts.groupBy("g", "d").agg(F.sum("n").alias("times"), F.min("m").alias("m"))
+    kinds_of = saved(parts.groupBy("g", "d").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("members"), F.min("m").alias("m")), "repeat-kinds")
     sizes = kinds_of.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.count(F.when(F.col("times") == 1, 1)).alias("singles"))
-    named = saved(kinds_of.join(sizes, "g"), "repeat-kinds")
+    named = saved(spread_join(kinds_of, saved(sizes, "repeat-sizes"), ["g"], "kinds"), "repeat-named")
     # Near a text's ends a context holds fewer places than the range.
     room = F.octet_length("sub") - F.col("sub_left") - gram
     whole = F.array(F.struct(F.greatest(F.col("low"), side - room).cast("int").alias("low"), F.least("high", "sub_left").cast("int").alias("high")))
-    out = parts.join(named.filter("times > 1").select("d"), "d", "left_semi").select("m", whole.alias("ranges")).filter("ranges[0].low <= ranges[0].high")
+    out = spread_join(parts, named.filter("times > 1").select("d", "members"), ["d"], "members").select("m", whole.alias("ranges")).filter("ranges[0].low <= ranges[0].high")
     if width == 1:  # single strings: equal or not
         return out
     # Whether a kind that occurs once repeats in part is open where its group has other kinds.
@@ -246,27 +247,28 @@ def _hot(members: DataFrame, level: int, limit: int, gram: int, most: int) -> Da
     return out
 
 
-def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", limit: int = LIMIT, gram: int = GRAM, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): texts by k with their body, for those that may be cut; spans (k, low, high) to remove, which may
-    overlap. Texts that occur twice or more and reach the limit are removed whole and appear in neither."""
+def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", limit: int = LIMIT, gram: int = GRAM, most: int = MOST, more_texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, spans, bodies): texts by k with their body, for those that may be cut; spans (k, low, high) to remove, which
+    may overlap. Texts that occur twice or more and reach the limit are removed whole and aren't among the texts. bodies:
+    the same with the texts that more_texts names by k."""
     side = limit - gram
     digest = F.unhex(F.md5(F.col(text).cast("string")))
     narrow = docs.select(digest.alias("k"), F.xxhash64(F.col(id_col)).alias("row")).filter("k is not null")
     # Of rows with one text, one stands for all: that of the least hash of the id.
     first = saved(narrow.groupBy("k").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")), "repeat-texts")
     table = saved(anchor_table(docs, text, limit, gram), "repeat-anchors")
-    groups = table.groupBy("a").agg(F.count(F.lit(1)).alias("n"), (F.min("c") != F.max("c")).alias("mixed")).filter("n > 1").select("a", "mixed")
-    again = saved(table.join(groups, "a"), "repeat-again")
+    groups = saved(table.groupBy("a").agg(F.count(F.lit(1)).alias("n"), (F.min("c") != F.max("c")).alias("mixed")).filter("n > 1").select("a", "n", "mixed"), "repeat-groups")
+    again = saved(spread_join(table, groups, ["a"], "n").drop("n"), "repeat-again")
     member = F.struct("k", "pos", "left", "size")
     cells = saved(again.groupBy("a", "c", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("one")), "repeat-cells")
-    twice = cells.filter("n > 1").select("a", "c")
-    whole = again.join(twice, ["a", "c"], "left_semi").filter(F.col("size") >= limit)
-    spans = whole.select("k", (F.col("pos") - F.col("left")).cast("int").alias("low"), (F.col("pos") - F.col("left") + F.col("size")).cast("int").alias("high"))
+    whole = spread_join(again, cells.filter("n > 1").select("a", "c", "n"), ["a", "c"], "n").filter(F.col("size") >= limit)
+    # Copies of a text have the same spans, which meet as one before anything is dealt by text.
+    spans = whole.select("k", (F.col("pos") - F.col("left")).cast("int").alias("low"), (F.col("pos") - F.col("left") + F.col("size")).cast("int").alias("high")).distinct()
     # Contexts of the mixed anchors, one for each cell. A group all of whose contexts occur twice has nothing left to decide.
     sizes = cells.filter("mixed").groupBy("a").agg(F.count(F.lit(1)).alias("kinds"), F.count(F.when(F.col("n") == 1, 1)).alias("singles")).filter("singles > 0").drop("singles")
-    mixed = saved(cells.filter("mixed").join(sizes, "a").select(F.col("one.k").alias("k"), F.struct("a", "c", "n", "kinds", "one.pos", "one.left", "one.size").alias("x")), "repeat-mixed")
+    mixed = saved(spread_join(cells.filter("mixed"), saved(sizes, "repeat-sizes"), ["a"], "kinds").select(F.col("one.k").alias("k"), F.struct("a", "c", "n", "kinds", "one.pos", "one.left", "one.size").alias("x")), "repeat-mixed")
     once = first.filter("copies = 1")
-    needed = mixed.select("k").union(again.select("k").join(once.select("k"), "k", "left_semi")).distinct()
+    needed = mixed.select("k").union(again.select("k").distinct().join(once.select("k"), "k", "left_semi")).union(more_texts if more_texts is not None else mixed.select("k").limit(0)).distinct()
     chosen = needed.join(first, "k").select("k", "row")
     bodies = docs.select(digest.alias("k"), F.xxhash64(F.col(id_col)).alias("row"), F.col(text).cast("string").cast("binary").alias("body"))
     # Copies of a text have different ids, so the pair spreads them; rows that share both are one.
@@ -287,18 +289,20 @@ def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", limit:
     alone = contexts.filter("n = 1").select("k", "d", "pos")
     placed = alone.join(found, "d").select("k", "pos", F.explode("ranges").alias("r"))
     spans = spans.union(placed.select("k", (F.col("pos") - F.col("r.high")).cast("int"), (F.col("pos") - F.col("r.low") + limit).cast("int")))
-    return texts.join(once.select("k"), "k", "left_semi"), spans
+    return texts.join(once.select("k"), "k", "left_semi"), spans, texts
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), limit: int = LIMIT, gram: int = GRAM, most: int = MOST, full: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), limit: int = LIMIT, gram: int = GRAM, most: int = MOST, full: bool = False, passages: bool = False) -> DataFrame:
     """(id, kept columns, n_bytes, n_removed, n_spans, kept_sha256) of each row; with full=True also kept, the bytes
-    that remain.
+    that remain; with passages=True also n_passage_words, the words in passages of over fifty words that another document
+    holds too (they are counted, not removed, unless the byte rule covers them).
 
     Texts are bytes of UTF-8; null is empty; matches never cross texts, and are judged on the input. Texts shorter than
     the limit stay whole. Rows with equal texts get equal results, repeated rows included; an empty table gives an
     empty result. A text has memory to its own size. Columns besides these are dropped.
     """
-    texts, spans = repeats(docs, text, id_col, limit, gram, most)
+    shared = SharedPassages(docs, text, id_col) if passages else None
+    texts, spans, bodies = repeats(docs, text, id_col, limit, gram, most, shared.needed if shared else None)
     by_text = spans.groupBy("k").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     source = modest_batches(texts.join(by_text, "k").select("k", "body", "spans"))
     more = ", kept binary" if full else ""
@@ -323,6 +327,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col), *keep, F.unhex(F.md5(body)).alias("__k"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("__whole"), *[body.cast("binary").alias("__body")] * full)
     copied = saved(rows.groupBy("__k", "n_bytes").agg(F.count(F.lit(1)).alias("__n")).filter(f"__n > 1 and n_bytes >= {limit}").select("__k", F.col("n_bytes").alias("__removed"), F.lit(1).cast("long").alias("__spans"), F.sha2(F.lit(""), 256).alias("__sha"), *[F.lit(b"").alias("kept")] * full), "repeat-copies")
-    result = rows.join(saved(parts, "repeat-results").union(copied), "__k", "left")
-    out = result.select(id_col, *keep, "n_bytes", F.coalesce("__removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("__spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("__sha", "__whole").alias("kept_sha256"), *[F.coalesce("kept", "__body").alias("kept")] * full)
+    found = saved(parts, "repeat-results").union(copied)
+    if shared:
+        found = found.join(saved(shared.counts(bodies).withColumnRenamed("k", "__k"), "passage-counts"), "__k", "full")
+    result = rows.join(saved(found, "repeat-found"), "__k", "left")
+    out = result.select(id_col, *keep, "n_bytes", F.coalesce("__removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("__spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("__sha", "__whole").alias("kept_sha256"), *[F.coalesce("kept", "__body").alias("kept")] * full, *[F.coalesce("n_passage_words", F.lit(0)).cast("long").alias("n_passage_words")] * passages)
     return out
