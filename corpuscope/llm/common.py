@@ -40,7 +40,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     executors, and each row is computed once. The table stays until clear_tables()."""
     path = f"{_tables(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._kept_at = path
+    return table
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables of saved() that nothing reads any more, and lets Spark drop the shuffle files of finished steps,
+    which it does when the driver collects garbage."""
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()
 
 
 def clear_tables(spark: SparkSession) -> None:

@@ -3,12 +3,12 @@
 A passage of 400 bytes has some seventy words, so a repeated passage of just over fifty words can be too short for the byte
 rule. Windows of WORDS words are compared here in the same way as the byte strings: each has an anchor, the least-hashed
 GRAM words in it, so equal windows meet at equal anchors; contexts of an anchor that are equal as a whole in two documents
-need no further look, and only where contexts differ are the windows themselves compared, by digest.
+need no further look. Where contexts differ, blocks of windows are compared by the words that all windows of the block share,
+and single windows, by digest, only within blocks that meet but differ. A document is an id with its text.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import in_slices, modest_batches, saved, spread_join, utf8_column
+from corpuscope.llm.common import in_slices, modest_batches, release, saved, spread_join, utf8_column
 
 WORDS = 51
 GRAM = 12
+#: Windows of one block: those that start at the same distances from their anchor.
+BLOCK = 8
 SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -64,15 +66,16 @@ def word_digests(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, out
 
 
-def word_anchors(digests: np.ndarray, ends: np.ndarray, words: int = WORDS, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, _Rolling]:
-    """Places and digests of the anchors of all windows in texts of words that lie one after the other; ends: where each
-    text ends."""
+def word_anchors(digests: np.ndarray, ends: np.ndarray, words: int = WORDS, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, _Rolling]:
+    """Anchors of all windows in texts of words that lie one after the other; ends: where each text ends. Returns place and
+    digest of each anchor, the first of the windows that have it and their number."""
     n, window = len(digests), words - gram + 1
     rolling = _Rolling(digests)
     starts = np.concatenate([[0], ends[:-1]])
     full = ends - starts >= words
     if n < words or not full.any():
-        return np.empty(0, np.int64), np.empty(0, np.uint64), rolling
+        none = np.empty(0, np.int64)
+        return none, none.astype(np.uint64), none, none, rolling
     grams = np.arange(n - gram + 1)
     h = rolling.of(grams, grams + gram)
     # Leftmost of the least, by running minima over blocks; the rank tells equal digests apart by place.
@@ -86,80 +89,108 @@ def word_anchors(digests: np.ndarray, ends: np.ndarray, words: int = WORDS, gram
     inside = np.zeros(n + 2, np.int64)
     np.add.at(inside, starts[full], 1)
     np.add.at(inside, ends[full] - words + 1, -1)
-    at = np.unique(order[least[np.cumsum(inside)[: n - words + 1] > 0]])
-    return at, h[at], rolling
+    valid = np.flatnonzero(np.cumsum(inside)[: n - words + 1] > 0)
+    # The windows of one anchor lie side by side.
+    at = order[least[valid]]
+    edge = np.flatnonzero(np.diff(at, prepend=-1))
+    return at[edge], h[at[edge]], valid[edge], np.diff(np.append(edge, len(at))), rolling
+
+
+def _key(text: str, id_col: str) -> list:
+    body = F.col(text).cast("string")
+    return [F.xxhash64(F.col(id_col), body).alias("u"), body.alias("t")]
 
 
 def anchor_table(docs: DataFrame, text: str, id_col: str, words: int = WORDS, gram: int = GRAM) -> DataFrame:
-    """k (digest of the text), r (of the id), a (anchor), c (digest of its context), low and high (words of the context)."""
-    src = docs.select(F.xxhash64(F.col(id_col)).alias("r"), F.col(text).cast("string").alias("t")).filter(F.octet_length("t") >= 2 * words - 1)
-    side = words - gram
+    """u (document), a (anchor), c (digest of its windows), first (word of the first window), n (windows), l (words from
+    there to the anchor)."""
+    src = docs.select(*_key(text, id_col)).filter(F.octet_length("t") >= 2 * words - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = utf8_column(batch.column("t")), batch.column("r").to_numpy()
+            texts, ids = utf8_column(batch.column("t")), batch.column("u").to_numpy()
             for x, y in in_slices(texts, SLICE_BYTES):
                 part = texts[x:y]
                 begin, digests = word_digests(np.frombuffer(b" ".join(part), np.uint8))
                 ends = np.searchsorted(begin, np.cumsum([len(t) + 1 for t in part]))
-                at, h, rolling = word_anchors(digests, ends, words, gram)
+                at, h, first, n, rolling = word_anchors(digests, ends, words, gram)
                 doc = np.searchsorted(ends, at, side="right")
-                first = np.concatenate([[0], ends[:-1]])[doc]
-                low, high = np.maximum(first, at - side), np.minimum(ends[doc], at + words)
-                digest = _mixed(rolling.of(low, high) + (at - low).astype(np.uint64))
-                used = np.unique(doc)
-                names = {d: hashlib.md5(part[d]).digest() for d in used.tolist()}
+                start = np.concatenate([[0], ends[:-1]])[doc]
+                digest = _mixed(rolling.of(first, first + n + words - 1) + (at - first).astype(np.uint64))
                 yield pa.RecordBatch.from_pydict({
-                    "k": pa.array([names[d] for d in doc.tolist()], pa.binary()), "r": pa.array(ids[x:y][doc], pa.int64()), "a": pa.array(h.view(np.int64), pa.int64()),
-                    "c": pa.array(digest.view(np.int64), pa.int64()), "low": pa.array((low - first).astype(np.int32), pa.int32()), "high": pa.array((high - first).astype(np.int32), pa.int32()),
+                    "u": pa.array(ids[x:y][doc], pa.int64()), "a": pa.array(h.view(np.int64), pa.int64()), "c": pa.array(digest.view(np.int64), pa.int64()),
+                    "first": pa.array((first - start).astype(np.int32), pa.int32()), "n": pa.array(n.astype(np.int16), pa.int16()), "l": pa.array((at - first).astype(np.int16), pa.int16()),
                 })
 
-    return modest_batches(src).mapInArrow(run, "k binary, r bigint, a bigint, c bigint, low int, high int")
+    return modest_batches(src).mapInArrow(run, "u bigint, a bigint, c bigint, first int, n smallint, l smallint")
 
 
-def _windows(texts: DataFrame, places: DataFrame, words: int) -> DataFrame:
-    """texts: k, body; places: k, r, a, low, high. The windows of each place: a, w (digest), k, r, at (first word)."""
-    lists = places.groupBy("k").agg(F.collect_list(F.struct("r", "a", "low", "high")).alias("xs"))
+def _blocks(texts: DataFrame, places: DataFrame, words: int) -> DataFrame:
+    """texts: k, body; places: k, u, a, first, n, l. The blocks of windows of each place: k, u, a, core (digest of what any
+    window of the block holds), whole (of all that these windows hold), at (first window) and ws (their digests)."""
+    lists = places.groupBy("k").agg(F.collect_list(F.struct("u", "a", "first", "n", "l")).alias("xs"))
     source = modest_batches(texts.join(lists, "k").select("k", "body", "xs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, body, xs in zip(batch.column("k").to_pylist(), batch.column("body").to_pylist(), batch.column("xs")):
-                r, a, low, high = (xs.values.flatten()[i].to_numpy() for i in range(4))
+                u, a, first, n, l = (xs.values.flatten()[i].to_numpy().astype(np.int64) for i in range(5))
                 rolling = _Rolling(word_digests(np.frombuffer(body, np.uint8))[1])
-                n = np.maximum(high - low - words + 1, 0)
                 row = np.repeat(np.arange(len(n)), n)
-                at = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                at, number = first[row] + step, (l[row] - step) // BLOCK
                 w = rolling.of(at, at + words)
-                yield pa.RecordBatch.from_pydict({"k": pa.array([k] * len(row), pa.binary()), "r": pa.array(r[row], pa.int64()), "a": pa.array(a[row], pa.int64()), "w": pa.array(w.view(np.int64), pa.int64()), "at": pa.array(at.astype(np.int32), pa.int32())})
+                edge = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(number, prepend=-1) != 0))
+                size = np.diff(np.append(edge, len(row)))
+                row, number, at = row[edge], number[edge], at[edge]
+                anchor = first[row] + l[row]
+                core = _mixed(rolling.of(anchor - number * BLOCK, anchor - number * BLOCK - BLOCK + 1 + words) + number.astype(np.uint64))
+                whole = _mixed(rolling.of(at, at + size + words - 1) + (anchor - at).astype(np.uint64))
+                yield pa.RecordBatch.from_pydict({
+                    "k": pa.array([k] * len(row), pa.binary()), "u": pa.array(u[row], pa.int64()), "a": pa.array(a[row], pa.int64()), "core": pa.array(core.view(np.int64), pa.int64()), "whole": pa.array(whole.view(np.int64), pa.int64()),
+                    "at": pa.array(at.astype(np.int32), pa.int32()), "ws": pa.ListArray.from_arrays(pa.array(np.append(edge, len(w)).astype(np.int32), pa.int32()), pa.array(w.view(np.int64), pa.int64())),
+                })
 
-    return source.mapInArrow(run, "k binary, r bigint, a bigint, w bigint, at int")
+    return source.mapInArrow(run, "k binary, u bigint, a bigint, core bigint, whole bigint, at int, ws array<bigint>")
 
 
 class SharedPassages:
-    """Two steps with the bodies of the texts named by `needed` between them."""
+    """Two steps, with the bodies of the texts named by `needed` between them."""
 
     def __init__(self, docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS, gram: int = GRAM):
-        self.words = words
-        many = (F.min("r") != F.max("r")).alias("many")
+        if words - gram < BLOCK:
+            raise ValueError("a window holds at least a block's length more words than a gram")
+        self.words, self.spark = words, docs.sparkSession
+        rows = F.count(F.lit(1)).alias("rows")
         table = saved(anchor_table(docs, text, id_col, words, gram), "passage-anchors")
-        shared = saved(table.groupBy("a").agg(F.count(F.lit(1)).alias("n"), many, (F.min("c") != F.max("c")).alias("mixed")).filter("many").select("a", "n", "mixed"), "passage-shared")
-        rows = saved(spread_join(table, shared, ["a"], "n").drop("n"), "passage-rows")
-        cells = saved(rows.groupBy("a", "c", "mixed").agg(F.count(F.lit(1)).alias("n"), many, F.min(F.struct("k", "r", "low", "high")).alias("one")), "passage-cells")
-        whole = spread_join(rows.select("k", "a", "c", "low", "high"), cells.filter("many").select("a", "c", "n"), ["a", "c"], "n")
-        self.spans = whole.select("k", "low", "high").filter(F.col("high") - F.col("low") >= words).distinct()
-        alone = spread_join(rows.filter("mixed").select("k", "r", "a", "c", "low", "high"), cells.filter("mixed and not many").select("a", "c", "n"), ["a", "c"], "n").select("k", "r", "a", "low", "high")
-        known = cells.filter("mixed and many").select("one.k", "one.r", "a", "one.low", "one.high")
-        # A cell in two documents needs one place only, which any other document's window can meet.
-        self.places = saved(alone.union(known).distinct(), "passage-places")
+        shared = saved(table.groupBy("a").agg(rows, (F.min("u") != F.max("u")).alias("many"), (F.min("c") != F.max("c")).alias("mixed")).filter("many").select("a", "rows", "mixed"), "passage-shared")
+        met = saved(spread_join(table, shared, ["a"], "rows").drop("rows"), "passage-rows")
+        release(self.spark, table, shared)
+        cells = saved(met.groupBy("a", "c").agg(rows, F.min("u").alias("lo"), F.max("u").alias("hi")), "passage-cells")
+        marked = saved(spread_join(met, cells, ["a", "c"], "rows").drop("rows"), "passage-marked")
+        release(self.spark, met, cells)
+        names = docs.select(*_key(text, id_col)).select("u", F.unhex(F.md5("t")).alias("k")).filter("k is not null").distinct()
+        whole = marked.filter("lo <> hi").select("u", F.col("first").alias("low"), (F.col("first") + F.col("n") + words - 1).alias("high")).distinct()
+        # Of a cell in many documents two stand for all: one of them is another document to any.
+        places = marked.filter("mixed and (lo = hi or u = lo or u = hi)").select("u", "a", "first", "n", "l").distinct()
+        # Copies of a text have the same spans, which meet as one.
+        self.spans = saved(whole.join(names, "u").select("k", "low", "high").distinct(), "passage-spans")
+        self.places = saved(places.join(names, "u").select("k", "u", "a", "first", "n", "l"), "passage-places")
+        release(self.spark, marked)
         self.needed = self.places.select("k").distinct()
 
     def counts(self, texts: DataFrame) -> DataFrame:
         """k and n_passage_words, the words of the text that windows found in another document cover."""
-        windows = saved(_windows(texts.select("k", "body"), self.places, self.words), "passage-windows")
-        met = windows.groupBy("a", "w").agg(F.count(F.lit(1)).alias("n"), (F.min("r") != F.max("r")).alias("many")).filter("many").select("a", "w", "n")
-        hits = spread_join(windows, saved(met, "passage-met"), ["a", "w"], "n")
-        spans = self.spans.union(hits.select("k", F.col("at").alias("low"), (F.col("at") + self.words).alias("high"))).distinct()
+        rows, many = F.count(F.lit(1)).alias("rows"), (F.min("u") != F.max("u")).alias("many")
+        blocks = saved(_blocks(texts.select("k", "body"), self.places, self.words), "passage-blocks")
+        met = saved(blocks.groupBy("a", "core").agg(rows, many, (F.min("whole") != F.max("whole")).alias("mixed")).filter("many").select("a", "core", "rows", "mixed"), "passage-met")
+        hits = saved(spread_join(blocks, met, ["a", "core"], "rows").drop("rows", "whole", "core"), "passage-hits")
+        release(self.spark, blocks)
+        same = hits.filter("not mixed").select("k", F.col("at").alias("low"), (F.col("at") + F.size("ws") - 1 + self.words).alias("high"))
+        windows = saved(hits.filter("mixed").select("k", "u", "a", "at", F.posexplode("ws").alias("i", "w")).select("k", "u", "a", "w", (F.col("at") + F.col("i")).alias("at")), "passage-windows")
+        shared = saved(windows.groupBy("a", "w").agg(rows, many).filter("many").select("a", "w", "rows"), "passage-windows-met")
+        single = spread_join(windows, shared, ["a", "w"], "rows").select("k", F.col("at").alias("low"), (F.col("at") + self.words).alias("high"))
+        spans = self.spans.union(same).union(single).distinct()
         lists = spans.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("spans"))
         step = lambda s, x: F.struct((s["n"] + F.greatest(x["high"] - F.greatest(x["low"], s["end"]), F.lit(0))).alias("n"), F.greatest(x["high"], s["end"]).alias("end"))
         covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda s: s["n"])

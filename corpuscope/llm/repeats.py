@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import deal, in_slices, modest_batches, saved, spread_join, utf8_column
+from corpuscope.llm.common import deal, in_slices, modest_batches, release, saved, spread_join, utf8_column
 from corpuscope.llm.passages import SharedPassages
 from corpuscope.llm.suffix_array import permuted_common_prefixes, suffix_array
 
@@ -259,6 +259,7 @@ def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", limit:
     table = saved(anchor_table(docs, text, limit, gram), "repeat-anchors")
     groups = saved(table.groupBy("a").agg(F.count(F.lit(1)).alias("n"), (F.min("c") != F.max("c")).alias("mixed")).filter("n > 1").select("a", "n", "mixed"), "repeat-groups")
     again = saved(spread_join(table, groups, ["a"], "n").drop("n"), "repeat-again")
+    release(docs.sparkSession, table, groups)
     member = F.struct("k", "pos", "left", "size")
     cells = saved(again.groupBy("a", "c", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("one")), "repeat-cells")
     whole = spread_join(again, cells.filter("n > 1").select("a", "c", "n"), ["a", "c"], "n").filter(F.col("size") >= limit)
@@ -278,6 +279,7 @@ def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", limit:
     contexts = texts.join(lists, "k").select("k", F.explode(F.transform("xs", cut)).alias("x")).select("k", "x.*")
     name = F.unhex(F.md5(F.concat_ws(":", F.col("a").cast("string"), F.col("c").cast("string"))))
     contexts = saved(contexts.withColumn("d", name), "repeat-contexts")
+    release(docs.sparkSession)
     cold = contexts.filter(f"kinds <= {most}").dropDuplicates(["d"])
     units = cold.select(F.col("a").alias("g"), "d", "ctx", "left", F.lit(0).alias("low"), F.lit(side).alias("high"), (F.octet_length("ctx") - gram + 2).alias("symbols"))
     found = _by_suffix_array(units, limit, gram)

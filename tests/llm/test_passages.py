@@ -41,13 +41,13 @@ def test_shared_passages(spark, monkeypatch, kinds):
     monkeypatch.setattr(common, "COMMON_ROWS", 5)  # the way of common keys as well
     rows = random_rows(kinds, kinds, 120)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = SharedPassages(docs, words=9, gram=3)
+    found = SharedPassages(docs, words=13, gram=3)
     from pyspark.sql import functions as F
 
     texts = common.saved(docs.select(F.unhex(F.md5("text")).alias("k"), F.col("text").cast("binary").alias("body")).filter("k is not null").dropDuplicates(["k"]).join(found.needed, "k", "left_semi"), "test-bodies")
     counts = found.counts(texts)
     got = docs.select("doc_id", F.unhex(F.md5("text")).alias("k")).join(counts, "k", "left").select("doc_id", F.coalesce("n_passage_words", F.lit(0)).alias("n")).collect()
-    assert sorted(((r["doc_id"], r["n"]) for r in got), key=str) == brute(rows, 9)
+    assert sorted(((r["doc_id"], r["n"]) for r in got), key=str) == brute(rows, 13)
 
 
 def test_passages_beside_bytes(spark):
