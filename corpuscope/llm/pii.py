@@ -3,8 +3,9 @@
 One regular expression finds all kinds in one scan. What it finds is validated - Luhn for card numbers, mod 97 for
 IBANs, number ranges for national numbers and for addresses (each part keeping its length), the calendar for dates - and only a valid value is replaced, by
 its image under a keyed Feistel permutation of the valid values of its format: equal values get equal pseudonyms in all
-documents, different values different ones, and length and layout stay. Check digits are computed anew, so a pseudonym is as
-valid as its original.
+documents, different values different ones, and length and layout stay. A number keeps its pseudonym in any layout. Check
+digits are computed anew, so a pseudonym is as valid as its original. Formats are small enough to be tried out by whoever
+has the key, so the key has no default and belongs to the caller.
 """
 
 from __future__ import annotations
@@ -13,9 +14,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 6
-DEFAULT_KEY = "corpuscope"
+#: Where the queries and the pipeline look for their key, and what they take where a session (as in tests) names none.
+KEY_CONF, EXAMPLE_KEY = "corpuscope.pii.key", "not secret"
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Ranges of letters beyond ASCII that shift among themselves: Latin, Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, kana,
+#: Han and Hangul (fixed values).
+RANGES = (
+    (0xC0, 0xD6), (0xD8, 0xDE), (0xDF, 0xF6), (0xF8, 0xFF), (0x100, 0x17F), (0x391, 0x3A1), (0x3A3, 0x3A9), (0x3B1, 0x3C9), (0x400, 0x42F), (0x430, 0x45F),
+    (0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A), (0x905, 0x939), (0xE01, 0xE30), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
+)
+_LETTERS = "A-Za-z0-9" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in RANGES)
+#: Calling codes of one and two digits; all others have three (fixed values).
+CALLING_CODE = "^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 _B, _E = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: Length of an IBAN by country (registry).
 IBAN_LENGTHS = {
@@ -39,17 +50,19 @@ def _iban_pattern() -> str:
 
 #: Kind -> pattern, in order of precedence at one place.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[" + _LETTERS + r"._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "iban": _iban_pattern(),
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "date": _B + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})" + _E,
     "ssn": _B + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _E,
-    "phone": r"(?<![\p{L}\p{N}+(])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}" + _E + r"|(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}" + _E,
+    "phone": r"(?<![\p{L}\p{N}+(])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}" + _E + r"|(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}" + _E + "|" + _B + r"(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4})" + _E,
     "card": _B + r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _E,
 }
 KINDS = tuple(PATTERNS)
 #: Days of 1900-01-01 to 2099-12-31: 17 x 4297.
 FIRST_DAY, DAY_LEFT, DAY_RIGHT = "1900-01-01", 17, 4297
+#: Most repetitions until a day is above 12; one more would be needed once in 10**25.
+WALK = 64
 
 
 def _all_pattern() -> str:
@@ -84,8 +97,9 @@ def permuted_number(x: Column, left: int | Column, right: int | Column, key: str
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: s["l"] * right + s["r"])
 
 
-def _shifted(text: Column, digest: Column) -> Column:
-    """Shifts each digit, small and capital letter within its own alphabet by a byte of the digest."""
+def _shifted(text: Column, digest: Column, wide: bool = False) -> Column:
+    """Shifts each digit, small and capital letter within its own alphabet by a byte of the digest; wide: the letters of
+    RANGES as well, by two bytes."""
 
     def one(c: Column, i: Column) -> Column:
         by = F.conv(F.substring(digest, F.pmod(i, F.lit(32)).cast("int") * 2 + 1, F.lit(2)), 16, 10).cast("int")
@@ -93,19 +107,26 @@ def _shifted(text: Column, digest: Column) -> Column:
         for alphabet in (UPPER, LOWER, DIGITS):
             at = F.instr(F.lit(alphabet), c)
             out = F.when(at > 0, F.substring(F.lit(alphabet), F.pmod(at - 1 + by, F.lit(len(alphabet))) + 1, F.lit(1))).otherwise(out)
+        if wide:
+            code, far = F.ascii(c), F.conv(F.substring(digest, F.pmod(i, F.lit(16)).cast("int") * 4 + 1, F.lit(4)), 16, 10).cast("int")
+            moved = F.lit(None).cast("int")
+            for a, b in reversed(RANGES):
+                moved = F.when(code.between(a, b), a + F.pmod(code - a + far, F.lit(b - a + 1))).otherwise(moved)
+            letter = F.decode(F.unhex(F.lpad(F.hex(moved), 4, "0")), "UTF-16BE")
+            out = F.when(code < 128, out).otherwise(F.coalesce(letter, c))
         return out
 
     return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
 
 
-def permuted_text(text: Column, key: str, kind: str) -> Column:
+def permuted_text(text: Column, key: str, kind: str, wide: bool = False) -> Column:
     """Permutes the strings of one layout (digits stay digits, small letters small, capitals capital, the rest itself)."""
     n = F.length(text)
     half = F.floor(n / 2).cast("int")
     start = F.struct(F.substring(text, F.lit(1), half).alias("a"), F.substring(text, half + 1, n - half).alias("b"))
 
     def turn(s: Column, i: Column) -> Column:
-        return F.struct(s["b"].alias("a"), _shifted(s["a"], F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), n.cast("string"), s["b"]), 256)).alias("b"))
+        return F.struct(s["b"].alias("a"), _shifted(s["a"], F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), n.cast("string"), s["b"]), 256), wide).alias("b"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.concat(s["a"], s["b"]))
 
@@ -178,7 +199,8 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """ISO, else day before month, else month before day; the layout and the order stay."""
+    """ISO, else day before month, else month before day; the layout and the order stay. What can only have the month first
+    goes to another such date: the permutation is repeated until the day is above 12 (four in ten days aren't)."""
     iso = F.substring(m, 5, 1) == "-"
     sep = F.substring(m, 3, 1)
     a, b, year = F.substring(m, 1, 2), F.substring(m, 4, 2), F.substring(m, 7, 4)
@@ -186,7 +208,12 @@ def _date(m: Column, key: str) -> Column:
     day_first, month_first = dated(year, b, a), dated(year, a, b)
     value = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.coalesce(day_first, month_first))
     days = F.datediff(value, F.lit(FIRST_DAY).cast("date"))
-    image = F.date_add(F.lit(FIRST_DAY).cast("date"), permuted_number(days, DAY_LEFT, DAY_RIGHT, key, "date").cast("int"))
+    first = F.lit(FIRST_DAY).cast("date")
+    turn = lambda x: permuted_number(x, DAY_LEFT, DAY_RIGHT, key, "date")
+    month_only = ~iso & day_first.isNull()
+    high = lambda x: F.dayofmonth(F.date_add(first, x.cast("int"))) > 12
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), turn(days), lambda x, _: F.when(high(x), x).otherwise(turn(x)))
+    image = F.date_add(first, F.when(month_only, walked).otherwise(turn(days)).cast("int"))
     day, month, years = F.date_format(image, "dd"), F.date_format(image, "MM"), F.date_format(image, "yyyy")
     local = F.when(day_first.isNotNull(), F.concat_ws("", day, sep, month, sep, years)).otherwise(F.concat_ws("", month, sep, day, sep, years))
     same_sep = iso | (sep == F.substring(m, 6, 1))
@@ -205,17 +232,17 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code stays; the other digits are permuted."""
-    code = F.regexp_extract(m, r"^\+[0-9]{1,3}", 0)
-    rest = F.substring(m, F.length(code) + 1, F.length(m))
-    digits = _digits(rest)
-    return F.when(F.length(_digits(m)).between(8, 15), F.concat(code, _laid_out(rest, permuted_text(digits, key, "phone"))))
+    """The calling code behind a plus sign stays; the other digits are permuted, whatever their layout."""
+    digits = _digits(m)
+    code = F.when(F.startswith(m, F.lit("+")), F.regexp_extract(digits, CALLING_CODE, 1)).otherwise("")
+    rest = F.substring(digits, F.length(code) + 1, F.length(digits))
+    return F.when(F.length(digits).between(8, 15), _laid_out(m, F.concat(code, permuted_text(rest, key, "phone"))))
 
 
 def _email(m: Column, key: str) -> Column:
     """The part before the sign is permuted, the domain stays."""
     at = F.instr(m, "@")
-    return F.concat(permuted_text(F.substring(m, F.lit(1), at - 1), key, "email"), F.substring(m, at, F.length(m)))
+    return F.concat(permuted_text(F.substring(m, F.lit(1), at - 1), key, "email", wide=True), F.substring(m, at, F.length(m)))
 
 
 IMAGES = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
@@ -226,7 +253,7 @@ WHOLE = {
     "ip": r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$",
     "date": r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})$",
     "ssn": "^[0-9]{3}-[0-9]{2}-[0-9]{4}$",
-    "phone": "^[+(]",
+    "phone": r"^[+(]|^[0-9]{3}([-.])[0-9]{3}\1[0-9]{4}$",
     "card": "^[0-9]",
 }
 
@@ -246,7 +273,11 @@ def _image(m: Column, key: str) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY, counts: bool = True) -> DataFrame:
+def session_key(docs: DataFrame) -> str:
+    return docs.sparkSession.conf.get(KEY_CONF, EXAMPLE_KEY)
+
+
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", counts: bool = True) -> DataFrame:
     """docs with the valid personal data of each whole text replaced; with counts also n_<kind> and n_pii, what was
     replaced.
 

@@ -25,7 +25,8 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pii.pseudonymise(docs, pii.session_key(docs))
 
 
 def op5_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ OPERATORS = {
     "op1": lambda d: bpe.encode(d),
     "op2": lambda d: sharding.shard(d),
     "op3": lambda d: repeats.remove_repeats(d),
-    "op4": lambda d: pii.pseudonymise(d),
+    "op4": lambda d: pii.pseudonymise(d, "k"),
     "op5": lambda d: quality.judge(d),
     "op6": lambda d: lattice.score(d),
     "op7": lambda d: simhash.near_duplicates(d),
@@ -135,7 +135,7 @@ def test_pseudonyms(spark):
         (5, "4111111111111111 die.55@mail4.example.com", "", ""), (6, "plain text 12 345", "", ""),
     ]
     before = {r[0]: r[1] for r in rows}
-    got = {r["doc_id"]: r for r in pii.pseudonymise(docs_of(spark, rows)).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs_of(spark, rows), "k1").collect()}
     text = {i: r["text"] for i, r in got.items()}
     assert all(len(text[i]) == len(before[i]) for i in text) and text[6] == before[6] and got[6]["n_pii"] == 0
     assert re.fullmatch(r"mail [a-z]{3}\.\d\d@mail4\.example\.com, call \+1 \(\d{3}\) \d{3}-\d{4} or \d\d\.\d\d\.\d\d\.\d{3}", text[1]) and "555-7713" not in text[1]
