@@ -98,6 +98,16 @@ def test_shards_are_even_and_keep_copies(spark):
     assert sum(len(where[f"copy {k}"]) == 1 for k in range(7)) >= 5 and len(where["hot"]) <= 12
 
 
+@pytest.mark.parametrize("copies", [2, 5])
+def test_shards_without_free_room_cut_few_texts(spark, copies):
+    rows = [(i, f"text {i // copies}", "en", "a") for i in range(1600)]
+    got = sharding.shard(docs_of(spark, rows)).collect()
+    sizes, where = Counter(r["shard"] for r in got), defaultdict(set)
+    for r in got:
+        where[r["doc_id"] // copies].add(r["shard"])
+    assert set(sizes.values()) == {100} and sum(len(v) > 1 for v in where.values()) <= 15
+
+
 def brute_repeats(texts, limit):
     count = Counter(t[i : i + limit] for t in texts for i in range(len(t) - limit + 1))
     out = []
