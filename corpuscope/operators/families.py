@@ -119,6 +119,12 @@ def assign(costs: DataFrame) -> DataFrame:
     return costs.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(run, "a_family string, b_family string, cost double")
 
 
+def alignment_of(counts: DataFrame, left: str, right: str) -> DataFrame:
+    """score and matched of two corpora of counts (corpus, token, cnt), from their own numbers of families."""
+    sizes = {r["corpus"]: r["n"] for r in inventory(counts.filter(F.col("corpus").isin(left, right))).groupBy("corpus").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return alignment_score(assign(pair_costs(counts, left, right)), sizes.get(left, 0), sizes.get(right, 0))
+
+
 def alignment_score(matched: DataFrame, left_count: int, right_count: int, unmatched: float = 1.0) -> DataFrame:
     """1 less the mean cost over the larger side, what is unmatched costing a full unit."""
     total = F.coalesce(F.sum("cost"), F.lit(0.0)) + unmatched * (left_count + right_count - 2 * F.count(F.lit(1)))

@@ -77,9 +77,8 @@ def uniform_null(spark: SparkSession, n: int = 10_000, length: int = 10, size: i
     return spark.range(n).select(F.lit("null").alias("corpus"), F.col("id").alias("doc_id"), F.array(seq).alias("seqs"))
 
 
-def sampled(model: DataFrame, lengths: DataFrame, n: int, seed: int, shards: int = 8) -> DataFrame:
-    """doc_id, tokens: sequences from a bigram model (a, b, p) of bounded vocabulary, lengths as observed (a column of
-    lengths); a token without a successor goes on uniformly. What a sequence holds follows from its number and the seed."""
+def _walks(model: DataFrame, lengths: DataFrame):
+    """The model and the lengths as arrays, broadcast: names, rows, distinct lengths, their cumulated counts."""
     table = model.select("a", "b", "p").toArrow()  # at most as many rows as the vocabulary's square; sparse in practice
     observed = lengths.groupBy("length").count().orderBy("length").toArrow()
     names = sorted({*table.column("a").to_pylist(), *table.column("b").to_pylist()})
@@ -91,7 +90,14 @@ def sampled(model: DataFrame, lengths: DataFrame, n: int, seed: int, shards: int
         cell[1].append(p)
     walk = {a: (np.array(b), np.cumsum(p)) for a, (b, p) in rows.items()}
     sizes, weight = observed.column("length").to_numpy(), np.cumsum(observed.column("count").to_numpy().astype(float))
-    shared = model.sparkSession.sparkContext.broadcast((names, walk, sizes, weight))
+    return model.sparkSession.sparkContext.broadcast((names, walk, sizes, weight))
+
+
+def sampled(model: DataFrame, lengths: DataFrame, n: int, seed: int, shards: int = 8, uniform: float = 0.0) -> DataFrame:
+    """doc_id, tokens: sequences from a bigram model (a, b, p) of bounded vocabulary, lengths as observed (a column of
+    lengths); a token without a successor goes on uniformly, and any token does so with probability `uniform`. What a
+    sequence holds follows from its number and the seed."""
+    shared = _walks(model, lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, walk, sizes, weight = shared.value
@@ -103,7 +109,7 @@ def sampled(model: DataFrame, lengths: DataFrame, n: int, seed: int, shards: int
                 at, seq = int(rng.integers(len(names))), []
                 for _ in range(size):
                     seq.append(names[at])
-                    step = walk.get(at)
+                    step = None if uniform and rng.random() < uniform else walk.get(at)
                     at = int(rng.integers(len(names))) if step is None else int(step[0][min(np.searchsorted(step[1], rng.random() * step[1][-1], side="right"), len(step[0]) - 1)])
                 out.append(seq)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("id"), "tokens": pa.array(out, pa.list_(pa.string()))})
@@ -111,30 +117,67 @@ def sampled(model: DataFrame, lengths: DataFrame, n: int, seed: int, shards: int
     return model.sparkSession.range(n, numPartitions=shards).mapInArrow(run, "doc_id bigint, tokens array<string>")
 
 
-def trained_markov(table: DataFrame, n: int, length: int, seed: int, shards: int = 8) -> DataFrame:
-    """doc_id, tokens: n sequences of a fixed length that follow a context table (context, next, cnt); a context that wasn't
-    seen goes on with any token. The table must fit a task: cap the vocabulary before."""
-    rows = table.select("context", "next", "cnt").toArrow().to_pylist()
-    follow: dict[str, tuple[list[str], list[int]]] = {}
-    for r in sorted(rows, key=lambda r: (r["context"], r["next"])):
-        cell = follow.setdefault(r["context"], ([], []))
-        cell[0].append(r["next"])
-        cell[1].append(r["cnt"])
-    order = len(next(iter(follow), "").split(" "))
-    words = sorted({r["next"] for r in rows} | {w for c in follow for w in c.split(" ")})
-    shared = table.sparkSession.sparkContext.broadcast((sorted(follow), {c: (v, np.cumsum(w)) for c, (v, w) in follow.items()}, words))
+#: What a model's zero entries count as when its logarithms are perturbed.
+LEAST_P = 1e-10
+
+
+def sampled_perturbed(model: DataFrame, lengths: DataFrame, n: int, seed: int, tried: dict[int, tuple[int, ...]], noise: float) -> DataFrame:
+    """corpus (the candidate's number), doc_id, tokens: n sequences of each candidate in one job. A candidate is a list of
+    seeds: for each, Gaussian noise is added to the logarithms of all rows, which are then scaled to one again. Rows are
+    dense, so a task makes only those that its sequences visit."""
+    shared = _walks(model, lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, steps, vocabulary = shared.value
+        names, walk, sizes, weight = shared.value
+        made: dict[tuple[int, int], np.ndarray] = {}
+
+        def row(candidate: int, at: int) -> np.ndarray:
+            if (candidate, at) not in made:
+                p = np.full(len(names), 0.0 if at in walk else 1.0 / len(names))
+                if at in walk:
+                    p[walk[at][0]] = np.diff(walk[at][1], prepend=0.0)
+                for s in tried[candidate]:
+                    x = np.log(p + LEAST_P) + noise * np.random.default_rng([s, at]).standard_normal(len(names))
+                    p = np.exp(x - x.max())
+                    p /= p.sum()
+                made[candidate, at] = np.cumsum(p)
+            return made[candidate, at]
+
         for batch in batches:
-            out = []
+            made.clear()
+            who, out = [], []
             for i in batch.column("id").to_pylist():
-                rng = np.random.default_rng([seed, i])
-                seq = starts[int(rng.integers(len(starts)))].split(" ") if starts else []
-                while starts and len(seq) < length:
-                    cell = steps.get(" ".join(seq[-order:]))
-                    seq.append(vocabulary[int(rng.integers(len(vocabulary)))] if cell is None else cell[0][int(np.searchsorted(cell[1], rng.integers(cell[1][-1]), side="right"))])
-                out.append(seq[:length])
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("id"), "tokens": pa.array(out, pa.list_(pa.string()))})
-
-    return table.sparkSession.range(n, numPartitions=shards).mapInArrow(run, "doc_id bigint, tokens array<string>")
+                candidate, rng = i // n, np.random.default_rng([seed, i])
+                size = int(sizes[np.searchsorted(weight, rng.random() * weight[-1], side="right")])
+                at, seq = int(rng.integers(len(names))), []
+                for _ in range(size):
+                    seq.append(names[at])
+                    steps = row(candidate, at)
+                    at = int(min(np.searchsorted(steps, rng.random() * steps[-1], side="right"), len(names) - 1))
+                who.append(candidate)
+                out.append(seq)
+            yield pa.RecordBatch.from_pydict({"corpus": pa.array(who, pa.int32()), "doc_id": batch.column("id"), "tokens": pa.array(out, pa.list_(pa.string()))})
+
+    return model.sparkSession.range(n * len(tried), numPartitions=len(tried)).mapInArrow(run, "corpus int, doc_id bigint, tokens array<string>")
+
+
+def trained_markov(table: DataFrame, n: int, length: int, seed: int) -> DataFrame:
+    """doc_id, tokens: n sequences of a fixed length that follow a context table (context, next, cnt). Each step joins the
+    sequences to their contexts, so the table may have any size; a context that wasn't seen goes on as one drawn by hash.
+    Starts are contexts of least hash, taken again from the first where there are fewer than n."""
+    cell = lambda: F.array_sort(F.collect_list(F.struct("next", "cnt")))  # noqa: E731  at most the words that follow one context
+    follow = table.groupBy("context").agg(cell().alias("follow"), F.sum("cnt").alias("total"))
+    starts = table.select("context").distinct().orderBy(F.xxhash64("context", F.lit(seed)), "context").limit(n)
+    found = [r["context"].split(" ") for r in starts.collect()]  # n rows at most
+    if not found:
+        return table.sparkSession.createDataFrame([], "doc_id long, tokens array<string>")
+    state = table.sparkSession.createDataFrame([(i, found[i % len(found)]) for i in range(n)], "doc_id long, tokens array<string>")
+    order = len(found[0])
+    for step in range(order, length):
+        key = F.array_join(F.slice("tokens", F.lit(-order), F.lit(order)), " ")
+        joined = state.withColumn("context", key).join(follow, "context", "left")
+        draw = F.pmod(hash_draw(seed, F.col("doc_id"), F.lit(step)), F.col("total"))
+        walk = F.aggregate("follow", F.struct(draw.alias("left"), F.lit(None).cast("string").alias("word")), lambda s, x: F.when(s["word"].isNotNull(), s).otherwise(F.struct((s["left"] - x["cnt"]).alias("left"), F.when(s["left"] < x["cnt"], x["next"]).alias("word"))))
+        other = F.element_at(F.array(*(F.lit(c[-1]) for c in found[:200])), (F.pmod(hash_draw(seed, F.col("doc_id"), F.lit(-step)), F.lit(min(len(found), 200))) + 1).cast("int"))
+        state = joined.select("doc_id", F.array_append("tokens", F.coalesce(walk["word"], other)).alias("tokens"))
+    return state.select("doc_id", F.slice("tokens", 1, length).alias("tokens"))

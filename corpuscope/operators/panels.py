@@ -6,13 +6,17 @@ from itertools import combinations
 from math import comb
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TINY = 1e-12
 
 
+#: Numbers of one range of a run.
+RANGE = 100_000
+
+
 def deciles(trajectory: DataFrame, keys: tuple[str, ...], step: str = "step", score: str = "score", value: str = "value", feature: str = "feature") -> DataFrame:
     """keys, feature, decile (0 to 10), value: each feature where progress first crosses a tenth of the way from the first
     score to the last, linearly between steps. Series whose last score isn't above the first give no rows."""
@@ -151,8 +155,70 @@ def stability(stages: DataFrame, order: str, value: str, epsilon: float, by: str
 
 
 def stagnation(events: DataFrame, order: str, accepted: str, by: str) -> DataFrame:
-    """Cumulative accepted count and proposals since the last accepted one."""
-    over = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    wins = F.sum(F.col(accepted).cast("long")).over(over)
-    at = events.withColumn("accepted_so_far", wins)
-    return at.withColumn("since_accept", F.row_number().over(W.partitionBy(by, "accepted_so_far").orderBy(order)) - F.when(F.col("accepted_so_far") > 0, 1).otherwise(0))
+    """Cumulative accepted count and proposals since the last accepted one. The order is a whole number: its ranges are
+    counted first, so a window holds one range of one run, and only the ranges' totals are summed along the run."""
+    placed = events.withColumn("__range", F.floor(F.col(order) / RANGE)).withColumn("__won", F.coalesce(F.col(accepted).cast("long"), F.lit(0)))
+    inside = W.partitionBy(by, "__range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    rows = placed.withColumn("__wins", F.sum("__won").over(inside)).withColumn("__row", F.row_number().over(inside))
+    rows = rows.withColumn("__last", F.max(F.when(F.col("__won") == 1, F.col("__row"))).over(inside))
+    totals = rows.groupBy(by, "__range").agg(F.count(F.lit(1)).alias("n"), F.sum("__won").alias("wins"), F.max(F.when(F.col("__won") == 1, F.col("__row"))).alias("last"))
+    before = W.partitionBy(by).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    sums = totals.withColumn("end", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    sums = sums.select(F.col(by).alias("__by"), F.col("__range").alias("__r"), F.coalesce(F.sum("wins").over(before), F.lit(0)).alias("__before"), (F.col("end") - F.coalesce(F.max(F.col("end") + F.col("last")).over(before), F.lit(0))).alias("__open"))
+    joined = rows.join(sums, rows[by].eqNullSafe(sums["__by"]) & (rows["__range"] == sums["__r"]))
+    out = joined.withColumn("accepted_so_far", F.col("__before") + F.col("__wins")).withColumn("since_accept", F.when(F.col("__last").isNotNull(), F.col("__row") - F.col("__last")).otherwise(F.col("__row") + F.col("__open")))
+    return out.drop("__range", "__won", "__wins", "__row", "__last", "__by", "__r", "__before", "__open")
+
+
+def block_bests(blocks: DataFrame, order: str, metric: str, by: str | None = None) -> DataFrame:
+    """The best of a metric so far and its last value that isn't null, at every block of a run."""
+    over = (W.partitionBy(by) if by else W.partitionBy(F.lit(0))).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return blocks.withColumn(f"best_{metric}", F.max(metric).over(over)).withColumn(f"last_{metric}", F.last(metric, ignorenulls=True).over(over))
+
+
+def joint_hit(summaries: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """Adds joint_hit: whether every metric has reached its target; a missing one hasn't."""
+    hit = F.lit(True)
+    for name, least in targets.items():
+        hit = hit & F.coalesce(F.col(name) >= least, F.lit(False))
+    return summaries.withColumn("joint_hit", hit)
+
+
+def seed_audit(summaries: DataFrame, requested: str = "requested_seed", engine: str = "engine_seed") -> DataFrame:
+    """Adds seeds_match: null where either seed is missing."""
+    return summaries.withColumn("seeds_match", F.col(requested) == F.col(engine))
+
+
+#: Scenarios of the allocation test: nothing but language effects, closer pairs inside the focal group, and focal languages
+#: that all differ from the rest for another reason (fixed values: log effects of pair and of language).
+SCENARIOS = {"exchangeable_null": (0.0, 0.0), "within_group_alternative": (-0.9, 0.0), "correlated_nuisance": (0.0, -0.65)}
+
+
+def simulated_panels(spark, items: tuple[str, ...], focal: tuple[str, ...], trials: int, seed: int, seeds: int = 3) -> DataFrame:
+    """scenario, trial, seed, left, right, auc: pairs from log effects of languages (deviation 0.2, the same for all seeds)
+    and of language and seed (0.03). Normal draws follow from hashes."""
+
+    def normal(*parts) -> Column:
+        unit = lambda tag: (F.pmod(F.xxhash64(F.lit(seed), F.lit(tag), *parts), F.lit(1 << 40)) + 0.5) / (1 << 40)
+        return F.sqrt(-2 * F.log(unit("r"))) * F.cos(2 * F.pi() * unit("a"))
+
+    table = spark.createDataFrame([(s, p, n) for s, (p, n) in SCENARIOS.items()], "scenario string, pair double, node double")
+    pairs = spark.createDataFrame([(a, b) for i, a in enumerate(sorted(items)) for b in sorted(items)[i + 1 :]], "left string, right string")
+    grid = spark.range(trials).withColumnRenamed("id", "trial").crossJoin(F.broadcast(table)).crossJoin(F.broadcast(pairs)).crossJoin(F.broadcast(spark.range(seeds).withColumnRenamed("id", "seed")))
+    own = lambda c: 0.2 * normal(F.col("scenario"), F.col("trial"), F.col(c)) + 0.03 * normal(F.col("scenario"), F.col("trial"), F.col(c), F.col("seed")) + F.when(F.col(c).isin(*focal), F.col("node")).otherwise(0.0)
+    inside = F.col("left").isin(*focal) & F.col("right").isin(*focal)
+    return grid.select("scenario", "trial", "seed", "left", "right", F.exp(own("left") + own("right") + F.when(inside, F.col("pair")).otherwise(0.0)).alias("auc"))
+
+
+def simulated_tails(panels: DataFrame, items: tuple[str, ...], focal: tuple[str, ...]) -> DataFrame:
+    """scenario, trial, effect and tail, the share of all label allocations with an effect as large; each trial on its own."""
+    names = sorted(items)
+    masks = [m for m in range(1 << len(names)) if m.bit_count() == len(focal)]
+    table = panels.sparkSession.createDataFrame([(m, [n for i, n in enumerate(names) if m >> i & 1]) for m in masks], "mask int, chosen array<string>")
+    mean = panels.groupBy("scenario", "trial", "left", "right").agg(F.avg("auc").alias("auc"))
+    marked = mean.crossJoin(F.broadcast(table)).withColumn("inside", F.array_contains("chosen", F.col("left")) & F.array_contains("chosen", F.col("right")))
+    effects = marked.groupBy("scenario", "trial", "mask").agg((F.avg(F.when(~F.col("inside"), F.col("auc"))) - F.avg(F.when(F.col("inside"), F.col("auc")))).alias("effect"))
+    own = sum(1 << names.index(x) for x in focal)
+    observed = effects.filter(F.col("mask") == own).select("scenario", "trial", F.col("effect").alias("observed"))
+    slack = 1e-12 * F.greatest(F.lit(1.0), F.abs("observed"))
+    return effects.join(observed, ["scenario", "trial"]).groupBy("scenario", "trial").agg(F.first("observed").alias("effect"), F.avg((F.col("effect") >= F.col("observed") - slack).cast("double")).alias("tail"))

@@ -45,9 +45,18 @@ def char_counts(token_counts: DataFrame, kind: str, by: str = "corpus") -> DataF
 
 
 def char_profiles(token_counts: DataFrame, by: str = "corpus") -> DataFrame:
-    """corpus, kind, gram, rnk, p of all three kinds."""
-    parts = [profile(char_counts(token_counts, k, by), top, "gram", by).select(by, F.lit(k).alias("kind"), "gram", "rnk", "cnt", "p") for k, top in CHAR_TOP.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """corpus, kind, gram, rnk, cnt, p of all three kinds: one pass takes each type apart, one shuffle counts, one ranks."""
+    tagged = lambda grams, kind: F.transform(grams, lambda g: F.struct(F.lit(kind).alias("kind"), g.alias("gram")))
+    ends = F.when(F.length("token") >= 3, F.array(F.substring("token", -3, 3))).otherwise(F.array().cast("array<string>"))
+    every = F.concat(*(tagged(ends if k == "s3" else X.char_grams(F.col("token"), int(k[1])), k) for k in CHAR_TOP))
+    counts = token_counts.select(by, "cnt", F.explode(every).alias("x")).groupBy(by, "x.kind", "x.gram").agg(F.sum("cnt").alias("cnt"))
+    over = W.partitionBy(by, "kind")
+    most = F.lit(0)
+    for k, top in CHAR_TOP.items():
+        most = F.when(F.col("kind") == k, top).otherwise(most)
+    rank = F.row_number().over(over.orderBy(F.col("cnt").desc(), F.col("gram").asc()))
+    kept = counts.withColumn("rnk", rank).filter((F.col("rnk") <= max(CHAR_TOP.values())) & (F.col("rnk") <= most))
+    return kept.withColumn("p", F.col("cnt") / F.sum("cnt").over(over)).select(by, "kind", "gram", "rnk", "cnt", "p")
 
 
 def profile_sums(profiles: DataFrame, by: str = "corpus") -> DataFrame:

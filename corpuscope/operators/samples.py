@@ -44,9 +44,13 @@ def budget_sample(corpora: DataFrame, budget: int = BUDGET, seed: int = SAMPLE_S
     return within_budget(ordered, budget).select("corpus", "doc_id", "seq", "tokens")
 
 
-def budget_prefix(corpora: DataFrame, budget: int) -> DataFrame:
-    """The first `budget` tokens in document order."""
+def budget_prefix(corpora: DataFrame, budget: int, strict: bool = False) -> DataFrame:
+    """The first `budget` tokens in document order; strict: an error where a corpus has fewer."""
     sized = corpora.withColumn("size", F.aggregate("seqs", F.lit(0).cast("long"), lambda a, s: a + F.size(s)))
+    if strict:
+        totals = sized.groupBy("corpus").agg(F.sum("size").alias("all"))
+        checked = totals.select("corpus", F.when(F.col("all") < budget, F.raise_error(F.concat(F.lit("too few tokens: "), "corpus"))).cast("int").alias("ok"))
+        sized = sized.join(checked, "corpus").filter("ok is null").drop("ok")
     first = running_before(sized, "corpus", "doc_id", "size", "start").filter(F.col("start") < budget)
     rows = first.select("corpus", "doc_id", "start", F.posexplode("seqs").alias("seq", "tokens"))
     inner = F.sum(F.size("tokens")).over(W.partitionBy("corpus", "doc_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)) - F.size("tokens")

@@ -51,16 +51,56 @@ def record_hash(*columns: str) -> Column:
     return F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256)
 
 
+def _digests(payloads: Column) -> Column:
+    """The digests of a run's records in order, each over its own payload and the digest before."""
+    link = lambda s, x: F.array_append(s, F.sha2(F.concat_ws("|", F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit("")), x), 256))
+    return F.aggregate(payloads, F.array().cast("array<string>"), link)
+
+
+def _runs(records: DataFrame, run: str, order: str, payload: tuple[str, ...], more: tuple[str, ...] = ()) -> DataFrame:
+    """Each run's records in order beside their digests. A run is one search, whose records one task takes."""
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in (run, order, *payload)])
+    each = F.array_sort(F.collect_list(F.struct(F.col(order).alias("order"), text.alias("payload"), *more)))
+    runs = records.groupBy(run).agg(each.alias("records"))
+    return runs.withColumn("digests", _digests(F.transform("records", lambda r: r["payload"])))
+
+
 def chained(events: DataFrame, run: str, order: str, payload: tuple[str, ...]) -> DataFrame:
-    """Adds sha256 and previous_sha256, the digest of the record before in the run."""
-    hashed = events.withColumn("sha256", record_hash(run, order, *payload))
-    return hashed.withColumn("previous_sha256", F.coalesce(F.lag("sha256").over(W.partitionBy(run).orderBy(order)), F.lit("")))
+    """run, order, sha256 (over the record and the digest before) and previous_sha256: a change of one record changes all
+    digests behind it in its run."""
+    runs = _runs(events, run, order, payload)
+    each = runs.select(run, "records", "digests", F.posexplode("digests").alias("i", "sha256"))
+    before = F.when(F.col("i") > 0, F.try_element_at("digests", F.greatest("i", F.lit(1)))).otherwise("")
+    return each.select(run, F.element_at("records", F.col("i") + 1)["order"].alias(order), "sha256", before.alias("previous_sha256"))
+
+
+def broken_links(records: DataFrame, run: str, order: str, payload: tuple[str, ...]) -> DataFrame:
+    """records: the payload with the sealed sha256 and previous_sha256. Those whose digest, computed anew along the chain, or
+    whose named predecessor differs."""
+    runs = _runs(records, run, order, payload, ("sha256", "previous_sha256"))
+    each = runs.select(run, "digests", F.posexplode("records").alias("i", "r"))
+    before = F.when(F.col("i") > 0, F.try_element_at("digests", F.greatest("i", F.lit(1)))).otherwise("")
+    good = (F.col("r.sha256") == F.element_at("digests", F.col("i") + 1)) & (F.col("r.previous_sha256") == before)
+    return each.filter(~F.coalesce(good, F.lit(False))).select(run, F.col("r.order").alias(order))
+
+
+def sealed(record: dict) -> bool:
+    """Whether a record's sha256 is that of its canonical JSON (sorted keys, no spaces, no NaN) without it."""
+    import hashlib
+    import json
+
+    body = json.dumps({k: v for k, v in record.items() if k != "sha256"}, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    return record.get("sha256") == hashlib.sha256(body.encode()).hexdigest()
+
 
+def operator_weights(alignment: float) -> dict[str, float]:
+    """The schedule of one run on the driver: nine numbers."""
+    import math
 
-def broken_links(chain: DataFrame, run: str, order: str) -> DataFrame:
-    """Records whose predecessor isn't the one they name."""
-    before = F.coalesce(F.lag("sha256").over(W.partitionBy(run).orderBy(order)), F.lit(""))
-    return chain.withColumn("__before", before).filter("previous_sha256 <> __before").drop("__before")
+    cool = math.log1p(BETA * min(max(alignment, 0.0), 1.0)) / math.log1p(BETA)
+    odd = min(max(FLOOR + (CEILING - FLOOR) * (1 - cool), FLOOR), CEILING)
+    raw = {k: w * (0.5 + WEIRD_GAIN * odd if weird else 0.5 + STABLE_GAIN * (1 - odd)) for k, (w, weird) in OPERATORS.items()}
+    return {k: w / sum(raw.values()) for k, w in raw.items()}
 
 
 def in_hours(hour: Column, start: int, end: int) -> Column:

@@ -155,7 +155,7 @@ RHO = """
 rk AS (SELECT corpus, feature, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS r FROM lo),
 rh AS (SELECT a.feature AS feature_a, b.feature AS feature_b, coalesce(covar_pop(a.r, b.r) / nullif(stddev_pop(a.r) * stddev_pop(b.r), 0), 0.0) AS rho FROM rk a JOIN rk b USING (corpus) GROUP BY ALL)"""
 put("spearman", [*LONG, RHO], "SELECT feature_a, feature_b, round(rho, 6) AS rho FROM rh")
-NULL_TOKENS = "nulls AS (SELECT 'null' AS corpus, d AS doc_id, list_transform(range(10), lambda i: 't' || CAST(CAST('0x' || substr(sha256('0:' || CAST(d AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) % 500 AS VARCHAR)) AS tokens FROM range(2000) r(d))"
+NULL_TOKENS = "nulls AS (SELECT 'null' AS corpus, d AS doc_id, list_transform(range(10), lambda i: 't' || CAST(CAST('0x' || substr(sha256('0:' || CAST(d AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) % 500 AS VARCHAR)) AS tokens FROM range(10000) r(d))"
 put("null_corpus", [NULL_TOKENS], "SELECT corpus, count(*) AS sequence_count, CAST(sum(len(tokens)) AS BIGINT) AS total_tokens, (SELECT count(DISTINCT t) FROM (SELECT unnest(tokens) AS t FROM nulls)) AS unique_types FROM nulls GROUP BY corpus")
 
 SIMPLE = "SELECT corpus, u / t AS ttr, m AS mean_len, wl AS word_len FROM (SELECT corpus, avg(CAST(len(tokens) AS DOUBLE)) AS m, sum(len(tokens)) AS t FROM {p}sq GROUP BY corpus) JOIN (SELECT corpus, count(*) AS u, sum(length(token) * cnt) / sum(cnt) AS wl FROM {p}ty GROUP BY corpus) USING (corpus)"
@@ -192,9 +192,9 @@ cost AS (SELECT a.family AS a_family, b.family AS b_family, least(greatest(0.2 *
   FROM iv a JOIN iv b ON a.corpus = 'fr' AND b.corpus = 'en' LEFT JOIN fc x ON x.kind = 'c3' AND x.fa = 'fr' || chr(9) || a.family AND x.fb = 'en' || chr(9) || b.family LEFT JOIN fc y ON y.kind = 's3' AND y.fa = 'fr' || chr(9) || a.family AND y.fb = 'en' || chr(9) || b.family)"""]
 put("family_pair_cost", FAMILY_COST, "SELECT a_family, b_family, round(cost, 6) AS cost FROM cost")
 
-ALIGNED = [corpora_sql(where="lang IN ('en', 'fr')"), *cooc(1000), """
-an AS (SELECT token FROM vo WHERE corpus = 'fr' AND rnk <= 200),
-ax AS (SELECT corpus, row_tok, col_tok, round(w, 9) AS w FROM l2 WHERE w > 0 AND row_tok IN (SELECT token FROM an) AND col_tok IN (SELECT token FROM an)),
+ALIGNED = [corpora_sql(where="lang IN ('en', 'fr')"), *cooc(5000), """
+an AS (SELECT token FROM vo WHERE corpus = 'fr'),
+ax AS (SELECT corpus, row_tok, col_tok, w FROM l2 WHERE w > 0 AND row_tok IN (SELECT token FROM an) AND col_tok IN (SELECT token FROM an)),
 ag AS (SELECT coalesce(f.row_tok, e.row_tok) AS row_tok, coalesce(f.col_tok, e.col_tok) AS col_tok, coalesce(f.w, 0.0) AS cur, coalesce(e.w, 0.0) AS ref FROM (SELECT * FROM ax WHERE corpus = 'fr') f FULL JOIN (SELECT * FROM ax WHERE corpus = 'en') e ON f.row_tok = e.row_tok AND f.col_tok = e.col_tok)"""]
 put("anchor_align", ALIGNED, "SELECT row_tok, col_tok, round(cur, 6) AS cur, round(ref, 6) AS ref, round(abs(ref - cur), 6) AS distance FROM ag")
 TOP = "tp AS (SELECT 'cooccurrence' AS component, row_tok, col_tok, round(ref, 6) - round(cur, 6) AS delta, round(abs(round(ref, 6) - round(cur, 6)), 6) AS distance FROM ag WHERE round(abs(round(ref, 6) - round(cur, 6)), 6) > 0 ORDER BY distance DESC, row_tok, col_tok LIMIT 512)"
@@ -218,7 +218,7 @@ put("corpus_diff", [BASE], "SELECT corpus, doc_id, seq, len(tokens) AS old_size,
 put("delta_counters", [BASE], f"SELECT corpus, token, count(*) AS cnt FROM (SELECT corpus, unnest({SPLIT}) AS token FROM sq) GROUP BY ALL")
 put("bigram_deltas", [BASE, f"oldnew AS (SELECT corpus, tokens AS t, -1 AS d FROM sq UNION ALL SELECT corpus, {SPLIT}, 1 FROM sq)"], "SELECT corpus, gram, CAST(sum(d) AS BIGINT) AS delta FROM (SELECT corpus, t[i] || ' | ' || t[i + 1] AS gram, d FROM (SELECT *, unnest(range(1, len(t))) AS i FROM oldnew)) GROUP BY ALL HAVING sum(d) <> 0")
 
-LM = [BASE, VOCAB.format(top=500), """
+LM = [BASE, VOCAB.format(top=5000), """
 kt AS (SELECT corpus, doc_id, seq, token AS a, lead(token) OVER (PARTITION BY corpus, doc_id, seq ORDER BY pos) AS b FROM tk WHERE (corpus, token) IN (SELECT (corpus, token) FROM vo)),
 tr AS (SELECT corpus, a, b, cnt, cnt / sum(cnt) OVER (PARTITION BY corpus, a) AS p FROM (SELECT corpus, a, b, count(*) AS cnt FROM kt WHERE b IS NOT NULL GROUP BY ALL)),
 vz AS (SELECT corpus, count(*) AS v FROM vo GROUP BY corpus)"""]
@@ -271,8 +271,27 @@ put("status_rollup", [], "SELECT o_orderstatus AS status, count(*) AS jobs, roun
 put("next_job", [], "SELECT o_custkey AS job, count(*) AS done, count(*) FILTER (WHERE o_orderstatus = 'O') AS started FROM orders GROUP BY o_custkey ORDER BY done, started, job LIMIT 1")
 put("operator_schedule", [f"op AS (SELECT * FROM (VALUES {', '.join(f'({k!r}, {w!r}, {str(o).lower()})' for k, (w, o) in OPERATORS.items())}) v(operator, base, odd))", "al AS (SELECT user_id % 10 AS run, avg(value) / 100 AS x FROM events GROUP BY ALL)", "wd AS (SELECT run, least(greatest(0.15 + 0.85 * (1 - ln(1 + 8 * least(greatest(x, 0.0), 1.0)) / ln(9)), 0.15), 1.0) AS w FROM al)", "ra AS (SELECT run, operator, w, base * CASE WHEN odd THEN 0.5 + 1.8 * w ELSE 0.5 + 1.4 * (1 - w) END AS r FROM wd, op)"], "SELECT run, operator, round(w, 6) AS weirdness, round(r / sum(r) OVER (PARTITION BY run), 6) AS weight FROM ra")
 put("reward_amplification", ["st AS (SELECT event_id, (value - 20) / 100 AS struct_gain, (value - 30) / 200 AS form_gain, user_id % 7 / 100 - 0.03 AS suffix_gain, user_id % 5 / 100 - 0.02 AS trigram_gain, user_id % 11 / 100 - 0.06 AS coherence_gain, event_id % 9 / 10 AS cost FROM events)", f"bo AS (SELECT *, struct_gain > 0 AND form_gain > 0 AND coherence_gain >= -0.05 AS j, {' + '.join(f'{w} * greatest(0.0, {g})' for g, w in GAINS.items())} AS g FROM st)"], "SELECT event_id, round(g + CASE WHEN j THEN 0.01 ELSE 0.0 END, 6) AS bonus, round(CASE WHEN j THEN 0.005 * cost ELSE 0.0 END, 6) AS relief, round(-1.0 + g + CASE WHEN j THEN 0.01 ELSE 0.0 END + CASE WHEN j THEN 0.005 * cost ELSE 0.0 END, 6) AS adjusted FROM bo")
-put("hash_chain", ["hc AS (SELECT user_id, event_id, sha256(concat_ws('|', CAST(user_id AS VARCHAR), CAST(event_id AS VARCHAR), event_type, CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR))) AS sha256 FROM events)"], "SELECT user_id, event_id, sha256, coalesce(lag(sha256) OVER (PARTITION BY user_id ORDER BY event_id), '') AS previous_sha256 FROM hc")
+CHAIN = "WITH RECURSIVE ev AS (SELECT user_id, event_id, concat_ws('|', CAST(user_id AS VARCHAR), CAST(event_id AS VARCHAR), event_type, CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)) AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), ch AS (SELECT user_id, event_id, i, sha256('|' || x) AS sha256, '' AS previous_sha256 FROM ev WHERE i = 1 UNION ALL SELECT ev.user_id, ev.event_id, ev.i, sha256(ch.sha256 || '|' || ev.x), ch.sha256 FROM ch JOIN ev ON ev.user_id = ch.user_id AND ev.i = ch.i + 1)"
+ORACLES["hash_chain"] = CHAIN + " SELECT user_id, event_id, sha256, previous_sha256 FROM ch"
+put("hash_chain_check", [], "SELECT user_id, count(*) AS broken FROM events JOIN (SELECT user_id, min(event_id) AS f FROM events WHERE event_id % 97 = 0 GROUP BY user_id) USING (user_id) WHERE event_id >= f GROUP BY user_id")
 put("feature_vector15", [BASE, *features_sql(BASE)[0][1:], f"fe AS ({features_sql(BASE)[1]})"], f"SELECT corpus, {', '.join(FEATURES[:15])} FROM fe")
-put("self_similarity", [BASE, PROFILES], "SELECT corpus AS corpus_a, corpus AS corpus_b, round(sum(CASE kind WHEN 'c2' THEN c END), 6) AS c2, round(sum(CASE kind WHEN 'c3' THEN c END), 6) AS c3, round(sum(CASE kind WHEN 's3' THEN c END), 6) AS s3, round(sum(CASE kind WHEN 's3' THEN 0.2 ELSE 0.4 END * c), 6) AS form FROM (SELECT corpus, kind, sum(p * p) / power(sqrt(sum(p * p)), 2) AS c FROM prof GROUP BY ALL) GROUP BY corpus")
 put("run_deltas", ["ev AS (SELECT user_id % 10 AS run, event_id % 2 AS side, avg(value) AS a, max(value) AS b FROM events GROUP BY ALL)"], "SELECT x.run, round(x.a - y.a, 6) AS delta_a, round(x.b - y.b, 6) AS delta_b FROM ev x JOIN ev y ON x.run = y.run AND x.side = 0 AND y.side = 1")
 put("missing_ids", [], "SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+
+RETAINED = "feature IN (" + ", ".join(f"'{f}'" for f in FEATURES if f[:3] in ("f02", "f09", "f15", "f17", "f18", "f19")) + ")"
+put("frozen_reward", [*LONG, Z], f"SELECT a.corpus, round(-5.0 * sqrt(sum(power(a.z - b.z, 2))), 4) AS struct FROM z a JOIN z b USING (feature) WHERE {RETAINED} AND b.corpus = (SELECT min(corpus) FROM z) GROUP BY a.corpus")
+put("frozen_distances", [*LONG, Z], f"SELECT a.corpus, b.corpus AS reference, round(sqrt(sum(CASE WHEN {RETAINED} THEN power(a.z - b.z, 2) ELSE 0.0 END)), 4) AS distance_6d, round(sqrt(sum(power(a.z - b.z, 2))), 4) AS distance_21d FROM z a JOIN z b USING (feature) WHERE feature LIKE 'f%' AND a.corpus < b.corpus GROUP BY a.corpus, b.corpus")
+put("total_score", [], "SELECT event_id, round(-value / 100 + 0.75 * (user_id % 10 / 10) + 0.05 * (user_id % 7 / 10 - 0.3) - 0.005 * (event_id % 9 / 10), 6) AS total FROM events")
+BLOCKS = "bk AS (SELECT event_id % 40 AS block, max(value) FILTER (WHERE value < 90) AS struct, avg(value) AS form, max(user_id % 50) FILTER (WHERE user_id > 100) AS family FROM events GROUP BY event_id % 40)"
+put("block_bests", [BLOCKS], "SELECT block, round(max(struct) OVER w, 6) AS best_struct, round(last_value(struct IGNORE NULLS) OVER w, 6) AS last_struct, max(family) OVER w AS best_family, last_value(family IGNORE NULLS) OVER w AS last_family FROM bk WINDOW w AS (ORDER BY block ROWS UNBOUNDED PRECEDING)")
+put("joint_hit", [BLOCKS], "SELECT block, coalesce(struct >= 80, false) AND coalesce(form >= 10, false) AND coalesce(family >= 40, false) AS joint_hit FROM bk")
+put("seed_audit", ["sd AS (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN user_id END AS requested_seed, user_id + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS engine_seed FROM events)"], "SELECT *, requested_seed = engine_seed AS seeds_match FROM sd")
+put("guided_tokens", [*ALIGNED, TOP, "ht AS (SELECT token, sum(w) AS weight FROM (SELECT row_tok AS token, distance AS w FROM tp UNION ALL SELECT col_tok, distance * 0.5 FROM tp) GROUP BY token ORDER BY round(sum(w), 9) DESC, token LIMIT 48)"], "SELECT token, round(weight, 4) AS weight, cnt FROM ht JOIN (SELECT token, cnt FROM ty WHERE corpus = 'fr') USING (token) WHERE length(token) BETWEEN 2 AND 12")
+REWRITTEN = BASE.replace("\nsq AS (", "\nsq0 AS (").replace("\ntk AS (", f"\nsq AS (SELECT corpus, doc_id, seq, {SPLIT} AS tokens FROM sq0),\ntk AS (")
+put("tensor_update", [REWRITTEN, *cooc(5000)[:2]], "SELECT corpus, row_tok, col_tok, cnt FROM co")
+VECTORS = "{n} AS (SELECT corpus, u / t AS ttr, b AS bigram_coverage, g AS trigram_coverage, ln(1 + m) AS log_mean_seq_len FROM (SELECT corpus, avg(CAST(len(tokens) AS DOUBLE)) AS m, sum(len(tokens)) AS t FROM sq GROUP BY corpus) JOIN (SELECT corpus, count(*) AS u FROM ty GROUP BY corpus) USING (corpus) JOIN (SELECT corpus, sum(p) FILTER (WHERE rnk <= 100) AS b FROM {x}2 GROUP BY corpus) USING (corpus) JOIN (SELECT corpus, sum(p) FILTER (WHERE rnk <= 100) AS g FROM {x}3 GROUP BY corpus) USING (corpus))"
+STRUCT = ("ttr", "bigram_coverage", "trigram_coverage", "log_mean_seq_len")
+APART = lambda a: "sqrt(" + " + ".join(f"power((v.{c} - {a}_{c}) / s_{c}, 2)" for c in STRUCT) + ")"
+put("coherence", [BASE, grams(2), grams(3), VECTORS.format(n="sv", x="g"), NULL_TOKENS, "nsq AS (SELECT corpus, doc_id, tokens FROM nulls)", "nty AS (SELECT corpus, token, count(*) AS cnt FROM (SELECT corpus, unnest(tokens) AS token FROM nsq) GROUP BY ALL)", prefixed(grams(2, "h2"), "n"), prefixed(grams(3, "h3"), "n"), prefixed(VECTORS.format(n="nv", x="h"), "n"),
+  "ce AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, greatest(stddev_pop({c}), 1e-9) AS s_{c}" for c in STRUCT) + " FROM sv)", "ne AS (SELECT " + ", ".join(f"{c} AS n_{c}" for c in STRUCT) + " FROM nv)", f"co AS (SELECT corpus, {APART('m')} AS r, {APART('n')} AS n FROM sv v, ce, ne)"],
+  "SELECT corpus, round(r, 4) AS distance_real, round(n, 4) AS distance_null, round(n - r, 4) AS margin, CASE WHEN n - r >= 1 THEN 'coherent' WHEN n - r >= 0 THEN 'borderline' ELSE 'noise_like' END AS label FROM co")

@@ -286,7 +286,7 @@ def tier_selection(spark, d):
 
 @query
 def coherence(spark, d):
-    null = FE.structural_vector(L.uniform_null(spark, 2000))
+    null = FE.structural_vector(L.uniform_null(spark))
     return _r4(C.coherence(FE.structural_vector(corpora(spark, d)), null))
 
 
@@ -374,9 +374,9 @@ def family_assignment(spark, d):
 
 def _aligned(spark, d):
     c = corpora(spark, d).filter("corpus in ('en', 'fr')")
-    w = O.normalised(O.ppmi(O.cooccurrence(c, top=1000)))
-    anchor = O.vocabulary(c.filter("corpus = 'fr'"), 200)
-    side = lambda x: w.filter(F.col("corpus") == x).select("row_tok", "col_tok", F.round("w", 9).alias("w"))
+    w = O.normalised(O.ppmi(O.cooccurrence(c)))
+    anchor = O.vocabulary(c.filter("corpus = 'fr'"))
+    side = lambda x: w.filter(F.col("corpus") == x).select("row_tok", "col_tok", "w")
     return O.anchor_aligned(side("fr"), side("en"), anchor)
 
 
@@ -485,7 +485,7 @@ def bigram_deltas(spark, d):
 
 @query
 def lm_transitions(spark, d):
-    return r6(L.transitions(corpora(spark, d), 500))
+    return r6(L.transitions(corpora(spark, d)))
 
 
 @query
@@ -496,32 +496,32 @@ def lm_contexts(spark, d):
 @query
 def lm_row_entropy(spark, d):
     c = corpora(spark, d)
-    return r6(L.row_entropy(L.transitions(c, 500), L.vocabulary_sizes(c, 500)))
+    return r6(L.row_entropy(L.transitions(c), L.vocabulary_sizes(c)))
 
 
 @query
 def lm_mix_uniform(spark, d):
     c = corpora(spark, d)
-    return r6(L.mixed_uniform(L.transitions(c, 500), L.vocabulary_sizes(c, 500), 0.05, 3))
+    return r6(L.mixed_uniform(L.transitions(c), L.vocabulary_sizes(c), 0.05, 3))
 
 
 @query
 def lm_mix_target(spark, d):
-    m = L.transitions(corpora(spark, d), 500)
+    m = L.transitions(corpora(spark, d))
     side = lambda x: m.filter(F.col("corpus") == x).select("a", "b", "p")
     return r6(L.mixed_toward(side("fr"), side("es"), 0.2))
 
 
 @query
 def null_corpus(spark, d):
-    return FE.corpus_stats(L.uniform_null(spark, 2000)).select("corpus", "sequence_count", "total_tokens", "unique_types")
+    return FE.corpus_stats(L.uniform_null(spark)).select("corpus", "sequence_count", "total_tokens", "unique_types")
 
 
 @query
 def lm_sample(spark, d):
     c = corpora(spark, d).filter("corpus = 'es'")
     lengths = sequences(c).select(F.size("tokens").alias("length"))
-    return L.sampled(L.transitions(c, 500), lengths, 200, 11).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+    return L.sampled(L.transitions(c), lengths, 200, 11).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 # Trajectories and panels
@@ -674,8 +674,11 @@ def hash_chain(spark, d):
 
 @query
 def hash_chain_check(spark, d):
-    e = table(spark, d, "events")
-    return SC.broken_links(SC.chained(e, "user_id", "event_id", ("event_type", "value")), "user_id", "event_id").groupBy().agg(F.count(F.lit(1)).alias("broken"))
+    """Every 97th event is changed after its chain was sealed: it and all behind it in its run are told."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    seals = SC.chained(e, "user_id", "event_id", ("event_type",))
+    changed = e.withColumn("event_type", F.when(F.col("event_id") % 97 == 0, F.concat("event_type", F.lit("x"))).otherwise(F.col("event_type")))
+    return SC.broken_links(changed.join(seals, ["user_id", "event_id"]), "user_id", "event_id", ("event_type",)).groupBy("user_id").agg(F.count(F.lit(1)).alias("broken"))
 
 
 @query
@@ -698,8 +701,13 @@ def pca_variance(spark, d):
 
 @query
 def self_similarity(spark, d):
-    p = P.language_profiles(corpora(spark, d)).select("corpus", "kind", "gram", "p")
-    return r6(C.form_scores(C.profile_cosines(p, p)).filter("corpus_a = corpus_b"))
+    """What a corpus scores against itself: the ceiling of each measure. That of the families is below one, as a short word
+    of two letters has no suffix to agree on."""
+    t = types(corpora(spark, d).filter("corpus in ('en', 'fr')"))
+    p = P.char_profiles(t).select("corpus", "kind", "gram", "p")
+    form = C.form_scores(C.profile_cosines(p, p)).filter("corpus_a = corpus_b").select(F.col("corpus_a").alias("corpus"), "form")
+    family = [FA.alignment_of(t, x, x).select(F.lit(x).alias("corpus"), F.col("score").alias("family"), "matched") for x in ("en", "fr")]
+    return r6(form.join(family[0].union(family[1]), "corpus"))
 
 
 @query
@@ -710,9 +718,7 @@ def adjustment_frontier(spark, d):
 
 @query
 def family_alignment(spark, d):
-    t = types(corpora(spark, d))
-    matched = FA.assign(FA.pair_costs(t, "fr", "en"))
-    return r6(FA.alignment_score(matched, 36, 36))
+    return r6(FA.alignment_of(types(corpora(spark, d)), "fr", "en"))
 
 
 @query
@@ -741,3 +747,76 @@ def candidate_pool(spark, d):
     base = sequences(every.filter("corpus = 'fr'"))
     pool = {0: Candidate("token_char_edit", "", 0.25, (Step("map", (("de", "the"),)),)), 1: Candidate("split_token", "", 0.4, (Step("split", tokens=("les", "le", "es")),)), 2: Candidate("swap_bigram_order", "", 0.2, (Step("swap", tokens=("de", "la")),))}
     return _r4(score_pool(base, pool, Reference(every.filter("corpus = 'en'"))))
+
+
+# The frozen objective, the search's totals and stops
+
+
+def _frozen(spark, d):
+    from corpuscope.operators.objective import FrozenObjective
+
+    bank = _source_features(spark, d).persist()  # one row a source, read for scale, target and states
+    return bank, FrozenObjective.of_bank(bank, bank.agg(F.min("corpus")).first()[0])
+
+
+@query
+def frozen_reward(spark, d):
+    bank, objective = _frozen(spark, d)
+    return _r4(objective.rewards(bank))
+
+
+@query
+def frozen_distances(spark, d):
+    bank, objective = _frozen(spark, d)
+    return _r4(objective.reference_distances(bank, bank).filter("corpus < reference"))
+
+
+@query
+def total_score(spark, d):
+    e = table(spark, d, "events")
+    total = SC.total_score(-F.col("value") / 100, F.col("user_id") % 10 / 10, F.col("user_id") % 7 / 10 - 0.3, F.col("event_id") % 9 / 10)
+    return r6(e.select("event_id", total.alias("total")))
+
+
+def _blocks(spark, d):
+    return table(spark, d, "events").groupBy((F.col("event_id") % 40).alias("block")).agg(F.max(F.when(F.col("value") < 90, F.col("value"))).alias("struct"), F.avg("value").alias("form"), F.max(F.when(F.col("user_id") > 100, F.col("user_id") % 50)).alias("family"))
+
+
+@query
+def block_bests(spark, d):
+    return r6(PN.block_bests(PN.block_bests(_blocks(spark, d), "block", "struct"), "block", "family").select("block", "best_struct", "last_struct", F.col("best_family").cast("long").alias("best_family"), F.col("last_family").cast("long").alias("last_family")))
+
+
+@query
+def joint_hit(spark, d):
+    return PN.joint_hit(_blocks(spark, d), {"struct": 80.0, "form": 10.0, "family": 40}).select("block", "joint_hit")
+
+
+@query
+def seed_audit(spark, d):
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 > 0, F.col("user_id")).alias("requested_seed"), (F.col("user_id") + F.when(F.col("event_id") % 3 == 0, 1).otherwise(0)).alias("engine_seed"))
+    return PN.seed_audit(e)
+
+
+@query
+def guided_tokens(spark, d):
+    rounded = _aligned(spark, d).withColumns({c: F.round(c, 6) for c in ("cur", "ref")}).withColumn("distance", F.round(F.abs(F.col("ref") - F.col("cur")), 6))
+    counts = types(corpora(spark, d).filter("corpus = 'fr'"))
+    return _r4(O.guided(O.hotspots(O.top_adjustments(rounded, "cooccurrence")), counts))
+
+
+@query
+def tensor_update(spark, d):
+    """Co-occurrence after a rewrite, from the pairs before it and what the changed sequences change."""
+    from corpuscope.operators import tensor as T
+
+    c = corpora(spark, d)
+    base, changes = sequences(c), _changes(spark, d)
+    counts = RW.updated_counts(types(c), RW.token_deltas(changes), "token")
+    return T.in_vocabulary(T.updated(T.raw_pairs(base), changes), counts)
+
+
+@query
+def panel_simulation(spark, d):
+    panels = PN.simulated_panels(spark, ITEMS, FOCAL, 20, 1)
+    return r6(PN.simulated_tails(panels, ITEMS, FOCAL).groupBy("scenario").agg(F.count(F.lit(1)).alias("trials"), F.avg("effect").alias("effect"), F.avg("tail").alias("tail")))

@@ -1,58 +1,70 @@
-"""Readable text of HTML pages: headings, paragraphs and list items, without navigation, tables, scripts and footnote
-marks. Nested skipped elements are counted, so a same-named inner one doesn't end the outer."""
+"""Readable text of HTML pages, without scripts, tables, figures, formulas and footnote marks. Nested skipped elements are
+counted, so a same-named inner one doesn't end the outer."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SKIPPED = {"script", "style", "table", "nav", "head", "footer", "aside", "form", "button", "noscript"}
-BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "dd", "dt", "pre"}
+#: Elements and parts of class names that are left out, elements that break a line, and lines that are page furniture (fixed
+#: values).
+SKIPPED = {"script", "style", "table", "sup", "figure", "math"}
+SKIPPED_CLASSES = ("reference", "mw-editsection", "navigation-not-searchable")
+BLOCKS = {"p", "div", "section", "h1", "h2", "h3", "h4", "li"}
+FURNITURE = {"*", "* * *", "Télécharger", "Outils"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_MARK = re.compile(r"\[[0-9]+\]")
 
 
 class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
+        self.lines: list[list[str]] = [[]]
         self.skips: list[str] = []
-        self.inside = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag == "br" and not self.skips:
-            self.parts.append("\n")
         if tag in VOID:
+            if tag in ("br", "hr") and not self.skips:
+                self.lines.append([])
             return
-        classes = (dict(attrs).get("class") or "").split()
-        if self.skips or tag in SKIPPED or "reference" in classes:
+        classes = dict(attrs).get("class") or ""
+        if self.skips or tag in SKIPPED or any(c in classes for c in SKIPPED_CLASSES):
             self.skips.append(tag)
         elif tag in BLOCKS:
-            self.inside += 1
-            self.parts.append("\n")
+            self.lines.append([])
 
     def handle_endtag(self, tag: str) -> None:
         if self.skips:
             if tag in self.skips:
                 while self.skips.pop() != tag:
                     pass
-        elif tag in BLOCKS and self.inside:
-            self.inside -= 1
-            self.parts.append("\n")
+        elif tag in BLOCKS:
+            self.lines.append([])
 
     def handle_data(self, data: str) -> None:
-        if self.inside and not self.skips:
-            self.parts.append(data)
+        if self.skips:
+            return
+        first, *others = data.strip().split("\n")
+        self.lines[-1].append(first)
+        self.lines += [[x] for x in others]
 
 
 def text_of(html: str | None) -> str:
+    """Lines of text; a blank line stands for any number of breaks without text. Empty where there is no text."""
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
-    lines = (" ".join(line.split()) for line in "".join(reader.parts).split("\n"))
-    return "\n".join(line for line in lines if line)
+    out: list[str] = []
+    for parts in reader.lines:
+        line = re.sub(r"[ \t]+", " ", _MARK.sub("", " ".join(p for p in parts if p))).strip()
+        if line in FURNITURE or (not line and (not out or not out[-1])):
+            continue
+        out.append(line)
+    return "\n".join(out).strip()
 
 
 def page_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:

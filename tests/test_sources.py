@@ -13,13 +13,13 @@ from corpuscope.sources.html import between_markers, text_of
 
 
 def test_leipzig(spark, tmp_path):
-    body = "1\tDas Haus ist alt.\n2\tLa maison est grande!\n3\t42 ???\n".encode()
+    body = "1\tEin Boot liegt im Hafen.\n2\tLe port dort encore!\n3\t17 %%\n".encode()
     with tarfile.open(tmp_path / "x.tar.gz", "w:gz") as tar:
         info = tarfile.TarInfo("x/x-sentences.txt")
         info.size = len(body)
         tar.addfile(info, io.BytesIO(body))
     got = SF.leipzig(spark, str(tmp_path)).orderBy("part").collect()
-    assert [r["tokens"] for r in got] == [["das", "haus", "ist", "alt"], ["la", "maison", "est", "grande"]]
+    assert [r["tokens"] for r in got] == [["ein", "boot", "liegt", "im", "hafen"], ["le", "port", "dort", "encore"]]
     assert SF.leipzig(spark, str(tmp_path), 1).count() == 1
 
 
@@ -61,8 +61,10 @@ def test_folders_manifests_and_json(spark, tmp_path):
 
 
 def test_html():
-    page = "<html><head><title>t</title></head><body><h1>Head</h1><p>One<sup class='reference'>[1]</sup> &amp; two</p><table><tr><td>cell</td></tr></table><p>Three</p></body></html>"
-    assert text_of(page) == "Head\nOne & two\nThree" and text_of(None) == ""
+    page = "<html><body>Bare<div>In a <b>div</b><div>inner</div></div><h2>Harbour</h2><p>Boats<sup>2</sup> &amp; nets [17]</p><table><tr><td>depth<table><tr><td>9</td></tr></table></td></tr></table>after"
+    page += "<span class='x mw-editsection'>edit</span><figure>plan</figure><math>m</math><script>var a = '<p>no</p>';</script><br>Outils<hr>tide <section>low</section></body></html>"
+    assert [x for x in text_of(page).split("\n") if x] == ["Bare", "In a div", "inner", "Harbour", "Boats & nets", "after", "tide", "low"] and text_of(None) == ""
+    assert text_of("<p>a</p><p></p><p>b</p>") == "a\n\nb"
     assert between_markers("a START b END c", "START", "END") == "START b " and between_markers("abc", "x", "y") == "abc"
 
 
