@@ -94,7 +94,7 @@ def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str, ho
     """
     total = groups.agg(F.sum(size)).first()[0] or 0
     most = max(COMMON_ROWS, total // (COMMON_SHARES * deal(rows)))
-    # A row of nulls, which meets nothing, keeps the plan the same where no key is common.
+    # A row of nulls, which meets nothing, keeps the table from being empty.
     nothing = groups.sparkSession.range(1).select(*[F.lit(None).cast(groups.schema[c].dataType).alias(c) for c in groups.columns])
     common = groups.filter(F.col(size) > most).unionByName(nothing)
     light = rows.join(F.broadcast(common.select(*on)), on, "left_anti").join(groups.filter(F.col(size) <= most), on, how)
