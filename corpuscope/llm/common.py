@@ -89,16 +89,18 @@ def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str, ho
     """rows joined to groups, which holds each key once with the number of rows (or more) that have it in `size`.
 
     Rows of common keys stay where they are and their groups are broadcast: since the sizes add up to the number of rows,
-    there are at most COMMON_SHARES such keys a partition. The others meet by a shuffle, none of them with many rows.
-    Both should be tables, as they are read twice.
+    there are at most COMMON_SHARES such keys a partition, and the driver may hold their hashes. The others meet by a
+    shuffle, none of them with many rows. Both sides are parted by the same hash of the key, so a key whose hash is that of
+    a common one goes with it. Both should be tables, as they are read twice.
     """
     total = groups.agg(F.sum(size)).first()[0] or 0
     most = max(COMMON_ROWS, total // (COMMON_SHARES * deal(rows)))
-    # A row of nulls, which meets nothing, keeps the table from being empty.
-    nothing = groups.sparkSession.range(1).select(*[F.lit(None).cast(groups.schema[c].dataType).alias(c) for c in groups.columns])
-    common = groups.filter(F.col(size) > most).unionByName(nothing)
-    light = rows.join(F.broadcast(common.select(*on)), on, "left_anti").join(groups.filter(F.col(size) <= most), on, how)
-    return light.unionByName(rows.join(F.broadcast(common), on, how))
+    hashes = [x[0] for x in groups.filter(F.col(size) > most).select(F.xxhash64(*on)).distinct().collect()]
+    if not hashes:
+        return rows.join(groups, on, how)
+    common = F.xxhash64(*on).isin(hashes)
+    light = rows.filter(~common).join(groups.filter(~common), on, how)
+    return light.unionByName(rows.filter(common).join(F.broadcast(groups.filter(common)), on, how))
 
 
 def salt_of(*cols: str | Column, n: int) -> Column:
