@@ -167,7 +167,14 @@ def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.nda
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     out = np.zeros(n, np.int64)
-    padded = np.concatenate([s, -1 - np.arange(most + 1)])
+    # Symbols go by words of several, so that one comparison covers them all; past the end stands a symbol of its own.
+    width = max(1, int(s.max()) + 1).bit_length()
+    span = 62 // width
+    padded = np.concatenate([s, np.full(most + span, (1 << width) - 1, np.int64)])
+    packed = np.zeros(n + most + 1, np.int64)
+    for k in range(span):
+        packed |= padded[k : k + len(packed)] << (k * width)
+    steps = np.int64(1) << (np.arange(1, span + 1, dtype=np.int64) * width)
     stride = 64
     while stride >= 1:
         at = np.arange(0, n, stride) if stride == 64 else np.arange(stride, n, 2 * stride)
@@ -175,9 +182,11 @@ def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.nda
             out[at] = np.maximum(out[at - stride] - stride, 0)
         live = at[before[at] >= 0]
         while len(live):
-            same = (padded[live + out[live]] == padded[before[live] + out[live]]) & (before[live] + out[live] < n)
-            live = live[same]
-            out[live] += 1
-            live = live[out[live] < most]
+            apart = packed[live + out[live]] ^ packed[before[live] + out[live]]
+            # The lowest bit that differs lies in the first symbol that does.
+            equal = np.searchsorted(steps, apart & -apart, side="right")
+            equal[apart == 0] = span
+            out[live] = np.minimum(out[live] + equal, most)
+            live = live[(equal == span) & (out[live] < most)]
         stride //= 2
     return out
