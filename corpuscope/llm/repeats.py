@@ -20,6 +20,7 @@ Nothing is capped: each of the three ways is exact.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,8 @@ GRAM = 256
 MOST = 2000
 #: Symbols of a shard, about.
 SHARD_SYMBOLS = 500_000
+#: Parts into which the places of a context are taken to narrow them before the suffix array.
+PARTS = 5
 #: Widths of the ranges of places, level by level.
 WIDTHS = (29, 5, 1)
 SLICE_BYTES = 1 << 20
@@ -161,6 +164,44 @@ def shard_repeats(contexts: list[bytes], lefts: np.ndarray, low: np.ndarray, hig
     return out
 
 
+def narrowed(contexts: list[bytes], lefts: np.ndarray, low: np.ndarray, high: np.ndarray, limit: int = LIMIT, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Closer bounds of the places at which a string of the context may also start in another one; low exceeds high where
+    there is none. The places are taken in PARTS parts: what all strings of a part share must stand in another context
+    for any of them to. Digests that collide only leave more to compare."""
+    side = limit - gram
+    step = -(-(side + 1) // PARTS)
+    seen: Counter[int] = Counter()
+    cores: list[list[tuple[int, int]]] = []
+    for x, left, a0, b0 in zip(contexts, lefts.tolist(), low.tolist(), high.tolist()):
+        right, own = len(x) - left - gram, []
+        for a in range(0, side + 1, step):
+            b = min(a + step - 1, side)
+            if a <= b0 and b >= a0 and left >= a and right >= side - b:
+                own.append((a, xxhash.xxh3_64_intdigest(x[left - a : left + gram + side - b], a)))
+        seen.update(h for _, h in own)
+        cores.append(own)
+    shared = [[a for a, h in own if seen[h] > 1] for own in cores]
+    closer_low = np.array([x[0] if x else 1 for x in shared], np.int64)
+    closer_high = np.array([x[-1] + step - 1 if x else 0 for x in shared], np.int64)
+    some = np.array([bool(x) for x in shared], bool)
+    return np.where(some, np.maximum(low, closer_low), closer_low), np.where(some, np.minimum(high, closer_high), closer_high)
+
+
+def _load_repeats(contexts: list[bytes], lefts: np.ndarray, low: np.ndarray, high: np.ndarray, limit: int, gram: int) -> list[np.ndarray]:
+    """shard_repeats of the contexts cut down to what strings at the narrowed places cover."""
+    side = limit - gram
+    low, high = narrowed(contexts, lefts, low, high, limit, gram)
+    out: list[np.ndarray] = [np.empty(0, np.int64)] * len(contexts)
+    open_ = np.flatnonzero(low <= high)
+    if len(open_):
+        begin = np.maximum(lefts - high, 0)
+        end = lefts + gram + side - low
+        hits = shard_repeats([contexts[i][begin[i] : end[i]] for i in open_.tolist()], (lefts - begin)[open_], low[open_], high[open_], limit, gram)
+        for i, hit in zip(open_.tolist(), hits):
+            out[i] = hit
+    return out
+
+
 def _ranges(values: np.ndarray) -> list[dict]:
     """Sorted distinct whole numbers as ranges."""
     if not len(values):
@@ -192,7 +233,7 @@ def _by_suffix_array(units: DataFrame, limit: int, gram: int) -> DataFrame:
             load.append(i)
             size += len(contexts[i]) - gram + 2
             if n + 1 == len(order) or size >= SHARD_SYMBOLS and groups[order[n + 1]] != groups[i]:
-                hits = shard_repeats([contexts[x] for x in load], lefts[load], low[load], high[load], limit, gram)
+                hits = _load_repeats([contexts[x] for x in load], lefts[load], low[load], high[load], limit, gram)
                 for x, hit in zip(load, hits):
                     found[x] = _ranges(hit)
                 load, size = [], 0

@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from corpuscope.llm import common, repeats
@@ -64,3 +65,26 @@ def test_passages_beside_bytes(spark):
     assert got[6]["n_removed"] == len(line) == got[7]["n_removed"] and got[6]["n_spans"] == 1 and got[6]["n_passage_words"] == 400
     assert got[8]["n_removed"] == 0 and got[8]["n_passage_words"] > 51
     assert got[9]["n_removed"] == 3_000_000 and got[10]["n_removed"] == 0 and got[11]["n_passage_words"] == 0
+
+
+def test_narrowed_places_lose_none():
+    rng = np.random.default_rng(3)
+    limit, gram = 60, 20
+    side = limit - gram
+    anchor = bytes(rng.integers(97, 100, gram, np.uint8))
+    base = [bytes(rng.integers(97, 99, side, np.uint8)) for _ in range(2)]
+    contexts, lefts = [], []
+    for i in range(60):
+        left, right = bytearray(base[0]), bytearray(base[1])
+        for part in (left, right):
+            if i % 3:
+                part[int(rng.integers(side))] = 120 + i % 5
+        cut = int(rng.integers(0, side)) if i % 4 == 0 else 0
+        contexts.append(bytes(left[cut:]) + anchor + bytes(right[: side - cut % 7]))
+        lefts.append(side - cut)
+    low, high = np.zeros(60, np.int64), np.full(60, side)
+    low[:5], high[5:10] = 7, 20
+    args = contexts, np.array(lefts), low, high, limit, gram
+    whole = repeats.shard_repeats(*args)
+    assert [x.tolist() for x in repeats._load_repeats(*args)] == [x.tolist() for x in whole]
+    assert 0 < sum(map(len, whole)) < 60 * side
