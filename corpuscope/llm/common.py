@@ -91,15 +91,16 @@ def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str, ho
     Rows of common keys stay where they are and their groups are broadcast: since the sizes add up to the number of rows,
     there are at most COMMON_SHARES such keys a partition, and the driver may hold their hashes. The others meet by a
     shuffle, none of them with many rows. Both sides are parted by the same hash of the key, so a key whose hash is that of
-    a common one goes with it. Both should be tables, as they are read twice.
+    a common one goes with it. A partition of the groups, narrow rows of different keys, is hashed, so the many rows aren't
+    sorted. Both should be tables, as they are read twice.
     """
     total = groups.agg(F.sum(size)).first()[0] or 0
     most = max(COMMON_ROWS, total // (COMMON_SHARES * deal(rows)))
     hashes = [x[0] for x in groups.filter(F.col(size) > most).select(F.xxhash64(*on)).distinct().collect()]
     if not hashes:
-        return rows.join(groups, on, how)
+        return rows.join(groups.hint("shuffle_hash"), on, how)
     common = F.xxhash64(*on).isin(hashes)
-    light = rows.filter(~common).join(groups.filter(~common), on, how)
+    light = rows.filter(~common).join(groups.filter(~common).hint("shuffle_hash"), on, how)
     return light.unionByName(rows.filter(common).join(F.broadcast(groups.filter(common)), on, how))
 
 
