@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,6 +106,18 @@ def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str, ho
     return light.unionByName(rows.filter(common).join(F.broadcast(groups.filter(common)), on, how))
 
 
+@lru_cache(maxsize=4)
+def _first_powers(base: int) -> np.ndarray:
+    held = np.cumprod(np.full(1 << 21, base, np.uint64))
+    held.flags.writeable = False
+    return held
+
+
+def powers(n: int, base: int) -> np.ndarray:
+    """base ** 1 .. base ** n, of 64 bits. Those that texts of usual slices need are kept."""
+    return _first_powers(base)[:n] if n <= 1 << 21 else np.cumprod(np.full(n, base, np.uint64))
+
+
 def salt_of(*cols: str | Column, n: int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import in_slices, modest_batches, release, saved, spread_join, utf8_column
+from corpuscope.llm.common import in_slices, modest_batches, powers, release, saved, spread_join, utf8_column
 
 WORDS = 51
 GRAM = 12
@@ -25,14 +25,11 @@ BLOCK = 8
 SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_PLACES = np.uint64(0xFFFFFF)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    return np.cumprod(np.full(n, base, np.uint64))
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * _MIX
     return h ^ (h >> np.uint64(29))
@@ -43,9 +40,9 @@ class _Rolling:
 
     def __init__(self, values: np.ndarray):
         n = len(values)
-        self.inverse = np.append(_powers(n, pow(_BASE, -1, 1 << 64)), np.uint64(1))
+        self.inverse = np.append(powers(n, pow(_BASE, -1, 1 << 64)), np.uint64(1))
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * _powers(n, _BASE), out=self.sums[1:])
+        np.cumsum(values * powers(n, _BASE), out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[end] - self.sums[start]) * self.inverse[start])
@@ -78,11 +75,15 @@ def word_anchors(digests: np.ndarray, ends: np.ndarray, words: int = WORDS, gram
         return none, none.astype(np.uint64), none, none, rolling
     grams = np.arange(n - gram + 1)
     h = rolling.of(grams, grams + gram)
-    # Leftmost of the least, by running minima over blocks; the rank tells equal digests apart by place.
-    order = np.argsort(h, kind="stable")
-    rank = np.empty(len(h), np.int64)
-    rank[order] = np.arange(len(h))
-    grid = np.concatenate([rank, np.full(-len(h) % window + window, np.iinfo(np.int64).max)]).reshape(-1, window)
+    # Leftmost of the least, by running minima over blocks; the place in the low bits tells equal digests apart.
+    h_top, order = h & ~_PLACES, grams
+    if len(h) <= int(_PLACES):
+        keyed = h_top | grams.astype(np.uint64)
+    else:  # the same order, by ranks
+        order = np.argsort(h_top, kind="stable")
+        keyed = np.empty(len(h), np.uint64)
+        keyed[order] = grams.astype(np.uint64)
+    grid = np.concatenate([keyed, np.full(-len(h) % window + window, ~np.uint64(0), np.uint64)]).reshape(-1, window)
     forth = np.minimum.accumulate(grid, axis=1).ravel()
     back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(back[: n - words + 1], forth[window - 1 : n - words + window])
@@ -91,7 +92,7 @@ def word_anchors(digests: np.ndarray, ends: np.ndarray, words: int = WORDS, gram
     np.add.at(inside, ends[full] - words + 1, -1)
     valid = np.flatnonzero(np.cumsum(inside)[: n - words + 1] > 0)
     # The windows of one anchor lie side by side.
-    at = order[least[valid]]
+    at = order[(least[valid] & (_PLACES if order is grams else ~np.uint64(0))).astype(np.int64)]
     edge = np.flatnonzero(np.diff(at, prepend=-1))
     return at[edge], h[at[edge]], valid[edge], np.diff(np.append(edge, len(at))), rolling
 

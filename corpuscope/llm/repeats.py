@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import deal, in_slices, modest_batches, release, saved, spread_join, utf8_column
+from corpuscope.llm.common import deal, in_slices, modest_batches, powers, release, saved, spread_join, utf8_column
 from corpuscope.llm.passages import SharedPassages
 from corpuscope.llm.suffix_array import permuted_common_prefixes, suffix_array
 
@@ -57,8 +57,7 @@ def anchors(buffer: bytes, ends: np.ndarray, limit: int = LIMIT, gram: int = GRA
         return none
     if n > 2 * SLICE_BYTES and len(ends) == 1:
         return _long_anchors(buffer, limit, gram)
-    power = np.cumprod(np.full(n, _BASE, np.uint64))
-    inverse = np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), np.uint64))
+    power, inverse = powers(n, _BASE), powers(n, pow(_BASE, -1, 1 << 64))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((np.frombuffer(buffer, np.uint8).astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
     h = (sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1]
@@ -75,7 +74,9 @@ def anchors(buffer: bytes, ends: np.ndarray, limit: int = LIMIT, gram: int = GRA
     full = ends - starts >= limit
     np.add.at(inside, starts[full], 1)
     np.add.at(inside, ends[full] - limit + 1, -1)
-    at = np.unique((least[np.cumsum(inside)[: n - limit + 1] > 0] & _PLACES).astype(np.int64))
+    # From string to string the anchor's place never falls.
+    at = (least[np.cumsum(inside)[: n - limit + 1] > 0] & _PLACES).astype(np.int64)
+    at = at[np.diff(at, prepend=-1) != 0]
     return at, h[at]
 
 

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from corpuscope.llm import common, repeats
+from corpuscope.llm import common, passages, repeats
 from corpuscope.llm.passages import SharedPassages
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -88,3 +88,12 @@ def test_narrowed_places_lose_none():
     whole = repeats.shard_repeats(*args)
     assert [x.tolist() for x in repeats._load_repeats(*args)] == [x.tolist() for x in whole]
     assert 0 < sum(map(len, whole)) < 60 * side
+
+
+def test_anchors_of_very_many_words_are_those_of_few(monkeypatch):
+    digests = np.random.default_rng(1).integers(0, 50, 5000).astype(np.uint64)
+    ends = np.array([1000, 1030, 5000])
+    few = passages.word_anchors(digests, ends)
+    monkeypatch.setattr(passages, "_PLACES", np.uint64(0xFFF))
+    many = passages.word_anchors(digests, ends)
+    assert all(x.tolist() == y.tolist() for x, y in zip(few[:4], many[:4]))
