@@ -39,11 +39,11 @@ def _tables(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: cuts the lineage, survives lost
     executors, and each row is computed once. The table stays until clear_tables()."""
     path = f"{_tables(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._kept_at = path
     return table
