@@ -240,5 +240,6 @@ def aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None = Non
     told = spread_join(wanted, counts, ["pair"], "batches").select("batch", "pair", "count", "best")
     kept = ["__id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", *(["groups"] if groups else [])]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (table.schema[c] for c in kept)) + ", n_best bigint, count_sum bigint"
-    out = table.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(lambda left, right: _valued(left, right, kept), schema)
+    told = told.withColumnRenamed("batch", "in_batch")  # both come from one table
+    out = table.groupBy("batch").cogroup(told.groupBy("in_batch")).applyInArrow(lambda left, right: _valued(left, right, kept), schema)
     return out.select(F.col("__id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", *(["groups"] if groups else []))

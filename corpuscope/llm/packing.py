@@ -9,9 +9,11 @@ which need no padding.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuscope.llm.align import byte_letters
 from corpuscope.llm.common import data_path, deal, in_slices, modest_batches, saved, utf8_column
 from corpuscope.llm.cutting import TOLERANCE, cut
 from corpuscope.llm.sharding import ROWS_A_TASK, _numbered
@@ -30,12 +33,19 @@ LENGTH, END = 4096, 2
 CLASS_PART = 96
 #: A sequence whose padding is more than this part of it is cut at powers of two.
 GAP_PART = 100
+#: Pieces of cut sequences, of some 100 bytes each, that are broadcast.
+FEW_PARTS = 100_000
 #: Bytes of text encoded at a time, and words and bytes of words that a Python worker remembers.
-SLICE_BYTES, MOST_WORDS, MOST_BYTES = 4 << 20, 500_000, 32 << 20
+SLICE_BYTES, MOST_WORDS, MOST_BYTES = 4 << 20, 800_000, 32 << 20
 
 
 class WordEncoder:
-    """A tokenizer that never joins anything over white space: words are encoded once and kept."""
+    """A tokenizer that never joins anything over white space: words are encoded once and kept. Words of letters up to U+00FF,
+    with signs behind them or not, go to the merges directly: normalising only lower-cases them, and the signs are one unit."""
+
+    PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?)]*)")
+    #: The letters that stand for bytes in the vocabulary.
+    LETTERS = {b: letter for letter, b in byte_letters().items()}
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -46,26 +56,40 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
+        self.units: dict[bytes, list[int]] = {}
         self.held = 0
         self.first = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _unit(self, unit: bytes) -> list[int]:
+        found = self.units.get(unit)
+        if found is None:
+            found = self.units[unit] = [t.id for t in self.tokenizer.model.tokenize(unit.decode().lower().encode().decode("latin-1").translate(self.LETTERS))]
+        return found
+
+    def learn(self, words: list[bytes]) -> None:
+        plain = list(map(self.PLAIN.fullmatch, words))
+        other = self.tokenizer.encode_batch_fast([w.decode() for w, m in zip(words, plain) if not m], add_special_tokens=False)
+        rest = iter(other)
+        found = [(self._unit(m[1]) + self._unit(m[2]) if m[2] else self._unit(m[1])) if m else next(rest).ids for m in plain]
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
+        self.held += sum(map(len, words))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))))
+        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), np.uint32)))
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.index) > MOST_WORDS or self.held > MOST_BYTES:
             self.forget()
         words = [t.split() for t in texts]
         if new := list(set().union(*words) - self.index.keys()):
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            self.index |= {w: len(self.index) + i for i, w in enumerate(new)}
-            self.held += sum(map(len, new))
-            self.first = np.concatenate((self.first, self.first[-1] + np.cumsum([len(x) for x in found])))
-            self.ids = np.concatenate((self.ids, *(np.array(x, np.uint32) for x in found)))
+            self.learn(new)
         out = []
         for own in words:
             at = np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))
-            n = self.first[at + 1] - self.first[at]
+            first = self.first[at]
+            n = self.first[at + 1] - first
             total = np.cumsum(n)
-            out.append(self.ids[np.repeat(self.first[at] - (total - n), n) + np.arange(total[-1])] if len(own) else self.ids[:0])
+            out.append(self.ids[np.repeat(first - total + n, n) + np.arange(total[-1])] if len(own) else self.ids[:0])
         return out
 
 
@@ -172,6 +196,8 @@ def pack(docs: DataFrame, path: str | None = None, text: str = "text", id_col: s
     number = F.when(more == 0, F.col("sequence_id")).otherwise(F.lit(packed + n_whole) + F.col("sequence_id") * bits + more - 1)
     parts = parts.select("row", "__id", (F.col("start") + skip).alias("start"), own.alias("length"), "doc_tokens", number.alias("sequence_id"), F.greatest(F.col("offset") - F.col("first"), F.lit(0)).alias("offset"), skip.alias("skip"))
     bytes_ = F.substring(F.col("ids"), (F.col("skip") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int"))
-    parts = parts.join(table.select("row", "ids"), "row").withColumn("ids", bytes_).withColumn("ids_crc32", F.crc32("ids"))
+    if parts.count() <= FEW_PARTS:  # else the ids of all documents would be shuffled for a few
+        parts = F.broadcast(parts)
+    parts = table.select("row", "ids").join(parts, "row").withColumn("ids", bytes_).withColumn("ids_crc32", F.crc32("ids"))
     columns = [F.col("__id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if ids else [])]
     return kept.select(*columns).unionByName(parts.select(*columns))
