@@ -43,13 +43,13 @@ def main(args: list[str]) -> int:
     p.add_argument("--target", default="en")
     verbs.add_parser("status").add_argument("folder")
     own = parser.parse_args(args)
+    spark = _spark()
     if own.verb == "status":
         from corpuscope.operators.search import load_records
 
-        records = load_records(own.folder)
+        records = load_records(spark, own.folder)
         print(json.dumps({"proposals": len(records), "accepted": sum(r["accepted"] for r in records), "state": records[-1]["state"] if records else None}))
         return 0
-    spark = _spark()
     if own.verb == "search":
         from corpuscope.operators.corpus import sequences
         from corpuscope.operators.lm import uniform_null

@@ -746,7 +746,8 @@ def candidate_pool(spark, d):
     every = corpora(spark, d)
     base = sequences(every.filter("corpus = 'fr'"))
     pool = {0: Candidate("token_char_edit", "", 0.25, (Step("map", (("de", "the"),)),)), 1: Candidate("split_token", "", 0.4, (Step("split", tokens=("les", "le", "es")),)), 2: Candidate("swap_bigram_order", "", 0.2, (Step("swap", tokens=("de", "la")),))}
-    return _r4(score_pool(base, pool, Reference(every.filter("corpus = 'en'"))))
+    rows = score_pool(base, pool, Reference(every.filter("corpus = 'en'")))  # one row a candidate
+    return _r4(spark.createDataFrame([tuple(r.values()) for r in rows], "slot int, " + ", ".join(f"{c} double" for c in list(rows[0])[1:])))
 
 
 # The frozen objective, the search's totals and stops

@@ -25,11 +25,11 @@ def test_search_resumes_and_chains(spark, tmp_path):
     with pytest.raises(ValueError):
         run_search(spark, source, target, SearchConfig(proposals=2, candidates=4, seed=1), folder)
     again = run_search(spark, source, target, SearchConfig(proposals=1, candidates=4), folder)
-    assert again == first == load_records(folder) and audit(spark, target, folder) == []
+    assert again == first == load_records(spark, folder) and audit(spark, target, folder) == []
     name = tmp_path / "run" / "record-000001.json"
     name.write_text(name.read_text().replace('"accepted": true', '"accepted": false') if first[0]["accepted"] else name.read_text().replace('"bomb": false', '"bomb": true'))
     with pytest.raises(ValueError):
-        load_records(folder)
+        load_records(spark, folder)
 
 
 def test_stream(spark, tmp_path):
@@ -93,7 +93,7 @@ def test_pool_scores_are_those_of_whole_corpora(spark):
     base, target = sequences(corpus(spark, SOURCE, "x")), corpus(spark, TARGET, "y")
     pool = {0: Candidate("token_char_edit", "", 0.25, (Step("map", (("wind", "ventus"),)),)), 3: Candidate("split_token", "", 0.4, (Step("split", tokens=("sturm", "st", "urm")), Step("map", (("st", "et"),))))}
     bank = Bank(corpus(spark, SOURCE, "x").union(target), L.uniform_null(spark, 50))
-    got = {r["slot"]: r for r in score_pool(base, pool, Reference(target), bank).collect()}
+    got = {r["slot"]: r for r in score_pool(base, pool, Reference(target), bank)}
     want = {int(r["corpus"]): r for r in FE.structural_vector(_pool_corpora(base, pool)).collect()}
     assert set(got) == set(want) == {-1, 0, 3}
     for s, r in got.items():
