@@ -31,7 +31,7 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text whose distinct runs and pairs are kept together.
 BATCH_BYTES = 4 << 20
 #: Runs and bytes of runs that a Python worker remembers.
-MOST_RUNS, MOST_BYTES = 400_000, 32 << 20
+MOST_RUNS, MOST_BYTES = 250_000, 16 << 20
 #: A space next to other white space; U+180E was white space once.
 UNEVEN = re.compile("[\\s᠎] | [\\s᠎]")
 CUT = re.compile("(?<=[^\\s᠎])(?= [^\\s᠎])")

@@ -64,7 +64,8 @@ class WordEncoder:
     def _unit(self, unit: bytes) -> list[int]:
         found = self.units.get(unit)
         if found is None:
-            found = self.units[unit] = [t.id for t in self.tokenizer.model.tokenize(unit.decode().lower().encode().decode("latin-1").translate(self.LETTERS))]
+            letters = unit.lower().decode() if unit.isascii() else unit.decode().lower().encode().decode("latin-1").translate(self.LETTERS)
+            found = self.units[unit] = [t.id for t in self.tokenizer.model.tokenize(letters)]
         return found
 
     def learn(self, words: list[bytes]) -> None:
@@ -166,7 +167,7 @@ def pack(docs: DataFrame, path: str | None = None, text: str = "text", id_col: s
     """
     if length < 2 or length & (length - 1):
         raise ValueError("the length of sequences must be a power of two")
-    table = saved(pieces(docs, path, text, id_col, length, end), "pack-pieces", "zstd")
+    table = saved(pieces(docs, path, text, id_col, length, end), "pack-pieces")
     ends = class_ends(length)
     narrow = table.drop("ids").withColumn("class", _class(F.col("length"), ends))
     buckets = max(4 * deal(docs), -(-table.count() // ROWS_A_TASK))
