@@ -10,13 +10,14 @@ has the key, so the key has no default and belongs to the caller.
 
 from __future__ import annotations
 
+from secrets import token_hex
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 6
-#: Where the queries and the pipeline look for their key, and what they take where a session (as in tests) names none.
-KEY_CONF, EXAMPLE_KEY = "corpuscope.pii.key", "not secret"
-
+#: Where the queries and the pipeline look for their key.
+KEY_CONF = "corpuscope.pii.key"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Ranges of letters beyond ASCII that shift among themselves: Latin, Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, kana,
 #: Han and Hangul (fixed values).
@@ -273,8 +274,15 @@ def _image(m: Column, key: str) -> Column:
     return out
 
 
+#: Keys of sessions that name none, held by the driver alone.
+_made: dict[str, str] = {}
+
+
 def session_key(docs: DataFrame) -> str:
-    return docs.sparkSession.conf.get(KEY_CONF, EXAMPLE_KEY)
+    """The key that the session names. Where it names none, one is drawn for the application: values are linked within all that
+    it writes, and nobody can turn them back afterwards. Name a key to link the results of several runs."""
+    spark = docs.sparkSession
+    return spark.conf.get(KEY_CONF, None) or _made.setdefault(spark.sparkContext.applicationId, token_hex(32))
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", counts: bool = True) -> DataFrame:

@@ -60,7 +60,9 @@ def labelled_samples(docs: DataFrame, labels: DataFrame, text: str = "text", id_
     fixed = spark.range(1).select(F.explode(F.split(F.lit(" ".join(IDENTIFIERS)), " ")).alias("s"))
     # Strings that the base patterns know as secrets are no identifiers.
     plain = words.union(fixed).filter(~F.col("s").rlike(rf"{HEX[:-1]}{{{LEAST_HEX},}}|{ACCESS[:-1]}{{16,}}"))
-    return random_strings(spark).union(plain.select("s", F.lit(0).alias("label")))
+    # Shouted words are ordinary as well.
+    spoken = plain.select(F.explode(F.array("s", F.upper("s"))).alias("s"), F.lit(0).alias("label"))
+    return random_strings(spark).union(spoken)
 
 
 def _states(s: Column) -> Column:
