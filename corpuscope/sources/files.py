@@ -56,6 +56,17 @@ def digests(files: DataFrame) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
+def verified(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Binary files as they are, but reading one whose SHA-256 isn't that of the manifest (name, sha256), or which the manifest
+    doesn't name, fails in the task that holds it, before anything is unpacked. Files of the manifest that aren't there are no error."""
+    name = F.element_at(F.split("path", "/"), -1)
+    told = manifest.select(F.col("name").alias("__name"), F.lower("sha256").alias("__sha"))
+    whole = F.sha2("content", 256) == F.coalesce("__sha", F.lit(""))
+    content = F.when(whole, F.col("content")).otherwise(F.raise_error(F.concat(name, F.lit(": its digest isn't that of the manifest"))).cast("binary"))
+    # Each name once: a manifest that repeats one would repeat the file.
+    return files.join(told.dropDuplicates(["__name"]), name == F.col("__name"), "left").withColumn("content", content).drop("__name", "__sha")
+
+
 def tei_texts(content: bytes) -> list[str]:
     """Texts of the outermost <p>, <l> and <ab>, header left out; [] if the XML is broken."""
     try:
