@@ -218,6 +218,13 @@ put("corpus_diff", [BASE], "SELECT corpus, doc_id, seq, len(tokens) AS old_size,
 put("delta_counters", [BASE], f"SELECT corpus, token, count(*) AS cnt FROM (SELECT corpus, unnest({SPLIT}) AS token FROM sq) GROUP BY ALL")
 put("bigram_deltas", [BASE, f"oldnew AS (SELECT corpus, tokens AS t, -1 AS d FROM sq UNION ALL SELECT corpus, {SPLIT}, 1 FROM sq)"], "SELECT corpus, gram, CAST(sum(d) AS BIGINT) AS delta FROM (SELECT corpus, t[i] || ' | ' || t[i + 1] AS gram, d FROM (SELECT *, unnest(range(1, len(t))) AS i FROM oldnew)) GROUP BY ALL HAVING sum(d) <> 0")
 
+put("state_counts", [BASE, f"nt AS (SELECT {MAPPED} AS t FROM sq)"], " UNION ALL ".join((
+    "SELECT 'w1' AS kind, gram, count(*) AS cnt FROM (SELECT unnest(t) AS gram FROM nt) GROUP BY gram",
+    "SELECT 'w2', t[i] || ' | ' || t[i + 1] AS gram, count(*) FROM (SELECT t, unnest(range(1, len(t))) AS i FROM nt) GROUP BY gram",
+    "SELECT 'w3', t[i] || ' | ' || t[i + 1] || ' | ' || t[i + 2] AS gram, count(*) FROM (SELECT t, unnest(range(1, len(t) - 1)) AS i FROM nt) GROUP BY gram",
+    "SELECT 's3', right(x, 3) AS gram, count(*) FROM (SELECT unnest(t) AS x FROM nt) WHERE length(x) >= 3 GROUP BY gram",
+)))
+
 LM = [BASE, VOCAB.format(top=5000), """
 kt AS (SELECT corpus, doc_id, seq, token AS a, lead(token) OVER (PARTITION BY corpus, doc_id, seq ORDER BY pos) AS b FROM tk WHERE (corpus, token) IN (SELECT (corpus, token) FROM vo)),
 tr AS (SELECT corpus, a, b, cnt, cnt / sum(cnt) OVER (PARTITION BY corpus, a) AS p FROM (SELECT corpus, a, b, count(*) AS cnt FROM kt WHERE b IS NOT NULL GROUP BY ALL)),

@@ -480,6 +480,17 @@ def bigram_deltas(spark, d):
     return RW.gram_deltas(_changes(spark, d), 2)
 
 
+@query
+def state_counts(spark, d):
+    """Counts of all sequences after a rewrite, kept up to date from the sequences that it changes."""
+    from corpuscope.operators import state as S
+    from corpuscope.operators.search import Candidate, Step, changed_by
+
+    base = sequences(corpora(spark, d))
+    changes = S.with_chars(S.word_changes(changed_by(base, {0: Candidate("map", "", 0.0, (Step("map", tuple(MAPPING.items())),))})))
+    return S.merged(S.counted(base), changes).filter("kind in ('w1', 'w2', 'w3', 's3')")
+
+
 # Bigram models
 
 
