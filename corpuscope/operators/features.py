@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,12 +37,17 @@ def sequence_moments(corpora: DataFrame) -> DataFrame:
     )
 
 
+def letters_of(token: Column) -> tuple[Column, Column]:
+    """Numbers of vowels and of other letters."""
+    letters = F.regexp_replace(token, r"\P{L}", "")
+    vowels = F.length(letters) - F.length(F.translate(letters, X.VOWELS, ""))
+    return vowels, F.length(letters) - vowels
+
+
 def type_stats(token_counts: DataFrame) -> DataFrame:
     """What follows from the counts of types: hapaxes, dis legomena, word lengths over occurrences, consonants and vowels."""
     size = F.length("token").cast("double")
-    letters = F.regexp_replace("token", r"\P{L}", "")
-    vowels = F.length(letters) - F.length(F.translate(letters, X.VOWELS, ""))
-    rest = F.length(letters) - vowels
+    vowels, rest = letters_of(F.col("token"))
     cnt = F.col("cnt")
     mean = F.sum(size * cnt) / F.sum(cnt)
     return token_counts.groupBy("corpus").agg(
@@ -60,9 +65,14 @@ def unigram_coverage(token_counts: DataFrame, top: int = 1000) -> DataFrame:
 
 def zipf(token_counts: DataFrame, low: int = 10, high: int = 1000) -> DataFrame:
     """Slope of log count on log rank; 0 with fewer than low + 5 types."""
-    head = ranked(token_counts, "token", high).filter(F.col("rnk") >= low)
-    fit = head.groupBy("corpus").agg(F.regr_slope(F.log("cnt"), F.log("rnk")).alias("slope"), F.max("rnk").alias("last"))
-    return token_counts.select("corpus").distinct().join(fit, "corpus", "left").select("corpus", F.when(F.col("last") >= low + 5, _zero(F.col("slope"))).otherwise(0.0).alias("zipf_slope"))
+    return zipf_of(ranked(token_counts, "token", high), low)
+
+
+def zipf_of(head: DataFrame, low: int = 10, by: str = "corpus") -> DataFrame:
+    """The slope from the first types (cnt, rnk)."""
+    late = F.col("rnk") >= low
+    fit = head.groupBy(by).agg(F.regr_slope(F.when(late, F.log("cnt")), F.when(late, F.log("rnk"))).alias("slope"), F.max("rnk").alias("last"))
+    return fit.select(by, F.when(F.col("last") >= low + 5, _zero(F.col("slope"))).otherwise(0.0).alias("zipf_slope"))
 
 
 def heaps(placed_types: DataFrame) -> DataFrame:
@@ -73,27 +83,41 @@ def heaps(placed_types: DataFrame) -> DataFrame:
     points = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(HEAPS_POINTS - 1)), lambda i: F.when(i == HEAPS_POINTS - 1, F.col("total")).otherwise(F.floor(F.col("low") + i * step)).cast("long")))
     at = whole.withColumn("low", low).select("corpus", "total", points.alias("points"))
     seen = placed_types.join(at, "corpus").groupBy("corpus").agg(*(F.count(F.when(F.col("first_pos") < F.get("points", F.lit(i)), 1)).alias(f"v{i}") for i in range(HEAPS_POINTS)))
+    return heaps_of(at, seen)
+
+
+def heaps_of(at: DataFrame, seen: DataFrame, by: str = "corpus") -> DataFrame:
+    """The slope from total and points (at) and the types v0, v1, ... that occur before each point (seen)."""
     pairs = F.explode(F.arrays_zip("points", F.array(*(f"v{i}" for i in range(HEAPS_POINTS))).alias("vs")))
-    rows = at.join(seen, "corpus").select("corpus", "total", pairs.alias("x")).select("corpus", "total", F.col("x.points").alias("n"), F.col("x.vs").alias("v")).filter("n > 1 and v > 1 and total >= 100")
-    fit = rows.groupBy("corpus").agg(F.regr_slope(F.log("v"), F.log("n")).alias("slope"), F.count(F.lit(1)).alias("k"))
-    return at.join(fit, "corpus", "left").select("corpus", F.when(F.col("k") >= 3, _zero(F.col("slope"))).otherwise(0.0).alias("heaps_beta"))
+    rows = at.join(seen, by).select(by, "total", pairs.alias("x")).select(by, "total", F.col("x.points").alias("n"), F.col("x.vs").alias("v")).filter("n > 1 and v > 1 and total >= 100")
+    fit = rows.groupBy(by).agg(F.regr_slope(F.log("v"), F.log("n")).alias("slope"), F.count(F.lit(1)).alias("k"))
+    return at.join(fit, by, "left").select(by, F.when(F.col("k") >= 3, _zero(F.col("slope"))).otherwise(0.0).alias("heaps_beta"))
 
 
 def conditional_char_entropy(token_counts: DataFrame) -> DataFrame:
     """Entropy of a character given the one before, within tokens."""
     pairs = token_counts.select("corpus", "cnt", F.explode(X.inner_pairs(F.col("token"))).alias("pair"))
-    counted = pairs.groupBy("corpus", "pair").agg(F.sum("cnt").alias("c")).withColumn("first", F.substring("pair", 1, 1))
-    share = F.col("c") / F.sum("c").over(W.partitionBy("corpus", "first"))
-    rows = counted.withColumn("q", share).withColumn("all", F.sum("c").over(W.partitionBy("corpus")))
-    return rows.groupBy("corpus").agg((-F.sum(F.col("c") / F.col("all") * F.log("q"))).alias("conditional_char_entropy"))
+    return pair_entropy(pairs.groupBy("corpus", "pair").agg(F.sum("cnt").alias("c")))
+
+
+def pair_entropy(pairs: DataFrame, by: str = "corpus") -> DataFrame:
+    """The entropy from counts c of pairs."""
+    counted = pairs.withColumn("first", F.substring("pair", 1, 1))
+    share = F.col("c") / F.sum("c").over(W.partitionBy(by, "first"))
+    rows = counted.withColumn("q", share).withColumn("all", F.sum("c").over(W.partitionBy(by)))
+    return rows.groupBy(by).agg((-F.sum(F.col("c") / F.col("all") * F.log("q"))).alias("conditional_char_entropy"))
 
 
 def edge_asymmetry(token_counts: DataFrame) -> DataFrame:
     """Entropy of last characters less that of first ones."""
     ends = token_counts.select("corpus", "cnt", F.explode(F.array(F.struct(F.lit(-1.0).alias("sign"), F.substring("token", 1, 1).alias("ch")), F.struct(F.lit(1.0).alias("sign"), F.substring("token", -1, 1).alias("ch")))).alias("e"))
-    counted = ends.groupBy("corpus", "e.sign", "e.ch").agg(F.sum("cnt").alias("c"))
-    shared = counted.withColumn("p", F.col("c") / F.sum("c").over(W.partitionBy("corpus", "sign")))
-    return shared.groupBy("corpus").agg(F.sum(-F.col("sign") * F.col("p") * F.log("p")).alias("edge_asymmetry"))
+    return edge_entropy(ends.groupBy("corpus", "e.sign", "e.ch").agg(F.sum("cnt").alias("c")))
+
+
+def edge_entropy(ends: DataFrame, by: str = "corpus") -> DataFrame:
+    """The asymmetry from counts c of first (sign -1) and last (1) characters."""
+    shared = ends.withColumn("p", F.col("c") / F.sum("c").over(W.partitionBy(by, "sign")))
+    return shared.groupBy(by).agg(F.sum(-F.col("sign") * F.col("p") * F.log("p")).alias("edge_asymmetry"))
 
 
 def corpus_stats(corpora: DataFrame) -> DataFrame:
@@ -125,7 +149,12 @@ def feature_vector(corpora: DataFrame) -> DataFrame:
         word.append(prof.groupBy("corpus").agg(share(100).alias(f"{tag}_100"), share(500).alias(f"{tag}_500"), entropy(F.col("p")).alias(f"{tag}_entropy")))
     suffix = P.profile_entropy(P.profile(P.char_counts(placed, "s3"), P.CHAR_TOP["s3"]), "suffix_entropy")
     parts = [stats, *word, suffix, unigram_coverage(placed), zipf(placed), heaps(placed), conditional_char_entropy(placed), edge_asymmetry(placed)]
-    whole = reduce(lambda a, b: a.join(b, "corpus", "left"), parts, moments)
+    return from_parts(moments, parts)
+
+
+def from_parts(moments: DataFrame, parts: list[DataFrame], by: str = "corpus") -> DataFrame:
+    """The features from tables of one row a corpus that hold what they are made of."""
+    whole = reduce(lambda a, b: a.join(b, by, "left"), parts, moments)
     value = dict(zip(FEATURES, (
         F.col("unique_types") / F.col("total_tokens"), F.col("bigram_100"), F.col("trigram_100"), F.log1p("mean_seq_length"), F.col("bigram_500"),
         F.col("trigram_500"), F.col("unigram_coverage"), F.col("variance"), F.col("word_length_mean"),
@@ -133,7 +162,7 @@ def feature_vector(corpora: DataFrame) -> DataFrame:
         F.col("suffix_entropy"), F.col("heaps_beta"), F.col("conditional_char_entropy"), F.col("dis") / F.greatest("hapax", F.lit(1)),
         F.col("edge_asymmetry"), F.col("consonants") / F.greatest("vowels", F.lit(1)), F.col("skewness"), F.col("excess_kurtosis"),
     )))
-    return whole.select("corpus", *(_zero(v.cast("double")).alias(name) for name, v in value.items()))
+    return whole.select(by, *(_zero(v.cast("double")).alias(name) for name, v in value.items()))
 
 
 def diversity_bits(corpora: DataFrame) -> DataFrame:

@@ -62,4 +62,5 @@ class FrozenObjective:
         """The first tokens of each corpus up to the budget, as corpora; an error where there are too few."""
         if self.budget is None:
             return corpora
-        return S.budget_prefix(corpora, self.budget, strict=True).select("corpus", "doc_id", F.array("tokens").alias("seqs"))
+        cut = S.budget_prefix(corpora, self.budget, strict=True)
+        return cut.groupBy("corpus", "doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "tokens"))), lambda x: x["tokens"]).alias("seqs"))

@@ -296,6 +296,7 @@ put("seed_audit", ["sd AS (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN user
 put("guided_tokens", [*ALIGNED, TOP, "ht AS (SELECT token, sum(w) AS weight FROM (SELECT row_tok AS token, distance AS w FROM tp UNION ALL SELECT col_tok, distance * 0.5 FROM tp) GROUP BY token ORDER BY round(sum(w), 9) DESC, token LIMIT 48)"], "SELECT token, round(weight, 4) AS weight, cnt FROM ht JOIN (SELECT token, cnt FROM ty WHERE corpus = 'fr') USING (token) WHERE length(token) BETWEEN 2 AND 12")
 REWRITTEN = BASE.replace("\nsq AS (", "\nsq0 AS (").replace("\ntk AS (", f"\nsq AS (SELECT corpus, doc_id, seq, {SPLIT} AS tokens FROM sq0),\ntk AS (")
 put("tensor_update", [REWRITTEN, *cooc(5000)[:2]], "SELECT corpus, row_tok, col_tok, cnt FROM co")
+put("rewritten_features", *(lambda ctes, select: (ctes, f"SELECT * FROM ({select}) WHERE corpus = 'en'"))(*features_sql(REWRITTEN)))
 VECTORS = "{n} AS (SELECT corpus, u / t AS ttr, b AS bigram_coverage, g AS trigram_coverage, ln(1 + m) AS log_mean_seq_len FROM (SELECT corpus, avg(CAST(len(tokens) AS DOUBLE)) AS m, sum(len(tokens)) AS t FROM sq GROUP BY corpus) JOIN (SELECT corpus, count(*) AS u FROM ty GROUP BY corpus) USING (corpus) JOIN (SELECT corpus, sum(p) FILTER (WHERE rnk <= 100) AS b FROM {x}2 GROUP BY corpus) USING (corpus) JOIN (SELECT corpus, sum(p) FILTER (WHERE rnk <= 100) AS g FROM {x}3 GROUP BY corpus) USING (corpus))"
 STRUCT = ("ttr", "bigram_coverage", "trigram_coverage", "log_mean_seq_len")
 APART = lambda a: "sqrt(" + " + ".join(f"power((v.{c} - {a}_{c}) / s_{c}, 2)" for c in STRUCT) + ")"

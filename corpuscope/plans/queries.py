@@ -491,6 +491,20 @@ def state_counts(spark, d):
     return S.merged(S.counted(base), changes).filter("kind in ('w1', 'w2', 'w3', 's3')")
 
 
+@query
+def rewritten_features(spark, d):
+    """All features of English text after a word is split in two everywhere, from the state's aggregates and the changes."""
+    from corpuscope.operators import measures as M
+    from corpuscope.operators.search import Candidate, Step, changed_by
+
+    base = sequences(corpora(spark, d).filter("corpus = 'en'")).persist()
+    changed = changed_by(base, {0: Candidate("split_token", "", 0.4, (Step("split", tokens=("the", "th", "he")),))}).persist()
+    out = M.features(base, changed, [0])
+    changed.unpersist()
+    base.unpersist()
+    return r6(out.select(F.lit("en").alias("corpus"), *FE.FEATURES))
+
+
 # Bigram models
 
 
