@@ -57,6 +57,6 @@ def test_too_few_tokens_and_empty_corpora(spark):
 def test_a_search_by_the_frozen_objective_audits_clean(spark, tmp_path):
     source, target = sequences(corpus(spark, SEQS)), corpus(spark, SEQS[20:] + SEQS[:9])
     objective = FrozenObjective({n: 0.0 for n in REPORTED}, {n: 1.0 for n in REPORTED}, {n: 0.5 for n in REPORTED}, 400)
-    records = run_search(spark, source, target, SearchConfig(proposals=2, candidates=3), str(tmp_path / "run"), objective=objective)
-    assert len(records) == 2 and audit(spark, target, str(tmp_path / "run"), objective=objective) == []
+    records = run_search(spark, source, target, SearchConfig(proposals=1, candidates=2), str(tmp_path / "run"), objective=objective)
+    assert len(records) == 1 and audit(spark, target, str(tmp_path / "run"), objective=objective) == []
     assert load_records(spark, str(tmp_path / "run"))[0]["state"]["struct"] == pytest.approx(objective.rewards(FE.feature_vector(objective.measured(corpus(spark, SEQS)))).first()["struct"], abs=1e-9)
