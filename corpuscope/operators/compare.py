@@ -201,3 +201,38 @@ def run_deltas(left: DataFrame, right: DataFrame, keys: tuple[str, ...], metrics
     """Metrics of one run table less those of another, for the runs in both."""
     other = right.select(*keys, *(F.col(m).alias(f"__{m}") for m in metrics))
     return left.join(other, list(keys)).select(*keys, *((F.col(m) - F.col(f"__{m}")).alias(f"delta_{m}") for m in metrics))
+
+
+def scaled_by_bank(values: DataFrame, bank: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Long values (keys, feature, value) in units of a bank's spread (corpus, feature, value): generated states have no part in
+    the means and deviations. A feature that is constant in the bank has the deviation 1."""
+    scale = bank.groupBy("feature").agg(F.avg("value").alias("__mean"), F.stddev_pop("value").alias("__sd"))
+    z = (F.col("value") - F.col("__mean")) / F.when(F.col("__sd") > LEAST_SCALE, F.col("__sd")).otherwise(1.0)
+    return values.join(scale, "feature").select(*keys, "feature", z.alias("z"))
+
+
+def control_distances(states: DataFrame, bank: DataFrame, controls: tuple[str, ...], keys: tuple[str, ...] = ("run", "state")) -> DataFrame:
+    """keys, control, euclidean and cosine distance of each state (keys, feature, value) to each control of the bank (corpus,
+    feature, value) over the features of both. A zero vector is at no cosine distance; features that are null count nowhere."""
+    z = scaled_by_bank(states, bank, keys)
+    named = scaled_by_bank(bank.filter(F.col("corpus").isin(*controls)), bank, ("corpus",)).select(F.col("corpus").alias("control"), "feature", F.col("z").alias("y"))
+    norm = F.sqrt(F.sum(F.col("z") * F.col("z"))) * F.sqrt(F.sum(F.col("y") * F.col("y")))
+    each = z.join(named, "feature").filter("z IS NOT NULL AND y IS NOT NULL").groupBy(*keys, "control")
+    return each.agg(F.sqrt(F.sum(F.pow(F.col("z") - F.col("y"), F.lit(2.0)))).alias("euclidean"), F.when(norm > 0, 1 - F.sum(F.col("z") * F.col("y")) / norm).otherwise(0.0).alias("cosine"))
+
+
+def control_movement(distances: DataFrame, measures: tuple[str, ...] = ("euclidean", "cosine"), run: tuple[str, ...] = ("run",)) -> DataFrame:
+    """run, control and for each measure its value at the state `start`, at `final`, and the difference (below zero: the run came
+    nearer to the control). A run that lacks an endpoint has nulls there."""
+    at = lambda m, state: F.max(F.when(F.col("state") == state, F.col(m)))  # noqa: E731  one row a run, control and state
+    ends = distances.groupBy(*run, "control").agg(*(at(m, s).alias(f"{s}_{m}") for m in measures for s in ("start", "final")))
+    return ends.withColumns({f"delta_{m}": F.col(f"final_{m}") - F.col(f"start_{m}") for m in measures})
+
+
+def nearest_controls(movement: DataFrame, measures: tuple[str, ...] = ("euclidean", "cosine"), run: tuple[str, ...] = ("run",), unless: tuple[str, ...] = ()) -> DataFrame:
+    """For each run and measure the control that its final state is nearest to (equal distances by name) and the distance;
+    `unless` names controls that don't compete."""
+    rows = movement.filter(~F.col("control").isin(*unless)) if unless else movement
+    best = lambda m: F.min(F.when(F.col(f"final_{m}").isNotNull(), F.struct(F.col(f"final_{m}").alias("d"), "control")))
+    found = rows.groupBy(*run).agg(*(best(m).alias(m) for m in measures))
+    return found.select(*run, *(x for m in measures for x in (F.col(f"{m}.control").alias(f"nearest_{m}"), F.col(f"{m}.d").alias(f"nearest_{m}_distance"))))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Operators with their weights and whether they count as weird (fixed values).
 OPERATORS = {
@@ -51,42 +56,53 @@ def record_hash(*columns: str) -> Column:
     return F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256)
 
 
-def _digests(payloads: Column) -> Column:
-    """The digests of a run's records in order, each over its own payload and the digest before."""
-    link = lambda s, x: F.array_append(s, F.sha2(F.concat_ws("|", F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit("")), x), 256))
-    return F.aggregate(payloads, F.array().cast("array<string>"), link)
+def link(before: str, payload: str) -> str:
+    """The digest of a record: over the digest before it in its run (empty for the first) and its own payload."""
+    return hashlib.sha256(f"{before}|{payload}".encode()).hexdigest()
+
+
+def payload_text(run: str, order: str, payload: tuple[str, ...]) -> Column:
+    return F.concat_ws("|", *[F.col(c).cast("string") for c in (run, order, *payload)])
+
+
+def _linked(records: DataFrame, run: str, order: str, payload: tuple[str, ...], more: tuple[str, ...] = ()) -> DataFrame:
+    """run, order and more columns of each record beside its __digest and __before. A run's records pass one task in order,
+    which holds one Arrow batch and one digest, so a run may have any length; runs are spread over the tasks."""
+    kept = tuple(dict.fromkeys((run, order, *more)))
+    rows = records.select(*kept, F.col(run).cast("string").alias("__run"), payload_text(run, order, payload).alias("__payload"))
+    ordered = rows.repartition("__run").sortWithinPartitions("__run", order, "__payload")
+    schema = T.StructType([*rows.select(*kept).schema.fields, T.StructField("__digest", T.StringType()), T.StructField("__before", T.StringType())])
 
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = (), ""
+        for batch in batches:
+            before, after = [], []
+            for who, text in zip(batch.column("__run").to_pylist(), batch.column("__payload").to_pylist()):
+                if at != (who,):
+                    at, last = (who,), ""
+                before.append(last)
+                last = link(last, text)
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(after, pa.string()), pa.array(before, pa.string())], [*kept, "__digest", "__before"])
 
-def _runs(records: DataFrame, run: str, order: str, payload: tuple[str, ...], more: tuple[str, ...] = ()) -> DataFrame:
-    """Each run's records in order beside their digests. A run is one search, whose records one task takes."""
-    text = F.concat_ws("|", *[F.col(c).cast("string") for c in (run, order, *payload)])
-    each = F.array_sort(F.collect_list(F.struct(F.col(order).alias("order"), text.alias("payload"), *more)))
-    runs = records.groupBy(run).agg(each.alias("records"))
-    return runs.withColumn("digests", _digests(F.transform("records", lambda r: r["payload"])))
+    return ordered.mapInArrow(digests, schema)
 
 
 def chained(events: DataFrame, run: str, order: str, payload: tuple[str, ...]) -> DataFrame:
     """run, order, sha256 (over the record and the digest before) and previous_sha256: a change of one record changes all
     digests behind it in its run."""
-    runs = _runs(events, run, order, payload)
-    each = runs.select(run, "records", "digests", F.posexplode("digests").alias("i", "sha256"))
-    before = F.when(F.col("i") > 0, F.try_element_at("digests", F.greatest("i", F.lit(1)))).otherwise("")
-    return each.select(run, F.element_at("records", F.col("i") + 1)["order"].alias(order), "sha256", before.alias("previous_sha256"))
+    return _linked(events, run, order, payload).withColumnsRenamed({"__digest": "sha256", "__before": "previous_sha256"})
 
 
 def broken_links(records: DataFrame, run: str, order: str, payload: tuple[str, ...]) -> DataFrame:
     """records: the payload with the sealed sha256 and previous_sha256. Those whose digest, computed anew along the chain, or
     whose named predecessor differs."""
-    runs = _runs(records, run, order, payload, ("sha256", "previous_sha256"))
-    each = runs.select(run, "digests", F.posexplode("records").alias("i", "r"))
-    before = F.when(F.col("i") > 0, F.try_element_at("digests", F.greatest("i", F.lit(1)))).otherwise("")
-    good = (F.col("r.sha256") == F.element_at("digests", F.col("i") + 1)) & (F.col("r.previous_sha256") == before)
-    return each.filter(~F.coalesce(good, F.lit(False))).select(run, F.col("r.order").alias(order))
+    good = (F.col("sha256") == F.col("__digest")) & (F.col("previous_sha256") == F.col("__before"))
+    return _linked(records, run, order, payload, ("sha256", "previous_sha256")).filter(~F.coalesce(good, F.lit(False))).select(run, order)
 
 
 def sealed(record: dict) -> bool:
     """Whether a record's sha256 is that of its canonical JSON (sorted keys, no spaces, no NaN) without it."""
-    import hashlib
     import json
 
     body = json.dumps({k: v for k, v in record.items() if k != "sha256"}, sort_keys=True, separators=(",", ":"), allow_nan=False)

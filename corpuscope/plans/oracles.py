@@ -282,6 +282,20 @@ CHAIN = "WITH RECURSIVE ev AS (SELECT user_id, event_id, concat_ws('|', CAST(use
 ORACLES["hash_chain"] = CHAIN + " SELECT user_id, event_id, sha256, previous_sha256 FROM ch"
 put("hash_chain_check", [], "SELECT user_id, count(*) AS broken FROM events JOIN (SELECT user_id, min(event_id) AS f FROM events WHERE event_id % 97 = 0 GROUP BY user_id) USING (user_id) WHERE event_id >= f GROUP BY user_id")
 put("feature_vector15", [BASE, *features_sql(BASE)[0][1:], f"fe AS ({features_sql(BASE)[1]})"], f"SELECT corpus, {', '.join(FEATURES[:15])} FROM fe")
+MOVEMENT = [
+    "mv AS (SELECT *, event_id % 12 AS step, CASE WHEN event_id % 12 = 0 THEN 'start' WHEN event_id % 12 = 11 THEN 'final' END AS state FROM events)",
+    "bw AS (SELECT event_type AS corpus, avg(value) AS mean, stddev_pop(value) AS spread, avg(CAST(value > 50 AS INT)) AS high, avg(user_id % 7) AS week FROM mv GROUP BY ALL)",
+    "bk AS (UNPIVOT bw ON mean, spread, high, week INTO NAME feature VALUE value)",
+    "sw AS (SELECT user_id % 50 AS run, state, avg(value) AS mean, stddev_pop(value) AS spread, avg(CAST(value > 50 AS INT)) AS high, avg(user_id % 7) AS week FROM mv WHERE state IS NOT NULL GROUP BY ALL)",
+    "st AS (UNPIVOT sw ON mean, spread, high, week INTO NAME feature VALUE value)",
+    "sc AS (SELECT feature, avg(value) AS m, CASE WHEN stddev_pop(value) > 1e-9 THEN stddev_pop(value) ELSE 1 END AS s FROM bk GROUP BY feature)",
+    "zs AS (SELECT run, state, feature, (value - m) / s AS z FROM st JOIN sc USING (feature))",
+    "zc AS (SELECT corpus AS control, feature, (value - m) / s AS y FROM bk JOIN sc USING (feature) WHERE corpus IN ('error', 'purchase', 'signup'))",
+    "ds AS (SELECT run, state, control, sqrt(sum((z - y) ** 2)) AS euclidean, CASE WHEN sum(z * z) > 0 AND sum(y * y) > 0 THEN 1 - sum(z * y) / (sqrt(sum(z * z)) * sqrt(sum(y * y))) ELSE 0 END AS cosine FROM zs JOIN zc USING (feature) GROUP BY ALL)",
+    "fm AS (SELECT run, control, max(CASE WHEN state = 'start' THEN euclidean END) AS start_euclidean, max(CASE WHEN state = 'final' THEN euclidean END) AS final_euclidean, max(CASE WHEN state = 'start' THEN cosine END) AS start_cosine, max(CASE WHEN state = 'final' THEN cosine END) AS final_cosine FROM ds GROUP BY ALL)",
+]
+put("control_movement", MOVEMENT, "SELECT run, control, round(start_euclidean, 6) AS start_euclidean, round(final_euclidean, 6) AS final_euclidean, round(start_cosine, 6) AS start_cosine, round(final_cosine, 6) AS final_cosine, round(final_euclidean - start_euclidean, 6) AS delta_euclidean, round(final_cosine - start_cosine, 6) AS delta_cosine FROM fm")
+put("nearest_control", [*MOVEMENT, "rf AS (SELECT run, control, round(final_euclidean, 6) AS e, round(final_cosine, 6) AS c FROM fm)"], "SELECT run, arg_min(control, (e, control)) FILTER (e IS NOT NULL) AS nearest_euclidean, min(e) AS nearest_euclidean_distance, arg_min(control, (c, control)) FILTER (c IS NOT NULL) AS nearest_cosine, min(c) AS nearest_cosine_distance FROM rf GROUP BY run")
 put("run_deltas", ["ev AS (SELECT user_id % 10 AS run, event_id % 2 AS side, avg(value) AS a, max(value) AS b FROM events GROUP BY ALL)"], "SELECT x.run, round(x.a - y.a, 6) AS delta_a, round(x.b - y.b, 6) AS delta_b FROM ev x JOIN ev y ON x.run = y.run AND x.side = 0 AND y.side = 1")
 put("missing_ids", [], "SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 

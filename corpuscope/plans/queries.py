@@ -758,6 +758,28 @@ def run_deltas(spark, d):
     return r6(C.run_deltas(e.filter("side = 0"), e.filter("side = 1"), ("run",), ("a", "b")))
 
 
+def _movement(spark, d):
+    """Runs (users modulo 50) at the first and the last of twelve steps, held against types of event."""
+    e = table(spark, d, "events").withColumn("step", F.col("event_id") % 12)
+    measures = [F.avg("value").alias("mean"), F.stddev_pop("value").alias("spread"), F.avg((F.col("value") > 50).cast("double")).alias("high"), F.avg(F.col("user_id") % 7).alias("week")]
+    columns = ("mean", "spread", "high", "week")
+    bank = C.long_form(e.groupBy(F.col("event_type").alias("corpus")).agg(*measures), columns)
+    ends = e.withColumn("state", F.when(F.col("step") == 0, "start").when(F.col("step") == 11, "final")).filter("state IS NOT NULL")
+    states = ends.groupBy((F.col("user_id") % 50).alias("run"), "state").agg(*measures).unpivot(["run", "state"], list(columns), "feature", "value")
+    return C.control_movement(C.control_distances(states, bank, tuple(x for x in ITEMS if x not in FOCAL)))
+
+
+@query
+def control_movement(spark, d):
+    return r6(_movement(spark, d))
+
+
+@query
+def nearest_control(spark, d):
+    rounded = _movement(spark, d).withColumns({f"final_{m}": F.round(f"final_{m}", 6) for m in ("euclidean", "cosine")})
+    return C.nearest_controls(rounded)
+
+
 @query
 def missing_ids(spark, d):
     return C.missing_ids(table(spark, d, "labels"), table(spark, d, "documents").filter("lang = 'en'"), "doc_id")
