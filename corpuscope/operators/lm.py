@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -77,46 +79,142 @@ def uniform_null(spark: SparkSession, n: int = 10_000, length: int = 10, size: i
     return spark.range(n).select(F.lit("null").alias("corpus"), F.col("id").alias("doc_id"), F.array(seq).alias("seqs"))
 
 
-def _walks(model: DataFrame, lengths: DataFrame):
-    """The model and the lengths as arrays, broadcast: names, rows, distinct lengths, their cumulated counts."""
-    table = model.select("a", "b", "p").toArrow()  # at most as many rows as the vocabulary's square; sparse in practice
+#: Cells of a model that are broadcast at most; a larger one is walked by joins, with the same draws.
+MOST_CELLS = 4_000_000
+#: Steps of a walk between two checkpoints, and digits of a token's hash that put it into a bucket.
+STEPS, DIGITS = 8, 4
+
+
+def _unit(seed: int, *parts: object) -> float:
+    """hash_draw in a task, as a share of one."""
+    return int(hashlib.sha256(":".join(map(str, (seed, *parts))).encode()).hexdigest()[:8], 16) / 2**32
+
+
+def _share(seed: int, *parts: Column) -> Column:
+    return hash_draw(seed, *parts) / F.lit(float(2**32))
+
+
+def _bucket(token: str) -> str:
+    return hashlib.sha256(token.encode()).hexdigest()[:DIGITS]
+
+
+def _observed(lengths: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct lengths and their cumulated counts: as many rows as the longest sequence has tokens at most."""
     observed = lengths.groupBy("length").count().orderBy("length").toArrow()
-    names = sorted({*table.column("a").to_pylist(), *table.column("b").to_pylist()})
+    if not observed.num_rows:
+        return np.array([0]), np.array([1.0])  # without lengths, sequences are empty
+    return observed.column("length").to_numpy(), np.cumsum(observed.column("count").to_numpy().astype(float))
+
+
+def _walks(model: DataFrame, most: int = MOST_CELLS):
+    """The model as names, in the order of bucket and token, and rows of successors with their cumulated shares, broadcast; None if it
+    has more than `most` cells."""
+    table = model.filter("p > 0").select("a", "b", "p").limit(most + 1).toArrow()
+    if table.num_rows > most:
+        return None
+    names = sorted({*table.column("a").to_pylist(), *table.column("b").to_pylist()}, key=lambda t: (_bucket(t), t))
     number = {t: i for i, t in enumerate(names)}
-    rows: dict[int, tuple[list[int], list[float]]] = {}
+    rows: dict[int, list[tuple[str, float]]] = {}
     for a, b, p in zip(*(table.column(c).to_pylist() for c in "abp")):
-        cell = rows.setdefault(number[a], ([], []))
-        cell[0].append(number[b])
-        cell[1].append(p)
-    walk = {a: (np.array(b), np.cumsum(p)) for a, (b, p) in rows.items()}
-    sizes, weight = observed.column("length").to_numpy(), np.cumsum(observed.column("count").to_numpy().astype(float))
-    return model.sparkSession.sparkContext.broadcast((names, walk, sizes, weight))
-
-
-def sampled(model: DataFrame, lengths: DataFrame, n: int, seed: int, shards: int = 8, uniform: float = 0.0) -> DataFrame:
-    """doc_id, tokens: sequences from a bigram model (a, b, p) of bounded vocabulary, lengths as observed (a column of
-    lengths); a token without a successor goes on uniformly, and any token does so with probability `uniform`. What a
-    sequence holds follows from its number and the seed."""
-    shared = _walks(model, lengths)
+        rows.setdefault(number[a], []).append((b, p))
+    walk = {}
+    for a, cells in rows.items():
+        cells.sort()
+        summed = np.cumsum([p for _, p in cells])
+        walk[a] = (np.array([number[b] for b, _ in cells]), summed / summed[-1])
+    return model.sparkSession.sparkContext.broadcast((names, walk))
+
+
+def sampled(model: DataFrame, lengths: DataFrame, n: int, seed: int, shards: int = 8, uniform: float = 0.0, most: int = MOST_CELLS) -> DataFrame:
+    """doc_id, tokens: sequences from a bigram model (a, b, p), lengths as observed (a column of lengths); a token without a
+    successor goes on uniformly, and any token does so with probability `uniform`. What a sequence holds follows from its number, the
+    seed and the model. A model of at most `most` cells is broadcast; a larger one gives the same sequences by joins.
+    An empty model, or no lengths, gives empty sequences; cells whose p is null or not above zero count as absent."""
+    shared = _walks(model, most)
+    if shared is None:
+        return walked(model, lengths, n, seed, uniform)
+    sizes, weight = _observed(lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, walk, sizes, weight = shared.value
+        names, walk = shared.value
         for batch in batches:
             out = []
             for i in batch.column("id").to_pylist():
-                rng = np.random.default_rng([seed, i])
-                size = int(sizes[np.searchsorted(weight, rng.random() * weight[-1], side="right")])
-                at, seq = int(rng.integers(len(names))), []
-                for _ in range(size):
+                size = int(sizes[np.searchsorted(weight, _unit(seed, i, "n") * weight[-1], side="right")])
+                at, seq = int(_unit(seed, i, "s") * len(names)), []
+                for step in range(size if names else 0):
                     seq.append(names[at])
-                    step = None if uniform and rng.random() < uniform else walk.get(at)
-                    at = int(rng.integers(len(names))) if step is None else int(step[0][min(np.searchsorted(step[1], rng.random() * step[1][-1], side="right"), len(step[0]) - 1)])
+                    row = None if uniform and _unit(seed, i, f"u{step}") < uniform else walk.get(at)
+                    u = _unit(seed, i, step)
+                    at = int(u * len(names)) if row is None else int(row[0][np.searchsorted(row[1], u, side="right")])
                 out.append(seq)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("id"), "tokens": pa.array(out, pa.list_(pa.string()))})
 
     return model.sparkSession.range(n, numPartitions=shards).mapInArrow(run, "doc_id bigint, tokens array<string>")
 
 
+def guide_table(model: DataFrame) -> DataFrame:
+    """uniform, a, slot, lo, hi, b, slots: where a step from a goes. The k successors of a token share [0, 1) by their
+    probabilities, in order of the token; [0, 1) is also cut into k equal slots, and a successor stands in each slot that it reaches
+    into, so at most 2k rows. A draw u looks in the slot floor(uk) and takes the row with lo <= u < hi. Uniform steps (uniform is true, a
+    is empty) have one slot a token, its number by bucket and token. slots counts those of b, 0 for a token without successors."""
+    cells = model.filter("p > 0").select("a", "b", "p")
+    row = W.partitionBy("a").orderBy("b")
+    top = F.sum("p").over(row.rowsBetween(W.unboundedPreceding, W.currentRow))
+    summed = cells.withColumn("top", top).withColumn("k", F.count(F.lit(1)).over(W.partitionBy("a"))).withColumn("whole", F.max("top").over(W.partitionBy("a")))
+    shares = summed.select("a", "b", "k", (F.coalesce(F.lag("top").over(row), F.lit(0.0)) / F.col("whole")).alias("lo"), (F.col("top") / F.col("whole")).alias("hi"))
+    slot = lambda c: F.least(F.floor(F.col(c) * F.col("k")), F.col("k") - 1)
+    steps = shares.select(F.lit(False).alias("uniform"), "a", F.explode(F.sequence(slot("lo"), slot("hi"))).alias("slot"), "lo", "hi", "b")
+    tokens_of = cells.select(F.col("a").alias("b")).union(cells.select("b")).distinct().withColumn("bucket", F.substring(F.sha2("b", 256), 1, DIGITS))
+    # Buckets are at most 16 to the power of DIGITS, so their offsets may be summed in one task.
+    before = W.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = tokens_of.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    placed = tokens_of.withColumn("i", F.row_number().over(W.partitionBy("bucket").orderBy("b")) - 1).join(offsets, "bucket")
+    anywhere = placed.select(F.lit(True).alias("uniform"), F.lit("").alias("a"), (F.col("offset") + F.col("i")).alias("slot"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), "b")
+    slots = cells.groupBy(F.col("a").alias("b")).agg(F.count(F.lit(1)).alias("slots"))
+    return steps.union(anywhere).join(slots, "b", "left").withColumn("slots", F.coalesce("slots", F.lit(0)))
+
+
+def walked(model: DataFrame, lengths: DataFrame, n: int, seed: int, uniform: float = 0.0) -> DataFrame:
+    """`sampled` for models of any size: each step joins the walks that go on to the guide table by token and slot, so nothing of the
+    model reaches the driver and a frequent token's rows are spread over the tasks by slot. As many joins as the longest walk
+    has tokens; every STEPS of them lineage is cut in the checkpoint folder and walks that have ended are set aside."""
+    spark = model.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        raise ValueError("set spark.checkpoint.dir: walks by joins cut their lineage there")
+    sizes, weight = _observed(lengths)
+    guide = guide_table(model).repartition("uniform", "a", "slot").checkpoint()
+    v = guide.filter("uniform").count()
+    i = F.col("doc_id")
+    place = F.size(F.filter(F.array(*(F.lit(float(w)) for w in weight)), lambda w: w <= _share(seed, i, F.lit("n")) * float(weight[-1])))
+    size = F.element_at(F.array(*(F.lit(int(x)) for x in sizes)), place + 1)
+    start = spark.range(n).withColumnRenamed("id", "doc_id").select("doc_id", size.alias("size"), F.array().cast("array<string>").alias("tokens"), F.lit("").alias("at"), F.lit(0).cast("long").alias("slots"))
+
+    def step(walks: DataFrame, number: int) -> DataFrame:
+        u = _share(seed, i, F.lit("s") if number == 0 else F.lit(number - 1))
+        free = F.col("slots") == 0
+        if uniform and number:
+            free = free | (_share(seed, i, F.lit(f"u{number - 1}")) < uniform)
+        to = F.floor(u * F.when(free, F.lit(v)).otherwise(F.col("slots")))
+        # A walk that has ended looks for a slot that isn't there, each for one of its own.
+        slot = F.when(F.col("size") > number, to).otherwise(-1 - i)
+        drawn = walks.select("doc_id", "size", "tokens", "at", F.col("slots").alias("held"), free.alias("uniform"), F.when(free, "").otherwise(F.col("at")).alias("a"), slot.alias("slot"), u.alias("u"))
+        within = (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))
+        where = reduce(lambda x, y: x & y, (drawn[c] == guide[c] for c in ("uniform", "a", "slot")))
+        found = drawn.join(guide, where & within, "left")
+        return found.select("doc_id", "size", F.when(F.col("b").isNull(), F.col("tokens")).otherwise(F.array_append("tokens", F.col("b"))).alias("tokens"), F.coalesce("b", "at").alias("at"), F.coalesce("slots", "held").alias("slots"))
+
+    longest = int(max(sizes)) if v else 0
+    ended, walks = [start.filter(F.col("size") == 0) if v else start], start.filter("size > 0")
+    for number in range(longest):
+        walks = step(walks, number)
+        if number % STEPS == STEPS - 1 or number == longest - 1:
+            walks = walks.checkpoint()
+            ended.append(walks.filter(F.size("tokens") == F.col("size")))
+            walks = walks.filter(F.size("tokens") < F.col("size"))
+    return reduce(DataFrame.unionByName, ended).select("doc_id", "tokens")
+
+
 #: What a model's zero entries count as when its logarithms are perturbed.
 LEAST_P = 1e-10
 
@@ -125,10 +223,13 @@ def sampled_perturbed(model: DataFrame, lengths: DataFrame, n: int, seed: int, t
     """corpus (the candidate's number), doc_id, tokens: n sequences of each candidate in one job. A candidate is a list of
     seeds: for each, Gaussian noise is added to the logarithms of all rows, which are then scaled to one again. Rows are
     dense, so a task makes only those that its sequences visit."""
-    shared = _walks(model, lengths)
+    shared = _walks(model)
+    if shared is None:
+        raise ValueError(f"a model of more than {MOST_CELLS} cells can't be perturbed: noise makes its rows dense")
+    sizes, weight = _observed(lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, walk, sizes, weight = shared.value
+        names, walk = shared.value
         made: dict[tuple[int, int], np.ndarray] = {}
 
         def row(candidate: int, at: int) -> np.ndarray:

@@ -69,6 +69,27 @@ def test_models(spark):
     assert all(len(r["tokens"]) == 7 for r in walk)
 
 
+@pytest.mark.parametrize("uniform", [0.0, 0.3])
+def test_walks_by_joins_are_those_of_the_broadcast_model(spark, tmp_path, uniform):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    model = L.transitions(corpus(spark, SOURCE, "fr"), 100).union(spark.createDataFrame([("fr", "dead", "end", 1, 1.0), ("fr", "x", "y", 1, 0.0), ("fr", "x", "z", 1, None)], "corpus string, a string, b string, cnt long, p double"))
+    lengths = spark.createDataFrame([(0,), (1,), (3,), (3,), (11,)], "length int")
+    small = L.sampled(model, lengths, 60, 5, uniform=uniform).collect()
+    large = L.sampled(model, lengths, 60, 5, uniform=uniform, most=3).collect()
+    assert sorted(map(tuple, large)) == sorted(map(tuple, small)) and {len(r["tokens"]) for r in large} == {0, 1, 3, 11}
+    for empty in (L.sampled(model.limit(0), lengths, 3, 1), L.walked(model.limit(0), lengths, 3, 1), L.walked(model, lengths.limit(0), 3, 1)):
+        assert sorted(map(tuple, empty.collect())) == [(0, []), (1, []), (2, [])]
+
+
+def test_samples_follow_the_model(spark):
+    model = spark.createDataFrame([("a", "a", 0.5), ("a", "b", 0.25), ("a", "c", 0.25), ("b", "a", 1.0), ("c", "a", 1.0)], "a string, b string, p double")
+    walks = L.sampled(model, spark.createDataFrame([(50,)], "length int"), 400, 2).collect()
+    steps = [(x, y) for r in walks for x, y in zip(r["tokens"], r["tokens"][1:])]
+    after = [y for x, y in steps if x == "a"]
+    assert abs(after.count("a") / len(after) - 0.5) < 0.02 and abs(after.count("b") / len(after) - 0.25) < 0.02
+    assert all(y == "a" for x, y in steps if x != "a")
+
+
 def test_runner(spark, sf_dir, tmp_path):
     out = str(tmp_path / "out")
     assert runner.run(spark, sf_dir, out, ("corpus_stats",)) == ["corpus_stats"]
