@@ -1,11 +1,11 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree (operator 8), DataFrame functions only.
 
 Every source is cut into the same number of blocks by a keyed hash of the id. Its target in words becomes an exact quota of
-block draws: whole epochs of all blocks, then blocks in permuted order, then documents of the one block in which the
-target falls. The quotas of all sources form the root of a binary tree over the output shards. At each node half of
+block draws: whole epochs of all blocks, then blocks in permuted order as long as they fit, blocks that don't passed over, then
+documents of the first blocks that were. The quotas of all sources form the root of a binary tree over the output shards. At each node half of
 the draws, taken without replacement, go left: the counts by source that result are multivariate hypergeometric and
 add up exactly. A leaf's quota takes the next draws of the source's permuted list, so shards get disjoint draws; inside
-a shard the copies are ordered by a keyed hash.
+a shard the copies are ordered by a keyed hash, their place; the mix is laid out by shard and place.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ SHARDS = 16
 #: Documents of a source that may fill the gap between its whole blocks and its target.
 FILL_ROWS = 2000
 FILL_ROUNDS = 4
+#: Runs of places, as a power of two, that a shard is laid out in; each is sorted by one task.
+PIECE_BITS = 6
 
 
 def words_in(text: str) -> Column:
@@ -81,38 +83,34 @@ def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = 0) -> Da
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", shards: int = SHARDS, seed: int = 0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """docs with size, source_size, target, copies, taken (copies times size, at most MOST_EPOCHS times size) and
-    shards, the output shard of each copy.
+    """docs with size, source_size, target, copies, taken (copies times size, at most MOST_EPOCHS times size),
+    shards, the output shard of each copy, and places, the keys that order the copies in their shards.
 
     Size: words of the text, 0 for null. Sources in order of code points, null last, have the weights by turns. Only
     whole documents are taken; a source's sum stays below its target by less than the smallest document that the last blocks leave out, as a rule. Everything follows from the seed, the ids and the table, so reruns agree. Equal rows
     count each; which of them gets an extra copy doesn't show. Input columns named like the new ones are replaced.
     An empty table gives an empty result.
     """
-    new = ("size", "source_size", "target", "copies", "taken", "shards")
+    new = ("size", "source_size", "target", "copies", "taken", "shards", "places")
     docs = docs.drop(*[c for c in new if c in docs.columns])
-    order = F.xxhash64(F.lit(seed), F.col(id_col))
-    base = docs.withColumn("__key", _key(source)).withColumn("size", words_in(text)).withColumn("__order", order)
+    base = docs.withColumn("__key", _key(source)).withColumn("size", words_in(text))
     n_sources = base.select("__key").distinct().count()
     blocks = max(1, min(BLOCKS, ALL_BLOCKS // max(1, n_sources)))
     in_block = F.pmod(F.xxhash64(F.lit("block"), F.lit(seed), F.col(id_col)), F.lit(blocks)).cast("int")
     base = base.withColumn("__block", in_block)
-    held = saved(base.groupBy("__key", "__block").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")), "mix-blocks")
+    rows = saved(base.select("__key", "__block", F.col(id_col).alias("__id"), "size"), "mix-rows")  # all decisions are made on these
+    held = saved(rows.groupBy("__key", "__block").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")), "mix-blocks")
     goals = targets(held.groupBy("__key").agg(F.sum("words").alias("source_size")), weights)
     source_size = F.col("source_size")
     epochs = F.when(source_size > 0, F.floor(F.col("target") / source_size)).otherwise(0)
-    of_source = W.partitionBy("__key")
-    permuted = of_source.orderBy(F.xxhash64(F.lit(seed), "__key", "__block"), "__block")
-    # The rest of a target takes whole blocks; the blocks behind them, FILL_ROWS documents or one block, fill the gap.
-    behind = F.sum("rows").over(permuted) - F.sum(F.when(F.col("whole"), F.col("rows")).otherwise(0)).over(of_source)
+    permuted = (F.xxhash64(F.lit(seed), "__key", "__block"), F.col("__block"))
+    rest = held.join(goals, "__key").withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * source_size)
+    taken = _fitting(rest, "rest", "words", "whole", permuted).withColumn("whole", F.col("whole") & (F.col("rest") > 0))
+    # The first blocks left over, FILL_ROWS documents or one block, fill the gap.
+    left_rows = F.when(~F.col("whole"), F.col("rows")).otherwise(0)
     planned = (
-        held.join(goals, "__key")
-        .withColumn("epochs", epochs)
-        .withColumn("rest", F.col("target") - F.col("epochs") * source_size)
-        .withColumn("whole", (F.sum("words").over(permuted) <= F.col("rest")) & (F.col("rest") > 0))
-        .withColumn("behind", behind)
-        .withColumn("left", F.col("rest") - F.sum(F.when(F.col("whole"), F.col("words")).otherwise(0)).over(of_source))
-        .withColumn("gap", F.when(~F.col("whole") & (F.col("rest") > 0) & ((F.col("behind") <= FILL_ROWS) | (F.col("behind") == F.col("rows"))), F.col("left")))
+        taken.withColumn("behind", F.sum(left_rows).over(W.partitionBy("__key").orderBy(*permuted)))
+        .withColumn("gap", F.when(~F.col("whole") & (F.col("rest") > 0) & ((F.col("behind") <= FILL_ROWS) | (F.col("behind") == F.col("rows"))), F.col("room")))
         .withColumn("draws", (F.col("epochs") + F.when(F.col("whole") | F.col("gap").isNotNull(), 1).otherwise(0)).cast("int"))
     )
     planned = saved(planned.select("__key", "__block", "source_size", "target", "epochs", "whole", "gap", "draws"), "mix-plan")
@@ -122,31 +120,49 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
     to = F.size(F.filter("ends", lambda x: x <= F.col("place")))
     dealt = listed.groupBy("__key", "__block").agg(F.transform(F.array_sort(F.collect_list(F.struct("e", to.alias("shard")))), lambda x: x["shard"]).alias("__to"))
     table = saved(planned.join(dealt, ["__key", "__block"], "left"), "mix-dealt")
+    # How many of a block's equal rows (id and size) fill the gap; no text passes this window.
+    gaps = planned.filter("gap IS NOT NULL").select("__key", "__block", "gap")
+    by_order = (F.xxhash64(F.lit(seed), "__id"), F.col("__id"), F.col("size"))
+    filled = _fitting(rows.join(gaps, ["__key", "__block"]), "gap", "size", "in", by_order).filter("in")
+    extra = saved(filled.groupBy("__key", "__id", "size").agg(F.count(F.lit(1)).alias("__extra")), "mix-fill")
     named = table.drop("draws").withColumnsRenamed({c: f"__{c}" for c in ("epochs", "whole", "gap")})
     joined = base.join(named, ["__key", "__block"])
     copies = (F.col("__epochs") + F.when(F.col("__whole"), 1).otherwise(0)).cast("int")
     plain = joined.filter(F.col("__gap").isNull()).withColumn("copies", copies)
-    cut = joined.filter(F.col("__gap").isNotNull()).withColumn("__in", F.lit(False))
-    by_order = W.partitionBy("__key").orderBy("__order", id_col, "size")
-    for _ in range(FILL_ROUNDS):  # fills the gap with documents that still fit
-        cut = cut.withColumn("__room", F.col("__gap") - F.sum(F.when(F.col("__in"), F.col("size")).otherwise(0)).over(W.partitionBy("__key")))
-        fits = ~F.col("__in") & (F.col("size") <= F.col("__room"))
-        cut = cut.withColumn("__fits", fits).withColumn("__run", F.sum(F.when(F.col("__fits"), F.col("size")).otherwise(0)).over(by_order.rowsBetween(W.unboundedPreceding, 0)))
-        cut = cut.withColumn("__in", F.col("__in") | (F.col("__fits") & (F.col("__run") <= F.col("__room"))))
-    cut = cut.withColumn("copies", (F.col("__epochs") + F.when(F.col("__in"), 1).otherwise(0)).cast("int"))
-    both = plain.unionByName(cut.drop("__in", "__room", "__fits", "__run"))
+    cut = joined.filter(F.col("__gap").isNotNull()).withColumn("__nth", F.row_number().over(W.partitionBy("__key", id_col, "size").orderBy(F.lit(0))))
+    same = extra.select(F.col("__key").alias("__k"), F.col("__id"), F.col("size").alias("__s"), "__extra")
+    cut = cut.join(same, (F.col("__key") == F.col("__k")) & F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("size") == F.col("__s")), "left").drop("__k", "__id", "__s")
+    cut = cut.withColumn("copies", (F.col("__epochs") + F.when(F.col("__nth") <= F.col("__extra"), 1).otherwise(0)).cast("int"))
+    both = plain.unionByName(cut.drop("__nth", "__extra"))
     own = [c for c in docs.columns]
     shard_list = F.coalesce(F.slice("__to", F.lit(1), F.col("copies")), F.array().cast("array<int>"))
-    return both.select(*own, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), shard_list.alias("shards"))
+    place_list = F.transform(shard_list, lambda shard, copy: F.xxhash64(F.lit(seed), shard, F.col(id_col), copy))
+    return both.select(*own, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), shard_list.alias("shards"), place_list.alias("places"))
+
+
+def _fitting(rows: DataFrame, room: str, size: str, name: str, order: tuple[Column, ...]) -> DataFrame:
+    """Adds `name`, whether a row of a source (__key) is among those that fill its room, and room, what is left of it. Rows are taken in
+    order while they fit; in FILL_ROUNDS rounds those behind one that doesn't fit have their turn."""
+    of_source = W.partitionBy("__key")
+    so_far = of_source.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    left = F.col(room) - F.sum(F.when(F.col(name), F.col(size)).otherwise(0)).over(of_source)
+    out = rows.withColumn(name, F.lit(False))
+    for _ in range(FILL_ROUNDS):
+        out = out.withColumn("__left", left)
+        out = out.withColumn("__fits", ~F.col(name) & (F.col(size) <= F.col("__left")))
+        out = out.withColumn("__run", F.sum(F.when(F.col("__fits"), F.col(size)).otherwise(0)).over(so_far))
+        out = out.withColumn(name, F.col(name) | (F.col("__fits") & (F.col("__run") <= F.col("__left"))))
+    return out.withColumn("room", left).drop("__left", "__fits", "__run")
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """The mix itself: a row for each copy taken, with docs' columns, shard and place, a key that orders the shard. All
-    columns of docs keep their names and values but for shard and place."""
+    """The mix itself: a row for each copy taken, with docs' columns, shard and place. All columns of docs keep their names and
+    values but for shard and place. Rows are laid out by shard and run of places (2 to the power of PIECE_BITS runs a shard, each within one
+    partition) and sorted by place there, so whoever reads a shard's runs in turn has it shuffled."""
     used = {text, source, id_col}
     columns = [c for c in docs.columns if c not in ("shard", "place")]
     others = [c for c in columns if c not in used]
     packed = docs.select(*used, F.struct(F.lit(0).alias("__none"), *others).alias("__others"))
-    each = mix(packed, text, source, id_col, shards, seed).select(*used, "__others", F.posexplode("shards").alias("__copy", "shard"))
-    place = F.xxhash64(F.lit(seed), "shard", F.col(id_col), "__copy")
-    return each.select(*(F.col(c) if c in used else F.col("__others").getField(c).alias(c) for c in columns), "shard", place.alias("place"))
+    each = mix(packed, text, source, id_col, shards, seed).select(*used, "__others", F.explode(F.arrays_zip("shards", "places")).alias("__to"))
+    out = each.select(*(F.col(c) if c in used else F.col("__others").getField(c).alias(c) for c in columns), F.col("__to.shards").alias("shard"), F.col("__to.places").alias("place"))
+    return out.repartition("shard", F.shiftright("place", 64 - PIECE_BITS)).sortWithinPartitions("shard", "place")

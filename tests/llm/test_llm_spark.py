@@ -282,6 +282,27 @@ def test_mixing(spark):
     assert mixing.mixed(docs_of(spark, rows)).count() == sum(r["copies"] for r in got)
 
 
+def test_the_mix_is_laid_out_by_shard_and_place(spark):
+    rows = [(i, f"w{i}", "en", "ab"[i % 2]) for i in range(600)] + [(5, "w5", "en", "b"), (None, "none", "en", "a"), (None, None, None, None)]
+    docs = docs_of(spark, rows)
+    want = Counter((r["doc_id"], x, y) for r in mixing.mix(docs).collect() for x, y in zip(r["shards"], r["places"]))
+    got = mixing.mixed(docs).withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id()).collect()
+    assert Counter((r["doc_id"], r["shard"], r["place"]) for r in got) == want
+    parts = {}
+    for r in sorted(got, key=lambda r: r["nth"]):
+        parts.setdefault(r["part"], []).append((r["shard"], r["place"]))
+    assert all(x == sorted(x) for x in parts.values())
+    runs = {(shard, place >> 64 - mixing.PIECE_BITS, part) for part, x in parts.items() for shard, place in x}
+    assert len(runs) == len({r[:2] for r in runs})  # a run of places lies within one partition
+
+
+def test_the_fill_goes_on_behind_documents_that_do_not_fit(spark):
+    small = lambda first, n, source: [(first + i, "w " * 10, "en", source) for i in range(n)]
+    rows = small(0, 3000, "a") + [(9000 + i, "w " * 9000, "en", "a") for i in range(3)] + small(10_000, 2500, "b") + small(20_000, 700, "c") + small(30_000, 1, "c")
+    got = mixing.mix(docs_of(spark, rows)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()
+    assert len(got) == 3 and all(0 <= r["target"] - r["taken"] < 10 and r["most"] <= 3 for r in got)
+
+
 def test_splitting_tree_is_exact(spark):
     quotas = {"sa": 37, "sb": 5, "n": 100}
     got = {r["__key"]: r["ends"] for r in mixing.splitting_tree(spark.createDataFrame(list(quotas.items()), "__key string, k long"), 8, 3).collect()}
