@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpuscope.operators.corpus import ranked, sequences, tokens, types
+from corpuscope.operators.corpus import ranked, sequences, taken_apart, tokens, types
 
 WINDOW = 2
 VOCABULARY = 5000
@@ -22,7 +22,7 @@ def vocabulary(corpora: DataFrame, top: int = VOCABULARY) -> DataFrame:
 
 def cooccurrence(corpora: DataFrame, window: int = WINDOW, top: int = VOCABULARY) -> DataFrame:
     """corpus, row_tok, col_tok, cnt over in-vocabulary pairs; positions count whether or not what lies between is in the
-    vocabulary. Pairs are taken from each sequence's array and counted before the vocabulary is joined."""
+    vocabulary. Pairs are taken from each sequence's array; only those of the vocabulary are shuffled."""
     n = F.size("tokens")
 
     def apart(k: int):
@@ -30,21 +30,23 @@ def cooccurrence(corpora: DataFrame, window: int = WINDOW, top: int = VOCABULARY
         pair = lambda i: F.struct(F.element_at("tokens", i).alias("a"), F.element_at("tokens", i + k).alias("b"))
         return F.when(n > k, F.transform(at, pair)).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
 
-    pairs = sequences(corpora).select("corpus", F.explode(F.concat(*(apart(k) for k in range(1, window + 1)))).alias("p"))
-    counted = pairs.groupBy("corpus", "p.a", "p.b").agg(F.count(F.lit(1)).alias("cnt"))
-    known = vocabulary(corpora, top).select("corpus", "token")
+    pairs = taken_apart(sequences(corpora), F.concat(*(apart(k) for k in range(1, window + 1))), "corpus", name="p")
+    known = vocabulary(corpora, top).select("corpus", "token").persist()  # at most `top` rows a corpus, for both ends
+    pairs = pairs.select("corpus", "p.a", "p.b")
     for c in ("a", "b"):
-        counted = counted.join(known.withColumnRenamed("token", c), ["corpus", c], "left_semi")
+        pairs = pairs.join(F.broadcast(known.withColumnRenamed("token", c)), ["corpus", c], "left_semi")
+    counted = pairs.groupBy("corpus", "a", "b").agg(F.count(F.lit(1)).alias("cnt"))
     both = counted.select("corpus", F.col("a").alias("row_tok"), F.col("b").alias("col_tok"), "cnt").union(counted.select("corpus", F.col("b"), F.col("a"), "cnt"))
     return both.groupBy("corpus", "row_tok", "col_tok").agg(F.sum("cnt").alias("cnt"))
 
 
 def ppmi(counts: DataFrame) -> DataFrame:
     """Adds w = max(0, log2(P(row, col) / (P(row) P(col)))); marginals include the diagonal."""
+    counts = counts.persist()  # four readers; at most the vocabulary's square a corpus
     rows = counts.groupBy("corpus", "row_tok").agg(F.sum("cnt").alias("r"))
     cols = counts.groupBy("corpus", "col_tok").agg(F.sum("cnt").alias("s"))
     whole = counts.groupBy("corpus").agg(F.sum("cnt").alias("t"))
-    joined = counts.join(rows, ["corpus", "row_tok"]).join(cols, ["corpus", "col_tok"]).join(whole, "corpus")
+    joined = counts.join(F.broadcast(rows), ["corpus", "row_tok"]).join(F.broadcast(cols), ["corpus", "col_tok"]).join(F.broadcast(whole), "corpus")  # a row a word
     w = F.greatest(F.lit(0.0), F.log2(F.col("cnt").cast("double") * F.col("t") / (F.col("r").cast("double") * F.col("s"))))
     return joined.select("corpus", "row_tok", "col_tok", "cnt", w.alias("w"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.operators.cooc import VOCABULARY, WINDOW
-from corpuscope.operators.corpus import ranked
+from corpuscope.operators.corpus import ranked, taken_apart
 
 #: Share of changed sequences from which a rebuild costs less than the changes.
 REBUILD_SHARE = 0.5
@@ -28,8 +28,12 @@ def _pairs(tokens: Column, window: int) -> Column:
 
 def raw_pairs(seqs: DataFrame, window: int = WINDOW) -> DataFrame:
     """corpus, row_tok, col_tok, cnt over all words of sequences (corpus, tokens)."""
-    each = seqs.select("corpus", F.explode(_pairs(F.col("tokens"), window)).alias("p"))
-    return each.groupBy("corpus", F.col("p.a").alias("row_tok"), F.col("p.b").alias("col_tok")).agg(F.count(F.lit(1)).alias("cnt"))
+    return _each_pair(seqs, window).groupBy("corpus", "row_tok", "col_tok").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _each_pair(seqs: DataFrame, window: int) -> DataFrame:
+    each = taken_apart(seqs, _pairs(F.col("tokens"), window), "corpus", name="p")
+    return each.select("corpus", F.col("p.a").alias("row_tok"), F.col("p.b").alias("col_tok"))
 
 
 def pair_deltas(changes: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -53,7 +57,11 @@ def mode(changes: DataFrame, sequences: int, anchor: DataFrame) -> str:
 
 def updated(pairs: DataFrame, changes: DataFrame, window: int = WINDOW) -> DataFrame:
     """The pairs after the changes; what falls to nothing goes."""
-    both = pairs.select("corpus", "row_tok", "col_tok", "cnt").union(pair_deltas(changes, window))
+    return _sum_of(pairs, pair_deltas(changes, window))
+
+
+def _sum_of(pairs: DataFrame, deltas: DataFrame) -> DataFrame:
+    both = pairs.select("corpus", "row_tok", "col_tok", "cnt").union(deltas.select("corpus", "row_tok", "col_tok", "delta"))
     return both.groupBy("corpus", "row_tok", "col_tok").agg(F.sum("cnt").alias("cnt")).filter("cnt > 0")
 
 
@@ -67,7 +75,18 @@ def refreshed(pairs: DataFrame, new: DataFrame, changes: DataFrame, sequences: i
 
 def in_vocabulary(pairs: DataFrame, counts: DataFrame, top: int = VOCABULARY) -> DataFrame:
     """Pairs whose words are both among the most frequent ones of their corpus (counts: corpus, token, cnt)."""
-    known = ranked(counts, "token", top).select("corpus", "token")
+    return _both_known(pairs, ranked(counts, "token", top).select("corpus", "token"))
+
+
+def _both_known(pairs: DataFrame, known: DataFrame) -> DataFrame:
     for c in ("row_tok", "col_tok"):
-        pairs = pairs.join(known.withColumnRenamed("token", c), ["corpus", c], "left_semi")
+        pairs = pairs.join(F.broadcast(known.withColumnRenamed("token", c)), ["corpus", c], "left_semi")  # `top` rows a corpus
     return pairs
+
+
+def updated_in_vocabulary(seqs: DataFrame, changes: DataFrame, counts: DataFrame, window: int = WINDOW, top: int = VOCABULARY) -> DataFrame:
+    """in_vocabulary(updated(raw_pairs(seqs), changes), counts) where nothing else needs the other pairs: those are left out
+    before they are shuffled."""
+    known = ranked(counts, "token", top).select("corpus", "token").persist()  # three readers
+    pairs = _both_known(_each_pair(seqs, window), known).groupBy("corpus", "row_tok", "col_tok").agg(F.count(F.lit(1)).alias("cnt"))
+    return _sum_of(pairs, _both_known(pair_deltas(changes, window), known))
