@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions import text as X
 from corpuscope.operators import features as FE
+from corpuscope.operators import profiles as P
 from corpuscope.operators import rewrite as RW
 from corpuscope.operators import state as S
-from corpuscope.operators.corpus import BUCKET, running_before
+from corpuscope.operators.corpus import BUCKET, dropped, running_before, stored
 from corpuscope.operators.profiles import CHAR_TOP, WORD_TOP
 
 TOP = {"w1": 1000, "w2": WORD_TOP, "w3": WORD_TOP, "s3": CHAR_TOP["s3"]}
@@ -103,7 +104,7 @@ def features(base: DataFrame, changed: DataFrame, slots: list[int], budget: int
     changes is the state itself. Raises where a variant has fewer tokens than the budget. The result has one row a variant, made
     from rows that were collected."""
     spark = base.sparkSession
-    rows = placed(base)
+    rows = stored(placed(base))
     total = rows.agg(F.sum(F.size("tokens").cast("long"))).first()[0] or 0
     longer = (F.size("new") - F.size("old")).cast("long")
     moved_by = {r["slot"]: r for r in changed.groupBy("slot").agg(F.sum(longer).alias("d"), F.sum(F.abs(longer)).alias("most")).collect()}  # one row a variant
@@ -120,22 +121,25 @@ def features(base: DataFrame, changed: DataFrame, slots: list[int], budget: int
     # The state, counted once.
     held = rows.filter(_held(F.col("start"), budget)).withColumn("tokens", _cut(F.col("tokens"), F.col("start"), budget))
     fixed = F.array(*(F.lit(p).cast("long") for p in at))
-    first = held.select("start", F.posexplode("tokens").alias("i", "token")).groupBy("token", _part(F.col("start") + F.col("i"), fixed).alias("part")).agg(F.count(F.lit(1)).alias("cnt")).persist()
-    words = held.select(F.explode(S._words(F.col("tokens"))).alias("x")).groupBy("x.kind", "x.gram").agg(F.count(F.lit(1)).alias("cnt"))
-    apart = first.groupBy("token").agg(F.sum("cnt").alias("cnt")).select("cnt", F.explode(_apart(F.col("token"))).alias("x")).groupBy("x.kind", "x.gram").agg(F.sum("cnt").alias("cnt"))
-    counts = words.union(apart).persist()
+    first = stored(held.select("start", F.posexplode("tokens").alias("i", "token")).groupBy("token", _part(F.col("start") + F.col("i"), fixed).alias("part")).agg(F.count(F.lit(1)).alias("cnt")))
+    types = first.groupBy("token").agg(F.sum("cnt").alias("cnt"))
+    apart = types.select("cnt", F.explode(_apart(F.col("token"))).alias("x")).groupBy("x.kind", "x.gram").agg(F.sum("cnt").alias("cnt"))
+    single = stored(types.select(F.lit("w1").alias("kind"), F.col("token").alias("gram"), "cnt").union(apart))
+    grams = lambda n: P.gram_counts(held.select(F.lit("").alias("corpus"), F.array("tokens").alias("seqs")), n).select(F.lit(f"w{n}").alias("kind"), "gram", "cnt")
+    twos, threes = stored(grams(2)), stored(grams(3))  # one after the other, so the files of only one shuffle are there at once
+    counts = single.union(twos).union(threes)
     power = lambda tokens, k: reduce(lambda a, _: a * F.size(tokens).cast("decimal(10,0)"), range(k), F.lit(1).cast("decimal(1,0)")).cast("decimal(38,0)")
 
     # What each variant changes.
     seen = affected(rows, changed, frame, at, reach, budget).withColumn("now", F.col("start") + F.col("shift"))
     was, now = _held(F.col("start"), budget), _held(F.col("now"), budget)
-    seen = seen.select("slot", _cut(F.col("old"), F.col("start"), budget).alias("old"), _cut(F.col("new"), F.col("now"), budget).alias("new"), "start", "now", was.alias("was"), now.alias("is")).persist()
-    deltas = S.word_changes(seen.filter("old <> new").select("slot", "old", "new")).persist()
+    seen = stored(seen.select("slot", _cut(F.col("old"), F.col("start"), budget).alias("old"), _cut(F.col("new"), F.col("now"), budget).alias("new"), "start", "now", was.alias("was"), now.alias("is")))
+    deltas = stored(S.word_changes(seen.filter("old <> new").select("slot", "old", "new")))
     each = deltas.filter("kind = 'w1'").select("slot", "d", F.explode(_apart(F.col("gram"))).alias("x"))
-    changes = deltas.select("slot", "kind", "gram", "d").union(each.groupBy("slot", "x.kind", "x.gram").agg(F.sum("d").alias("d")).filter("d <> 0")).persist()
+    changes = stored(deltas.select("slot", "kind", "gram", "d").union(each.groupBy("slot", "x.kind", "x.gram").agg(F.sum("d").alias("d")).filter("d <> 0")))
     signed = lambda c, start, ps, d: F.transform(c, lambda t, i: F.struct(t.alias("token"), _part(F.col(start) + i, ps).alias("part"), F.lit(d).alias("d")))
     parts = seen.join(F.broadcast(frame), "slot").select("slot", F.explode(F.concat(signed("old", "start", fixed, -1), signed("new", "now", F.col("points"), 1))).alias("x"))
-    moved = parts.groupBy("slot", "x.token", "x.part").agg(F.sum("x.d").alias("d")).filter("d <> 0").persist()
+    moved = stored(parts.groupBy("slot", "x.token", "x.part").agg(F.sum("x.d").alias("d")).filter("d <> 0"))
 
     # Sequence lengths.
     own = held.agg(*(F.coalesce(F.sum(power("tokens", k)), F.lit(0)).alias(f"p{k}") for k in POWERS)).first()
@@ -155,7 +159,7 @@ def features(base: DataFrame, changed: DataFrame, slots: list[int], budget: int
     stats = known.select("slot", F.col("u").alias("unique_types"), "hapax", "dis", "vowels", "consonants", mean.alias("word_length_mean"), (F.col("square") / F.col("t") - mean * mean).alias("word_length_variance"))
 
     # First grams.
-    kept = kept.persist()
+    kept = stored(kept)
     of_kind = lambda k, value, most=None: F.sum(F.when((F.col("kind") == k) & (F.lit(True) if most is None else F.col("rnk") <= most), value))
     entropy = lambda k: -of_kind(k, F.col("p") * F.log("p"))
     shares = kept.groupBy("slot").agg(
@@ -167,7 +171,7 @@ def features(base: DataFrame, changed: DataFrame, slots: list[int], budget: int
 
     # Characters: as many rows a variant as the alphabet has pairs.
     pairs = counts.filter("kind in ('i2', 'e1', 'e2')").crossJoin(every).select("slot", "kind", "gram", "cnt").union(changes.filter("kind in ('i2', 'e1', 'e2')").select("slot", "kind", "gram", "d"))
-    pairs = pairs.groupBy("slot", "kind", "gram").agg(F.sum("cnt").alias("c")).filter("c > 0").persist()
+    pairs = stored(pairs.groupBy("slot", "kind", "gram").agg(F.sum("cnt").alias("c")).filter("c > 0"))
     inner = FE.pair_entropy(pairs.filter("kind = 'i2'").select("slot", F.col("gram").alias("pair"), "c"), "slot")
     edges = FE.edge_entropy(pairs.filter("kind <> 'i2'").select("slot", F.when(F.col("kind") == "e1", -1.0).otherwise(1.0).alias("sign"), F.col("gram").alias("ch"), "c"), "slot")
 
@@ -183,6 +187,5 @@ def features(base: DataFrame, changed: DataFrame, slots: list[int], budget: int
 
     out = FE.from_parts(moments, [stats, cover, slope, inner, edges, growth], "slot")
     result = spark.createDataFrame(out.collect(), out.schema)  # one row a variant
-    for t in (first, counts, seen, deltas, changes, moved, kept, pairs):
-        t.unpersist()
+    dropped(rows, first, single, twos, threes, seen, deltas, changes, moved, kept, pairs)
     return result
