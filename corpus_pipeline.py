@@ -16,7 +16,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies (five-word shingles, similarity 0.8) stays, that of the least id."""
+    """One document of each class of near copies (five-word shingles, similarity 0.8) stays, that of the least id. Candidates come from
+    SimHash fingerprints and, for those further apart than three bits, from bands of least hashes."""
     return near.deduplicate(docs)
 
 

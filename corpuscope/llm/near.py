@@ -1,9 +1,12 @@
-"""Near-duplicates by the exact similarity of word shingles, for stages (operator 7's fingerprints bind only its query).
+"""Near-duplicates by SimHash fingerprints and the exact similarity of word shingles, for stages (operator 7's three-word
+fingerprints bind only its query).
 
 Two texts are near copies if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. Equal sets are
-taken together first. Candidates share one of 24 bands of four least hashes: a pair of similarity 0.8 shares none with
-a probability of three in a million, and what a band brings together counts only if the exact similarity says so.
-Cells by their number of different sets: up to SMALL, all pairs; in larger ones first neighbours of a hashed order,
+taken together first. Candidates are sets whose fingerprints link at three bits or fewer (`simhash`: segment popcounts). Sets of
+similarity 0.8 often lie further apart, some ten bits of 64, so for these candidates also share one of 24 bands of four least
+hashes: a pair of similarity 0.8 shares none with a probability of three in a million. What either way brings together counts
+only if the exact similarity says so.
+Cells of bands by their number of different sets: up to SMALL, all pairs; in larger ones first neighbours of a hashed order,
 which joins what is alike throughout; the cells that still hold several classes are cut into blocks, and a local
 forest of each pair of blocks finds every link between classes that is left.
 """
@@ -15,12 +18,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscope.llm.common import deal, modest_batches, saved, utf8_column
+from corpuscope.llm import simhash
+from corpuscope.llm.common import deal, modest_batches, release, saved, utf8_column
 from corpuscope.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -88,6 +92,11 @@ def forest(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple
     return out
 
 
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """SimHash fingerprints of sets."""
+    return simhash.majority(np.concatenate([np.empty(0, np.uint64), *sets]), np.cumsum([0, *map(len, sets)]))
+
+
 def _sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     """k and the set of each text."""
 
@@ -100,18 +109,39 @@ def _sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
 
 
 def _marked(docs: DataFrame, text: str, keep: tuple[str, ...], shingle: int) -> DataFrame:
-    """The kept columns, k (the set's key), n (its size) and bands."""
-    src = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    new = [T.StructField("k", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    """The kept columns, t (the text's digest), k (the set's key), n (its size), fp (its fingerprint) and bands."""
+    keep = (*keep, "__t")
+    src = docs.withColumn("__t", _digest(text)).select(*keep, F.col(text).cast("string").alias("__text"))
+    new = [T.StructField("k", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
     schema = T.StructType([*(f for f in src.schema.fields if f.name != "__text"), *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t, shingle) for t in utf8_column(batch.column("__text"))]
-            own = {"k": pa.array([set_key(s) for s in found], pa.int64()), "n": pa.array([len(s) for s in found], pa.int64()), "bands": pa.array([bands(s) for s in found], pa.list_(pa.int64()))}
+            own = {"k": pa.array([set_key(s) for s in found], pa.int64()), "n": pa.array([len(s) for s in found], pa.int64()), "fp": pa.array(fingerprints(found), pa.int64()), "bands": pa.array([bands(s) for s in found], pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | own)
 
-    return modest_batches(src).mapInArrow(run, schema)
+    return modest_batches(src).mapInArrow(run, schema).withColumnRenamed("__t", "t")
+
+
+def _digest(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def by_fingerprints(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Candidates (a, b, not verified) that connect the sets whose fingerprints link: the first set of a fingerprint with its others,
+    and with the first of each fingerprint that links. distinct: k, n, fp."""
+    full = distinct.filter("n > 0").select("k", "n", "fp")
+    firsts = saved(full.groupBy("fp").agg(F.min(F.struct("k", "n")).alias("x")).select("fp", "x.k", "x.n"), "near-fingerprints")
+    a, b = (firsts.select(F.col("fp").alias(f"f{x}"), F.col("k").alias(x), F.col("n").alias(f"n{x}")) for x in ("a", "b"))
+    own = full.select(F.col("fp").alias("fa"), F.col("k").alias("b"), F.col("n").alias("nb")).join(a, "fa").filter("a <> b")
+    linked = simhash.links(firsts.select("fp")).select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(a, "fa").join(b, "fb")
+    return own.select("a", "b", "na", "nb").unionByName(linked.select("a", "b", "na", "nb")).filter(_close(similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _close(similarity: float) -> Column:
+    """Not too unlike in size."""
+    return F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -129,23 +159,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def links(docs: DataFrame, distinct: DataFrame, text: str, shingle: int = SHINGLE, similarity: float = SIMILARITY, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """Verified links (a, b) that connect what all links between sets of one cell connect. distinct: k, n, bands."""
+    """Verified links (a, b) that connect what all links between sets of one cell connect. distinct: t, k, n, fp, bands."""
     rows = distinct.select("k", "n", F.posexplode("bands").alias("band", "cell"))
     sizes = rows.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     full = saved(rows.join(sizes, ["band", "cell"]), "near-cells")
     few, many = full.filter(F.col("held") <= small), full.filter(F.col("held") > small)
     a, b = (few.select("band", "cell", F.col("k").alias(x), F.col("n").alias(f"n{x}")) for x in ("a", "b"))
-    close = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9  # else too unlike in size
-    pairs = a.join(b, ["band", "cell"]).filter((F.col("a") < F.col("b")) & close).select("a", "b")
+    pairs = a.join(b, ["band", "cell"]).filter((F.col("a") < F.col("b")) & _close(similarity)).select("a", "b")
     # Large cells: neighbours in a hashed order, in blocks that differ from band to band.
     dealt = many.withColumn("part", F.pmod(F.xxhash64("band", "k"), F.ceil(F.col("held") / block)))
     after = W.partitionBy("band", "cell", "part").orderBy(F.xxhash64("k"), "k")
     chain = dealt.select(F.col("k").alias("x"), F.lead("k").over(after).alias("y")).filter("y is not null").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    pairs = saved(pairs.union(chain).distinct(), "near-pairs")
+    pairs = saved(pairs.union(chain).union(by_fingerprints(distinct, similarity)).distinct(), "near-pairs")
+    # Only texts of sets in a pair are taken apart again, and one text of each such set.
     wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    sets = saved(_sets(docs, text, shingle).join(wanted, "k", "left_semi").dropDuplicates(["k"]), "near-sets")
+    wanted = distinct.select("k", "t").join(wanted, "k", "left_semi").select(F.col("t").alias("__t")).distinct()
+    texts = docs.select(_digest(text).alias("__t"), F.col(text).alias(text)).join(wanted, "__t", "left_semi").dropDuplicates(["__t"])
+    sets = saved(_sets(texts, text, shingle), "near-sets")
     found = saved(_verified(pairs, sets, similarity), "near-links")
     if not many.limit(1).count():
+        release(docs.sparkSession, full, pairs, sets)
         return found
     # Large cells that still hold several classes: every pair of blocks.
     rooted = many.join(components(found), F.col("k") == F.col("node"), "left").withColumn("root", F.coalesce("root", "k")).drop("node")
@@ -175,9 +208,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     nothing. Rows with null ids take part; repeated rows stay. An empty table gives an empty result.
     """
     marked = saved(_marked(docs, text, (id_col, *keep), shingle), "near-marked")
-    distinct = saved(marked.dropDuplicates(["k"]).select("k", "n", "bands"), "near-distinct")
+    distinct = saved(marked.dropDuplicates(["k"]).select("t", "k", "n", "fp", "bands"), "near-distinct")
     joint = components(links(docs, distinct, text, shingle, similarity, small, block))
-    out = marked.drop("n", "bands").join(joint, F.col("k") == F.col("node"), "left")
+    out = marked.drop("t", "n", "fp", "bands").join(joint, F.col("k") == F.col("node"), "left")
     return out.withColumn("root", F.coalesce("root", "k")).drop("node")
 
 
