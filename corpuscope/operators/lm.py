@@ -8,24 +8,64 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuscope.operators.cooc import vocabulary
-from corpuscope.operators.corpus import sequences, tokens
+from corpuscope.operators.corpus import sequences
 
 
-def transitions(corpora: DataFrame, top: int = 5000) -> DataFrame:
+#: Different pairs that a task holds before it hands on their counts.
+HELD_PAIRS = 1_000_000
+
+
+def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes and the sums of their counts."""
+    codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+    return codes, np.bincount(at, np.concatenate([n for _, n in held]), len(codes)).astype(np.int64)
+
+
+def transitions(corpora: DataFrame, top: int = 5000, known: DataFrame | None = None) -> DataFrame:
     """corpus, a, b, cnt, p over in-vocabulary tokens; tokens out of the vocabulary are left out before pairs are
-    formed. Tokens without a successor have no rows: their distribution is uniform by definition."""
-    known = vocabulary(corpora, top).select("corpus", "token")
-    kept = tokens(corpora).join(known, ["corpus", "token"], "left_semi")
-    # A sequence is bounded, so its kept tokens are put back in order within it.
-    ordered = kept.groupBy("corpus", "doc_id", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("t"))
-    at = F.sequence(F.lit(1), F.size("t") - 1)
-    pairs = F.when(F.size("t") > 1, F.transform(at, lambda i: F.struct(F.element_at("t", i).alias("a"), F.element_at("t", i + 1).alias("b"))))
-    counted = ordered.select("corpus", F.explode(pairs).alias("x")).groupBy("corpus", "x.a", "x.b").agg(F.count(F.lit(1)).alias("cnt"))
+    formed. Tokens without a successor have no rows: their distribution is uniform by definition. Every task counts its own pairs, so
+    no token is shuffled; the vocabulary (known, `top` tokens a corpus) goes to all of them."""
+    table = (vocabulary(corpora, top) if known is None else known).select("corpus", "token").filter("corpus IS NOT NULL").toArrow()
+    names: dict[str, list[str]] = {}
+    for corpus, token in zip(table.column("corpus").to_pylist(), table.column("token").to_pylist()):
+        names.setdefault(corpus, []).append(token)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def handed(corpus: str) -> pa.RecordBatch:
+            codes, counts = held.pop(corpus)[0]
+            own = pa.array(names[corpus], pa.string())
+            return pa.RecordBatch.from_pydict({"corpus": pa.array([corpus] * len(codes), pa.string()), "a": own.take(pa.array(codes // len(own))), "b": own.take(pa.array(codes % len(own))), "cnt": pa.array(counts)})
+
+        for batch in batches:
+            for corpus in pc.unique(batch.column("corpus")).to_pylist():
+                if corpus not in names:
+                    continue
+                seqs = batch.filter(pc.equal(batch.column("corpus"), corpus)).column("seqs").flatten()
+                words = seqs.flatten()
+                place = pc.fill_null(pc.index_in(words, pa.array(names[corpus], words.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                owner = np.repeat(np.arange(len(seqs)), pc.list_value_length(seqs).to_numpy(zero_copy_only=False))[place >= 0]
+                place = place[place >= 0]
+                pairs = (place[:-1] * len(names[corpus]) + place[1:])[owner[:-1] == owner[1:]]
+                mine = held.setdefault(corpus, [])
+                mine.append(np.unique(pairs, return_counts=True))
+                if sum(len(c) for c, _ in mine) > HELD_PAIRS:
+                    mine[:] = [_added(mine)]
+                    if len(mine[0][0]) > HELD_PAIRS // 2:
+                        yield handed(corpus)
+        for corpus in list(held):
+            held[corpus] = [_added(held[corpus])]
+            yield handed(corpus)
+
+    each = corpora.select(F.col("corpus").cast("string").alias("corpus"), "seqs").mapInArrow(run, "corpus string, a string, b string, cnt bigint")
+    counted = each.groupBy("corpus", "a", "b").agg(F.sum("cnt").alias("cnt"))
     return counted.withColumn("p", F.col("cnt") / F.sum("cnt").over(W.partitionBy("corpus", "a")))
 
 
@@ -37,8 +77,8 @@ def contexts(corpora: DataFrame, n: int = 3) -> DataFrame:
     return sequences(corpora).select("corpus", F.explode(each).alias("x")).groupBy("corpus", "x.context", "x.next").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def vocabulary_sizes(corpora: DataFrame, top: int = 5000) -> DataFrame:
-    return vocabulary(corpora, top).groupBy("corpus").agg(F.count(F.lit(1)).alias("v"))
+def vocabulary_sizes(corpora: DataFrame, top: int = 5000, known: DataFrame | None = None) -> DataFrame:
+    return (vocabulary(corpora, top) if known is None else known).groupBy("corpus").agg(F.count(F.lit(1)).alias("v"))
 
 
 def row_entropy(model: DataFrame, sizes: DataFrame) -> DataFrame:
