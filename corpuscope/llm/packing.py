@@ -37,6 +37,8 @@ GAP_PART = 100
 FEW_PARTS = 100_000
 #: Bytes of text encoded at a time, and words and bytes of words that a Python worker remembers.
 SLICE_BYTES, MOST_WORDS, MOST_BYTES = 4 << 20, 800_000, 32 << 20
+#: Whether a byte belongs to a word.
+SOLID = ~np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
 
 class WordEncoder:
@@ -71,8 +73,14 @@ class WordEncoder:
     def learn(self, words: list[bytes]) -> None:
         plain = list(map(self.PLAIN.fullmatch, words))
         other = self.tokenizer.encode_batch_fast([w.decode() for w, m in zip(words, plain) if not m], add_special_tokens=False)
-        rest = iter(other)
-        found = [(self._unit(m[1]) + self._unit(m[2]) if m[2] else self._unit(m[1])) if m else next(rest).ids for m in plain]
+        rest, known, found = iter(other), self.units.get, []
+        for m in plain:
+            if m is None:
+                found.append(next(rest).ids)
+                continue
+            letters, signs = m.groups()
+            ids = known(letters) or self._unit(letters)
+            found.append(ids + (known(signs) or self._unit(signs)) if signs else ids)
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
         self.held += sum(map(len, words))
         self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))))
@@ -81,16 +89,25 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.index) > MOST_WORDS or self.held > MOST_BYTES:
             self.forget()
-        words = [t.split() for t in texts]
-        if new := list(set().union(*words) - self.index.keys()):
+        # All words of the slice are numbered at once; only different ones become Python objects.
+        raw = np.frombuffer(b" ".join(texts), np.uint8)
+        solid = SOLID[raw]
+        edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+        begin = edge[::2]
+        ends = np.concatenate(([0], np.cumsum(edge[1::2] - begin)))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(raw[solid])]).dictionary_encode()
+        kinds = words.dictionary.to_pylist()
+        if new := [w for w in kinds if w not in self.index]:
             self.learn(new)
+        places = np.fromiter(map(self.index.__getitem__, kinds), np.int64, len(kinds))[words.indices.to_numpy()]
+        bounds = np.searchsorted(begin, np.cumsum([0, *(len(t) + 1 for t in texts)])).tolist()
         out = []
-        for own in words:
-            at = np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))
+        for a, b in zip(bounds, bounds[1:]):
+            at = places[a:b]
             first = self.first[at]
             n = self.first[at + 1] - first
             total = np.cumsum(n)
-            out.append(self.ids[np.repeat(first - total + n, n) + np.arange(total[-1])] if len(own) else self.ids[:0])
+            out.append(self.ids[np.repeat(first - total + n, n) + np.arange(total[-1])] if len(at) else self.ids[:0])
         return out
 
 
