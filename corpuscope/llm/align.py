@@ -17,6 +17,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from corpuscope.llm.common import data_path, in_slices, modest_batches, saved, s
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text whose distinct runs and pairs are kept together.
 BATCH_BYTES = 4 << 20
+#: Characters of text cut into runs at a time, and new runs encoded at a time: what the tokenizers return for a run is far larger.
+PART_SIZE, PART_RUNS = 256 << 10, 4096
 #: Runs and bytes of runs that a Python worker remembers.
 MOST_RUNS, MOST_BYTES = 250_000, 16 << 20
 #: A space next to other white space; U+180E was white space once.
@@ -100,26 +103,38 @@ class Aligner:
         self.pairs = np.zeros(0, np.int64)  # id of A * n_b + id of B
 
     def learn(self, runs: list[str]) -> None:
-        """Encodes and aligns runs that aren't known yet, all of them as one row of tokens."""
+        """Encodes and aligns runs that aren't known yet, in parts."""
+        parts = [self._learn(runs[i : i + PART_RUNS]) for i in range(0, len(runs), PART_RUNS)]
+        sizes = np.concatenate([x for x, _ in parts])
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(sizes[:, 3])))
+        self.pairs = np.concatenate((self.pairs, *(x for _, x in parts)))
+
+    def _learn(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and pairs of runs, all of them as one row of tokens."""
         self.index |= {r: len(self.names) + i for i, r in enumerate(runs)}
         self.held += sum(map(len, runs))
         ids_a = [x.ids for x in self.a.encode_batch_fast(runs, add_special_tokens=False)]
         ids_b = self.b.encode([r[1:] for r in runs], num_threads=1)  # B adds the space itself
-        back = []
-        for run, x, y in zip(runs, ids_a, ids_b):
-            raw = run.encode()
-            back.append(b"".join([self.bytes_a[i] for i in x]) == raw and b"".join([self.bytes_b[i] for i in y]) == raw)
-        good = [k for k, ok in enumerate(back) if ok]
-        sizes = np.zeros((len(runs), 4), np.int64)
+        lists, raws, back = [], [r.encode() for r in runs], [True] * len(runs)
+        for ids, known in ((ids_a, self.bytes_a), (ids_b, self.bytes_b)):
+            n = np.fromiter(map(len, ids), np.int64, len(runs))
+            flat = list(chain.from_iterable(ids))
+            held = b"".join(map(known.__getitem__, flat))
+            size = np.concatenate(([0], np.cumsum(np.fromiter(map(len, map(known.__getitem__, flat)), np.int64, len(flat)))))
+            at = size[np.concatenate(([0], np.cumsum(n)))].tolist()
+            back = [ok and held[i:j] == raw for ok, i, j, raw in zip(back, at, at[1:], raws)]
+            lists.append((np.array(flat, np.int64), n))
+        good = np.flatnonzero(back)
+        sizes, pairs = np.zeros((len(runs), 4), np.int64), np.zeros(0, np.int64)
         names = [""] * len(runs)
-        if good:
-            n_a, n_b = np.array([len(ids_a[k]) for k in good]), np.array([len(ids_b[k]) for k in good])
-            flat_a, flat_b = np.concatenate([ids_a[k] for k in good]).astype(np.int64), np.concatenate([ids_b[k] for k in good]).astype(np.int64)
+        if len(good):
+            (flat_a, n_a), (flat_b, n_b) = ((flat[np.repeat(back, n)], n[good]) for flat, n in lists)
             first, last, ends = overlaps(np.cumsum(self.len_a[flat_a]), np.cumsum(self.len_b[flat_b]))
             times = last - first + 1
             total = np.cumsum(times)
             partner = np.repeat(first - (total - times), times) + np.arange(total[-1])
-            self.pairs = np.concatenate((self.pairs, np.repeat(flat_a, times) * self.n_b + flat_b[partner]))
+            pairs = np.repeat(flat_a, times) * self.n_b + flat_b[partner]
             upto = lambda values, n: np.diff(np.concatenate(([0], np.cumsum(values)))[np.concatenate(([0], np.cumsum(n)))])
             sizes[good] = np.stack((n_a, n_b, upto(ends, n_b), upto(times, n_a)), 1)
             group_b = np.cumsum(ends) - ends
@@ -128,16 +143,18 @@ class Aligner:
             cut = lambda text, borders: [",".join(text[i:j]) for i, j in zip([0, *borders.tolist()], [*borders.tolist(), len(text)])]
             groups = [f"{x}|{y}" for x, y in zip(cut(text_a, border_a), cut(text_b, border_b))]
             at = np.concatenate(([0], np.cumsum(sizes[good, 2]))).tolist()
-            for k, i, j in zip(good, at, at[1:]):
+            for k, i, j in zip(good.tolist(), at, at[1:]):
                 names[k] = ";".join(groups[i:j])
         self.names += names
-        self.sizes = np.concatenate((self.sizes, sizes))
-        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(sizes[:, 3])))
+        return sizes, pairs
 
     def runs(self, texts: list[str | None]) -> list[np.ndarray]:
         """The numbers of each text's runs, none where it has no tokens."""
         if len(self.index) > MOST_RUNS or self.held > MOST_BYTES:
             self.forget()
+        return [x for i, j in in_slices([t or "" for t in texts], PART_SIZE) for x in self._runs(texts[i:j])]
+
+    def _runs(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [([] if not t else runs_of(f" {t}") if self.cuts else [f" {t}"]) for t in texts]
         for whole in (False, True):  # once more for texts whose bytes don't come back run by run
             if new := list(dict.fromkeys(r for runs in cut for r in runs if r not in self.index)):
@@ -184,11 +201,12 @@ def grouped(docs: DataFrame, path_a: str | None = None, path_b: str | None = Non
                 pairs, at = np.unique(own.pairs[_ranges(own.first[used], links)], return_inverse=True)
                 times = np.bincount(at, weights=np.repeat(seen[used], links).astype(np.float64), minlength=len(pairs)).astype(np.int64)
                 sizes = np.stack([own.sizes[x].sum(0) for x in found])
-                names = [";".join([own.names[k] for k in x.tolist()]) for x in found]
+                names = (";".join([own.names[k] for k in x.tolist()]) for x in found)
                 one = lambda values, t: pa.array([values, *[None] * (j - i - 1)], pa.list_(t))
                 columns = {"batch": pa.array([number] * (j - i), pa.int64()), "__id": batch.column("__id").slice(i, j - i)}
                 columns |= {n: pa.array(sizes[:, k], pa.int64()) for k, n in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
-                columns["groups_sha256"] = pa.array([hashlib.sha256(x.encode()).hexdigest() if x else "" for x in names])
+                names = list(names) if groups else names  # else one at a time
+                columns["groups_sha256"] = pa.array([hashlib.sha256(x.encode()).hexdigest() if x else "" for x in names], pa.string())
                 if groups:
                     columns["groups"] = pa.array(names)
                 columns["runs"] = pa.array([local[x].astype(np.int32) for x in found], pa.list_(pa.int32()))
