@@ -8,8 +8,8 @@ places of one anchor are compared by their contexts, the bytes that strings with
 
 - equal contexts are repeats of each other as a whole (128 bits of digest) and count as one from here on;
 - different contexts with one anchor go to a shard, where the anchor itself, the same in all of them, becomes one symbol.
-  The shard's suffix array is built by induced sorting, the common prefixes are permuted back to text order, and
-  suffixes that share a whole string's symbols are repeats.
+  The shard's suffix array is built as far as a string reaches, by sorting ranks of ever more symbols, and suffixes
+  that share a whole string's symbols are repeats.
 - an anchor with more different contexts than a task should hold is dealt anew by the place of the anchor in the string,
   in ever smaller ranges of places, together with the bytes that all strings of the range share; a range of one place
   leaves single strings, which are counted by their digest.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.llm.common import deal, in_slices, modest_batches, powers, release, saved, spread_join, utf8_column
 from corpuscope.llm.passages import SharedPassages
-from corpuscope.llm.suffix_array import permuted_common_prefixes, suffix_array
+from corpuscope.llm.suffix_array import bounded_suffix_array
 
 LIMIT = 400
 GRAM = 256
@@ -136,17 +136,15 @@ def shard_repeats(contexts: list[bytes], lefts: np.ndarray, low: np.ndarray, hig
     text = np.concatenate([*symbols, np.zeros(1, np.int64)])
     lens = np.array([len(x) for x in symbols[::2]], np.int64) + 1
     start = np.cumsum(lens) - lens
-    sa = suffix_array(text, 259)
-    common = permuted_common_prefixes(text, sa, side + 1)
     whose = np.append(np.repeat(np.arange(len(contexts)), lens), 0)
     info = np.array(owner, np.int64).reshape(-1, 4)
     left_of = info[whose, 2] - (np.arange(len(text)) - np.append(np.repeat(start, lens), 0))
     own = np.arange(len(text)) < len(text) - 1
     valid = own & (left_of >= low[whose]) & (left_of <= high[whose]) & (left_of <= side) & (info[whose, 3] >= side - left_of) & (left_of >= 0)
+    if not valid.any():
+        return [np.empty(0, np.int64)] * len(contexts)
     # A run of the array shares all side + 1 symbols of a string: side bytes and the anchor.
-    run = np.cumsum(common[sa] < side + 1)
-    keep = valid[sa]
-    at, run = sa[keep], run[keep]
+    at, run = bounded_suffix_array(text, side + 1, np.flatnonzero(valid))
     group = info[whose[at], 1]
     order = np.lexsort((group, run))
     at, run, group = at[order], run[order], group[order]

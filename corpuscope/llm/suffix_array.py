@@ -1,4 +1,5 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes. Plain integers, one process, linear time."""
+"""Suffix arrays by induced sorting, and permuted common prefixes: plain integers, one process, linear time. Suffix arrays
+as far as the order of the first symbols goes, by sorting ranks of ever more of them: a few sorts of whole arrays."""
 
 from __future__ import annotations
 
@@ -190,3 +191,28 @@ def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.nda
             live = live[(equal == span) & (out[live] < most)]
         stride //= 2
     return out
+
+
+def bounded_suffix_array(s: np.ndarray, most: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that begin at `places`, in the order of their first `most` symbols (a suffix that ends is less), and for
+    each the number of its run: suffixes of one run share these symbols."""
+    n = len(s)
+    known = np.cumsum(np.bincount(s) > 0)
+    rank, kinds, depth = known[s], int(known[-1]), 1  # 0 stands past the end
+    while True:
+        # As many ranks as a key has room for, the first one highest.
+        width = kinds.bit_length()
+        span = min(62 // width, -(-most // depth))
+        starts = [min(k * depth, most - depth) for k in range(span)]
+        depth = starts[-1] + depth
+        at = np.arange(n) if depth < most else places
+        padded = np.concatenate((rank, np.zeros(starts[-1], np.int64)))
+        key = np.zeros(len(at), np.int64)
+        for start in starts:
+            key = key << width | (padded[start : start + n] if depth < most else padded[at + start])
+        order = np.argsort(key)
+        run = np.cumsum(np.diff(key[order], prepend=-1) != 0)
+        if depth >= most:
+            return at[order], run
+        rank, kinds = np.empty(n, np.int64), int(run[-1])
+        rank[order] = run
