@@ -37,6 +37,8 @@ GAP_PART = 100
 FEW_PARTS = 100_000
 #: Bytes of text encoded at a time, and words and bytes of words that a Python worker remembers.
 SLICE_BYTES, MOST_WORDS, MOST_BYTES = 4 << 20, 800_000, 32 << 20
+#: Units that go to the merges as one line, and new words encoded at a time.
+UNITS, PART_WORDS = 64, 16384
 #: Whether a byte belongs to a word.
 SOLID = ~np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
@@ -46,45 +48,65 @@ class WordEncoder:
     with signs behind them or not, go to the merges directly: normalising only lower-cases them, and the signs are one unit."""
 
     PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?)]*)")
-    #: The letters that stand for bytes in the vocabulary.
-    LETTERS = {b: letter for letter, b in byte_letters().items()}
+    #: The letters that stand for bytes in the vocabulary; spaces stay between units.
+    LETTERS = {b: letter for letter, b in byte_letters().items() if b != 0x20}
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Only the merges, for units between spaces; the last token of a unit bears the vocabulary's mark.
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = WhitespaceSplit()
+        entries = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(entries.values()) + 1, bool)
+        self.last[[i for entry, i in entries.items() if entry.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.units: dict[bytes, list[int]] = {}
         self.held = 0
         self.first = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _unit(self, unit: bytes) -> list[int]:
-        found = self.units.get(unit)
-        if found is None:
-            letters = unit.lower().decode() if unit.isascii() else unit.decode().lower().encode().decode("latin-1").translate(self.LETTERS)
-            found = self.units[unit] = [t.id for t in self.tokenizer.model.tokenize(letters)]
-        return found
+    def _units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain units, and how many each has."""
+        lines = [b" ".join(units[i : i + UNITS]).decode().lower() for i in range(0, len(units), UNITS)]
+        lines = [x if x.isascii() else x.encode().decode("latin-1").translate(self.LETTERS) for x in lines]
+        ids = np.fromiter(chain.from_iterable(x.ids for x in self.merges.encode_batch_fast(lines, add_special_tokens=False)), np.uint32)
+        return ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
 
     def learn(self, words: list[bytes]) -> None:
-        plain = list(map(self.PLAIN.fullmatch, words))
-        other = self.tokenizer.encode_batch_fast([w.decode() for w, m in zip(words, plain) if not m], add_special_tokens=False)
-        rest, known, found = iter(other), self.units.get, []
-        for m in plain:
+        for i in range(0, len(words), PART_WORDS):
+            self._learn(words[i : i + PART_WORDS])
+
+    def _learn(self, words: list[bytes]) -> None:
+        units: dict[bytes, int] = {}
+        parts, n_parts, rest = [], [], []  # units of the words, from the end the words that aren't plain
+        for w, m in zip(words, map(self.PLAIN.fullmatch, words)):
             if m is None:
-                found.append(next(rest).ids)
+                rest.append(w.decode())
+                parts.append(-len(rest))
+                n_parts.append(1)
                 continue
             letters, signs = m.groups()
-            ids = known(letters) or self._unit(letters)
-            found.append(ids + (known(signs) or self._unit(signs)) if signs else ids)
+            parts.append(units.setdefault(letters, len(units)))
+            if signs:
+                parts.append(units.setdefault(signs, len(units)))
+            n_parts.append(2 if signs else 1)
+        ids, n = self._units(list(units))
+        other = [x.ids for x in self.tokenizer.encode_batch_fast(rest[::-1], add_special_tokens=False)]
+        ids = np.concatenate((ids, np.fromiter(chain.from_iterable(other), np.uint32)))
+        n = np.concatenate((n, np.fromiter(map(len, other), np.int64, len(other))))
+        at = np.array(parts, np.int64)
+        first, size = (np.cumsum(n) - n)[at], n[at]
+        total = np.cumsum(size)
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
         self.held += sum(map(len, words))
-        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))))
-        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), np.uint32)))
+        self.first = np.concatenate((self.first, self.first[-1] + total[np.cumsum(n_parts) - 1]))
+        self.ids = np.concatenate((self.ids, ids[np.repeat(first - total + size, size) + np.arange(total[-1])]))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.index) > MOST_WORDS or self.held > MOST_BYTES:
@@ -96,7 +118,9 @@ class WordEncoder:
         begin = edge[::2]
         ends = np.concatenate(([0], np.cumsum(edge[1::2] - begin)))
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(raw[solid])]).dictionary_encode()
-        kinds = words.dictionary.to_pylist()
+        body, at = words.dictionary.buffers()[2], np.frombuffer(words.dictionary.buffers()[1], np.int64)[: len(words.dictionary) + 1].tolist()
+        body = body.to_pybytes() if body else b""
+        kinds = [body[i:j] for i, j in zip(at, at[1:])]
         if new := [w for w in kinds if w not in self.index]:
             self.learn(new)
         places = np.fromiter(map(self.index.__getitem__, kinds), np.int64, len(kinds))[words.indices.to_numpy()]
