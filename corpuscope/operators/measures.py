@@ -5,6 +5,8 @@ tokens, power sums of sequence lengths, first grams, and for the growth of the v
 two of the twelve points, which gives its first occurrence as the least such part. A variant adds and takes away what its
 changed sequences hold. A rewrite that changes lengths moves all later sequences, but only those near a point or near the end
 of the budget change what they add; these are found by their places and looked at again.
+
+A variant that changes much of a large state is counted anew instead, once and by its frequent grams (`frequent`).
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ TOP = {"w1": 1000, "w2": WORD_TOP, "w3": WORD_TOP, "s3": CHAR_TOP["s3"]}
 POWERS = range(5)
 #: What types add to the features besides their number.
 SUMS = ("hapax", "dis", "length", "square", "vowels", "consonants")
+#: Share of the state's tokens in changed sequences from which counting a variant anew costs less than its changes, if the state
+#: has so many tokens that this matters and no budget.
+RECOUNT_SHARE, RECOUNT_TOKENS = 0.25, 1 << 17
 
 
 def points(total: int) -> list[int]:
@@ -97,12 +102,38 @@ def affected(rows: DataFrame, changed: DataFrame, frame: DataFrame, at: list[int
     return running_before(order, "slot", "place", "longer", "shift", max(BUCKET, at[-1] // 1024)).select("slot", "old", "new", "start", "shift")
 
 
+def recounted(base: DataFrame, changed: DataFrame, slot: int) -> DataFrame:
+    """slot and FEATURES of one variant, from its whole corpus."""
+    rows = base.select(*RW.KEY, "tokens", F.lit(0).alias("turn")).unionByName(changed.filter(F.col("slot") == slot).select(*RW.KEY, F.col("new").alias("tokens"), F.lit(1).alias("turn")))
+    own = rows.repartition("corpus", "doc_id").groupBy(*RW.KEY).agg(F.max_by("tokens", "turn").alias("tokens"))  # one shuffle for both
+    seqs = F.transform(F.array_sort(F.collect_list(F.struct("seq", "tokens"))), lambda x: x["tokens"])
+    table = stored(own.groupBy("corpus", "doc_id").agg(seqs.alias("seqs")).select(F.lit(str(slot)).alias("corpus"), "doc_id", "seqs"))
+    out = FE.feature_vector(table, written=True).select(F.lit(slot).alias("slot"), *FE.FEATURES)
+    result = base.sparkSession.createDataFrame(out.collect(), out.schema)  # one row
+    dropped(table)
+    return result
+
+
 def features(base: DataFrame, changed: DataFrame, slots: list[int], budget: int | None = None) -> DataFrame:
     """slot and FEATURES of every variant of a state on its first tokens (budget; all without one).
 
     base: the sequences (KEY, tokens) of one corpus; changed: slot, KEY, old, new of what variants change; a slot without
     changes is the state itself. Raises where a variant has fewer tokens than the budget. The result has one row a variant, made
     from rows that were collected."""
+    total = budget is None and base.agg(F.sum(F.size("tokens").cast("long"))).first()[0] or 0
+    much = []
+    if total >= RECOUNT_TOKENS:
+        touched = changed.groupBy("slot").agg(F.sum(F.size("old").cast("long")).alias("n")).collect()  # one row a variant
+        much = [r["slot"] for r in touched if r["slot"] in slots and r["n"] > RECOUNT_SHARE * total]
+    few = [s for s in slots if s not in much]
+    parts = [recounted(base, changed, s) for s in much]
+    if few or not slots:
+        parts.append(_by_changes(base, changed.filter(~F.col("slot").isin(much)) if much else changed, few, budget))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _by_changes(base: DataFrame, changed: DataFrame, slots: list[int], budget: int | None = None) -> DataFrame:
+    """features() from what the variants change."""
     spark = base.sparkSession
     rows = stored(placed(base))
     total = rows.agg(F.sum(F.size("tokens").cast("long"))).first()[0] or 0
