@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpuscope.operators.corpus import ranked, sequences, taken_apart, tokens, types
+from corpuscope.operators.corpus import arrow_limits, ranked, sequences, taken_apart, tokens, types
 
 WINDOW = 2
 VOCABULARY = 5000
 LOW_FREQUENCY = 5
+#: Words of all vocabularies that the driver and every task may hold, and numbers of pairs that a task gathers before it counts them.
+MOST_KNOWN, HELD = 1 << 19, 4_000_000
 
 
 def vocabulary(corpora: DataFrame, top: int = VOCABULARY) -> DataFrame:
@@ -40,6 +46,92 @@ def cooccurrence(corpora: DataFrame, window: int = WINDOW, top: int = VOCABULARY
     return both.groupBy("corpus", "row_tok", "col_tok").agg(F.sum("cnt").alias("cnt"))
 
 
+def known_pairs(rows: DataFrame, known: DataFrame, window: int = WINDOW) -> DataFrame | None:
+    """corpus, row_tok, col_tok, cnt over pairs of known words (corpus, token), both ways round. rows: corpus, seqs, and d, what
+    each pair counts (1, or -1 for what is taken away); pairs that sum to nothing are left out. Pairs are counted inside tasks over
+    numbers for words, one way round. None where the vocabularies are too large to be held by every task."""
+    if known.limit(MOST_KNOWN + 1).count() > MOST_KNOWN:
+        return None
+    words: dict[str, list[str]] = {}
+    for r in known.filter("corpus IS NOT NULL").select(F.col("corpus").cast("string"), "token").collect():  # at most MOST_KNOWN
+        words.setdefault(r["corpus"], []).append(r["token"])
+    names = sorted(words)
+    held = rows.sparkSession.sparkContext.broadcast([(c, pa.array(words[c], pa.string())) for c in names])
+    base = max(map(len, words.values()), default=1)
+
+    def keys(seqs: pa.ListArray, own: pa.Array) -> np.ndarray:
+        code = pc.fill_null(pc.index_in(seqs.flatten(), value_set=own), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        of = np.repeat(np.arange(len(seqs)), pc.fill_null(pc.list_value_length(seqs), 0).to_numpy(zero_copy_only=False))
+        found = []
+        for k in range(1, window + 1):
+            a, b = code[:-k], code[k:]
+            both = (of[:-k] == of[k:]) & (a >= 0) & (b >= 0)
+            found.append(np.minimum(a, b)[both] * base + np.maximum(a, b)[both])
+        return np.concatenate(found)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[tuple[int, int], list[np.ndarray]] = {}
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def gather() -> None:
+            for (i, d), part in parts.items():
+                key, n = np.unique(np.concatenate(part), return_counts=True)
+                if i in sums:
+                    key, at = np.unique(np.concatenate([sums[i][0], key]), return_inverse=True)
+                    total = np.zeros(len(key), np.int64)
+                    np.add.at(total, at, np.concatenate([sums[i][1], n * d]))
+                    sums[i] = key, total
+                else:
+                    sums[i] = key, n.astype(np.int64) * d
+            parts.clear()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for i, (key, n) in sums.items():
+                yield pa.RecordBatch.from_pydict({"corpus": pa.array(np.full(len(key), i, np.int32)), "key": pa.array(key), "cnt": pa.array(n)})
+            sums.clear()
+
+        size = 0
+        for batch in batches:
+            own, sign = batch.column("corpus"), batch.column("d")
+            for i, (corpus, vocabulary) in enumerate(held.value):
+                mine = pc.equal(own, pa.scalar(corpus, own.type))
+                for d in pc.unique(sign.filter(mine)).to_pylist():
+                    seqs = batch.column("seqs").filter(pc.and_(mine, pc.equal(sign, d))).flatten()
+                    if len(seqs) and len(new := keys(seqs, vocabulary)):
+                        parts.setdefault((i, d), []).append(new)
+                        size += len(new)
+            if size >= HELD:
+                gather()
+                size = 0
+                if sum(len(k) for k, _ in sums.values()) >= HELD:
+                    yield from out()
+        gather()
+        yield from out()
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number, key = batch.column("corpus").to_numpy(), batch.column("key").to_numpy()
+            for i in np.unique(number).tolist():
+                corpus, vocabulary = held.value[i]
+                a, b, n = key[number == i] // base, key[number == i] % base, batch.column("cnt").to_numpy()[number == i]
+                for x, y, use in ((a, b, a >= 0), (b, a, a != b)):
+                    m = np.where(a == b, 2 * n, n)[use]  # a word beside itself counts from both ends
+                    if len(m):
+                        yield pa.RecordBatch.from_pydict({"corpus": pa.array([corpus] * len(m), pa.string()), "row_tok": vocabulary.take(pa.array(x[use])), "col_tok": vocabulary.take(pa.array(y[use])), "cnt": pa.array(m)})
+
+    arrow_limits(rows.sparkSession)
+    counted = rows.select(F.col("corpus").cast("string").alias("corpus"), "seqs", F.col("d").cast("int").alias("d")).mapInArrow(count, "corpus int, key bigint, cnt bigint")
+    counted = counted.groupBy("corpus", "key").agg(F.sum("cnt").alias("cnt")).filter("cnt <> 0")
+    pairs = counted.mapInArrow(spelled, "corpus string, row_tok string, col_tok string, cnt bigint")
+    return pairs.withColumn("corpus", F.col("corpus").cast(rows.schema["corpus"].dataType))
+
+
+def written_cooccurrence(table: DataFrame, window: int = WINDOW, top: int = VOCABULARY) -> DataFrame:
+    """What cooccurrence gives, of a written table of corpora (corpus, seqs), which is read twice."""
+    found = known_pairs(table.select("corpus", "seqs", F.lit(1).alias("d")), vocabulary(table, top).select("corpus", "token"), window)
+    return cooccurrence(table, window, top) if found is None else found
+
+
 def ppmi(counts: DataFrame) -> DataFrame:
     """Adds w = max(0, log2(P(row, col) / (P(row) P(col)))); marginals include the diagonal."""
     counts = counts.persist()  # four readers; at most the vocabulary's square a corpus
@@ -72,9 +164,13 @@ def positional(corpora: DataFrame, top: int = VOCABULARY) -> DataFrame:
 
 
 def symmetric(counts: DataFrame) -> DataFrame:
-    """Pairs whose mirror differs: none in a valid table."""
-    mirror = counts.select("corpus", F.col("col_tok").alias("row_tok"), F.col("row_tok").alias("col_tok"), F.col("cnt").alias("other"))
-    return counts.join(mirror, ["corpus", "row_tok", "col_tok"], "full").filter(~F.col("cnt").eqNullSafe(F.col("other")))
+    """Pairs whose mirror differs: none in a valid table. Both sides of a pair meet in one group."""
+    forth = F.col("row_tok") <= F.col("col_tok")
+    one = counts.select("corpus", F.least("row_tok", "col_tok").alias("a"), F.greatest("row_tok", "col_tok").alias("b"), forth.alias("forth"), "cnt")
+    sides = one.groupBy("corpus", "a", "b").agg(F.max(F.when(F.col("forth"), F.col("cnt"))).alias("x"), F.max(F.when(~F.col("forth"), F.col("cnt"))).alias("y"))
+    side = lambda r, c, v, o: F.struct(F.col(r).alias("row_tok"), F.col(c).alias("col_tok"), F.col(v).alias("cnt"), F.col(o).alias("other"))
+    differ = sides.filter("a <> b AND NOT (x <=> y)")
+    return differ.select("corpus", F.explode(F.array(side("a", "b", "x", "y"), side("b", "a", "y", "x"))).alias("s")).select("corpus", "s.*")
 
 
 def anchor_aligned(current: DataFrame, reference: DataFrame, anchor: DataFrame, value: str = "w") -> DataFrame:

@@ -19,15 +19,13 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions import text as X
 from corpuscope.operators import profiles as P
-from corpuscope.operators.corpus import ranked, stored, types
+from corpuscope.operators.corpus import arrow_limits, ranked, stored, types
 
 #: Words and grams of a corpus among which longer grams are sought; the driver and every task hold them. With many corpora, fewer.
 WORDS, GRAMS = 32_768, 65_536
 MOST_WORDS, MOST_GRAMS = 1 << 19, 1 << 20
 #: Grams that a task counts at a time.
 HELD = 4_000_000
-#: Rows and bytes of a batch that a Python worker gets.
-ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
 
 
 def _counted(table: DataFrame, known: list[tuple[str, pa.Array, np.ndarray | None]]) -> DataFrame:
@@ -72,10 +70,7 @@ def _counted(table: DataFrame, known: list[tuple[str, pa.Array, np.ndarray | Non
                 size = 0
         yield from rows()
 
-    conf = table.sparkSession.conf
-    for name, (default, own) in ARROW_LIMITS.items():  # rows hold whole texts
-        if conf.get(name, default) == default:
-            conf.set(name, own)
+    arrow_limits(table.sparkSession)  # rows hold whole texts
     return table.select("corpus", "seqs").mapInArrow(run, "corpus int, key bigint, cnt bigint").groupBy("corpus", "key").agg(F.sum("cnt").alias("cnt"))
 
 
