@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.operators.cooc import VOCABULARY, WINDOW
-from corpuscope.operators.corpus import ranked, taken_apart
+from corpuscope.operators.cooc import VOCABULARY, WINDOW, known_pairs
+from corpuscope.operators.corpus import ranked, settled, taken_apart
 
 #: Share of changed sequences from which a rebuild costs less than the changes.
 REBUILD_SHARE = 0.5
@@ -87,6 +87,11 @@ def _both_known(pairs: DataFrame, known: DataFrame) -> DataFrame:
 def updated_in_vocabulary(seqs: DataFrame, changes: DataFrame, counts: DataFrame, window: int = WINDOW, top: int = VOCABULARY) -> DataFrame:
     """in_vocabulary(updated(raw_pairs(seqs), changes), counts) where nothing else needs the other pairs: those are left out
     before they are shuffled."""
-    known = ranked(counts, "token", top).select("corpus", "token").persist()  # three readers
+    known = settled(ranked(counts, "token", top).select("corpus", "token"))  # two readers
+    none = F.array().cast("array<string>")
+    part = lambda rows, c, d: rows.select("corpus", F.array(F.coalesce(F.col(c), none)).alias("seqs"), F.lit(d).alias("d"))
+    rows = part(seqs, "tokens", 1).union(part(changes, "old", -1)).union(part(changes, "new", 1))
+    if (found := known_pairs(rows, known, window)) is not None:
+        return found.filter("cnt > 0")
     pairs = _both_known(_each_pair(seqs, window), known).groupBy("corpus", "row_tok", "col_tok").agg(F.count(F.lit(1)).alias("cnt"))
     return _sum_of(pairs, _both_known(pair_deltas(changes, window), known))
